@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memspark.operators.drift import schema_changes, unified_table
 from memspark.operators.history import fact_history
 from memspark.operators.nested import child_table, shred
 from memspark.session import read_table
@@ -27,5 +28,13 @@ def p5_relations(spark: SparkSession, d: str) -> DataFrame:
     return child_table(shred(read_table(spark, d, "memories"), "metadata", "row_no"), "relations").select("row_no", F.col("child_pos"), "link_value")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return schema_changes(read_table(spark, d, "raw_exports")).select("file_no", "change_kind", "field_path", "old_path")
+
+
+def p4_table(spark: SparkSession, d: str) -> DataFrame:
+    return unified_table(read_table(spark, d, "raw_exports"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_history, p5_found, p5_relations)}
+    return {f.__name__: f for f in (p1_found, p1_history, p4_found, p4_table, p5_found, p5_relations)}
