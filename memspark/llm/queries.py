@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from memspark.llm.encoding import encode_corpus
 from memspark.llm.formatting import collapsed, formatting_groups
+from memspark.llm.history_dedup import repeats
 from memspark.llm.pieces import split_fields
 from memspark.session import read_table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeats(read_table(spark, d, "memories"), read_table(spark, d, "incoming_memories"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return split_fields(read_table(spark, d, "memories")).where("piece_no = 0").select("row_no", "field_name", "kind")
 
@@ -31,4 +36,4 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p3_pieces, p6_found, p6_records, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p6_found, p6_records, p8_ids)}
