@@ -7,7 +7,7 @@ a key that holds a third of all rows is spread over the same number of tasks as
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.session import checkpoint, shuffle_partitions
@@ -31,3 +31,37 @@ def dense_position(df: DataFrame, keys: list[str], name: str = "pos") -> DataFra
     base = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets or [0]]), part.cast("int") + 1)
     in_part = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return ranged.withColumn(name, base + in_part).drop("_mid")
+
+
+def prefix_sum(df: DataFrame, group: str, order: list[str], value: str, name: str = "before") -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over the rows of the same ``group`` that come before in ``order``.
+
+    Distributed: range partitions are summed as streams, then each gets the total of its group in the partitions
+    before it. ``group`` and ``order`` should fix the order; null values count as 0. At most one total per partition
+    and group is gathered, and groups share a partition only where they are small.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    spark = df.sparkSession
+    n = shuffle_partitions(spark)
+    ranged = df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_pid", F.spark_partition_id())
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
+
+    def run(batches):
+        at, total = object(), 0
+        for b in batches:
+            out, vals = [], pc.fill_null(b.column(value), 0).to_pylist()
+            for g, v in zip(b.column(group).to_pylist(), vals):
+                if g != at:
+                    at, total = g, 0
+                out.append(total)
+                total += v
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], names=[*b.schema.names, "_run"])
+
+    summed = checkpoint(ranged.mapInArrow(run, f"{fields}, _run bigint"))
+    totals = summed.groupBy(group, "_pid").agg(F.sum(F.coalesce(F.col(value), F.lit(0))).alias("_t"))
+    earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select(group, "_pid", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
+    # at most partitions + groups rows, as groups are ranges
+    return summed.join(F.broadcast(base) if base.count() <= 100_000 else base, [group, "_pid"]).withColumn(name, (F.col("_run") + F.col("_base")).cast("bigint")).drop("_run", "_base", "_pid")
