@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from memspark.llm.encoding import encode_corpus
 from memspark.llm.formatting import collapsed, formatting_groups
 from memspark.llm.history_dedup import repeats
+from memspark.llm.mixing import mix
 from memspark.llm.pieces import split_fields
+from memspark.llm.reading import reading_levels
 from memspark.session import read_table
 
 
@@ -35,5 +38,22 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read_table(spark, d, "documents"))
 
 
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix(read_table(spark, d, "documents"), read_table(spark, d, "mix_targets"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels")).select("doc_id", "reading_level")
+
+
+def p10_profile(spark: SparkSession, d: str) -> DataFrame:
+    levels = reading_levels(read_table(spark, d, "documents"), read_table(spark, d, "reading_labels"))
+    return levels.groupBy("source", "reading_level").agg(F.count(F.lit(1)).alias("documents"), F.sum("sentences").alias("sentences"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p6_found, p6_records, p8_ids)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p6_found, p6_records, p8_ids, p9_mix, p9_shares, p10_found, p10_profile)}
