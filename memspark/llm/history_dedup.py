@@ -32,7 +32,8 @@ WORDS_SHARE, COSINE = 0.7, 0.9
 SHARD, QUERIES, COMPACT = 16_384, 8_192, 4
 MAX_ROUNDS = 10_000
 
-SKETCH = "row_no bigint, batch_no int, scope string, class binary, sig binary, bands binary, words binary, vector binary"
+NAMED = "row_no bigint, batch_no int, scope string, class binary"
+SKETCH = "cid bigint, scope string, sig binary, bands binary, words binary, vector binary"
 
 
 @lru_cache(maxsize=1 << 18)
@@ -47,26 +48,34 @@ def _usable(v) -> np.ndarray | None:
     return a if np.isfinite(a).all() and a.any() else None
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sketches of rows that have a word; the ratio of words is undefined for the others, which repeat nothing."""
-    names = [x.split()[0] for x in SKETCH.split(", ")]
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The class (words and vector) of rows that have a word; the ratio of words is undefined for the others, which
+    repeat nothing."""
     for b in batches:
-        rows, flat, starts, at = [], [], [], 0
-        for r, n, s, t, v in zip(*(b.column(c).to_pylist() for c in ("row_no", "batch_no", "scope", "text", "vector"))):
-            hashes = np.array(sorted({_word_hash(w) for w in set(words(t))}), np.uint64)
-            if len(hashes):
+        keep, digest = [], []
+        for i, (t, v) in enumerate(zip(b.column("text").to_pylist(), b.column("vector").to_pylist())):
+            if found := set(words(t)):
                 vec = _usable(v)
-                blob, vblob = hashes.tobytes(), None if vec is None else vec.tobytes()
-                rows.append((r, n, s, hashlib.blake2b(blob + b"|" + (vblob or b""), digest_size=16).digest(), blob, vblob))
-                flat.append(hashes)
-                starts.append(at)
-                at += len(hashes)
-        if not rows:
-            continue
-        sig, bands = signatures(np.concatenate(flat), np.array(starts))
-        r, n, s, c, w, v = zip(*rows)
-        cols = [pa.array(r, pa.int64()), pa.array(n, pa.int32()), pa.array(s, pa.string()), pa.array(c, pa.binary()), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([x.tobytes() for x in bands], pa.binary()), pa.array(w, pa.binary()), pa.array(v, pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=names)
+                keep.append(i)
+                digest.append(hashlib.blake2b("\x1f".join(sorted(found)).encode("utf-8", "surrogatepass") + b"|" + (b"" if vec is None else vec.tobytes()), digest_size=16).digest())
+        kept = b.select(["row_no", "batch_no", "scope"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(digest, pa.binary())], names=["row_no", "batch_no", "scope", "class"])
+
+
+def _sketches(extra: str):
+    """What graph and rerank need of one row of each class; ``extra`` is the column that says where it goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            flat = [np.array(sorted({_word_hash(w) for w in set(words(t))}), np.uint64) for t in b.column("text").to_pylist()]
+            sig, bands = signatures(np.concatenate(flat), np.cumsum([0, *map(len, flat[:-1])]))
+            vecs = [None if (v := _usable(x)) is None else v.tobytes() for x in b.column("vector").to_pylist()]
+            blobs = [pa.array([x.tobytes() for x in col], pa.binary()) for col in (sig, bands, flat)]
+            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("scope"), *blobs, pa.array(vecs, pa.binary()), b.column(extra)], names=["cid", "scope", "sig", "bands", "words", "vector", extra])
+
+    return run
 
 
 def _matrix(col: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
@@ -169,7 +178,7 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     """
     cols = ["row_no", "batch_no", "scope", "text", "vector"]
     both = memories.withColumn("batch_no", F.lit(0)).select(*cols).unionByName(incoming.select(*cols)).withColumn("scope", scope_key(F.col("scope")))
-    rows = checkpoint(both.mapInArrow(_sketch, SKETCH))
+    rows = checkpoint(both.mapInArrow(_named, NAMED))
     fresh = F.col("batch_no") > 0
     classes = rows.groupBy("scope", "class").agg(
         F.min("row_no").alias("cid"),
@@ -177,14 +186,16 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
         F.min(F.when(fresh, F.col("row_no"))).alias("new"),
         F.min("batch_no").alias("batch_no"),
         F.count(F.lit(1)).alias("n"),
-        *[F.first(c).alias(c) for c in ("sig", "bands", "words", "vector")],
     )
     # part 0 is the history; later parts hold the batches of one compaction
     classes = checkpoint(classes.withColumn("part", F.ceil(F.col("batch_no") / COMPACT).cast("int")))
-    data = ["scope", "part", "cid", "sig", "bands", "words", "vector"]
-    placed = _blocks(classes.select(*data), SHARD, "segment").withColumn("shard", F.concat_ws("-", "part", "segment"))
-    shards = checkpoint(build_shards(placed.drop("part", "segment")))
-    asked = _blocks(classes.where("new is not null").select(*data).withColumn("part", F.lit(0)), QUERIES, "block").drop("part")
+    texts = both.select(F.col("row_no").alias("cid"), "text", "vector")
+    placed = _blocks(classes.select("scope", "part", "cid"), SHARD, "segment").withColumn("shard", F.concat_ws("-", "part", "segment")).select("cid", "scope", "shard")
+    shards = checkpoint(build_shards(texts.join(placed, "cid").mapInArrow(_sketches("shard"), f"{SKETCH}, shard string")))
+    # a query class has its own incoming row, so only the incoming rows are read again
+    fresh_texts = incoming.select(F.col("row_no").alias("new"), "text", "vector")
+    asked = _blocks(classes.where("new is not null").select("scope", F.lit(0).alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
+    asked = fresh_texts.join(asked, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int")
     pairs = checkpoint(search_shards(shards, asked))
 
     info = classes.select(F.col("cid").alias("a"), F.col("old").alias("a_old"), F.col("new").alias("a_new"))
