@@ -10,6 +10,7 @@ from memspark.llm.formatting import collapsed, formatting_groups
 from memspark.llm.history_dedup import repeats
 from memspark.llm.mixing import mix
 from memspark.llm.pieces import split_fields
+from memspark.llm.pii import personal_items, redacted
 from memspark.llm.reading import reading_levels
 from memspark.session import read_table
 
@@ -34,6 +35,14 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return collapsed(read_table(spark, d, "memories").select("row_no", "id", "text", "scope"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal_items(read_table(spark, d, "memories"))
+
+
+def p7_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return redacted(read_table(spark, d, "memories"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read_table(spark, d, "documents"))
 
@@ -56,4 +65,4 @@ def p10_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p6_found, p6_records, p8_ids, p9_mix, p9_shares, p10_found, p10_profile)}
+    return {f.__name__: f for f in (p2_found, p3_found, p3_pieces, p6_found, p6_records, p7_found, p7_redacted, p8_ids, p9_mix, p9_shares, p10_found, p10_profile)}
