@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.queries import problems, problems_sql
+from memspark.queries import analytics, problems, problems_sql  # noqa: F401
+from memspark.queries.base import QUERIES, SQL
 
 
 def queries() -> dict:
-    return problems.queries()
+    return QUERIES | problems.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return problems_sql.oracle_sql()
+    return SQL | problems_sql.oracle_sql()
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
