@@ -274,10 +274,10 @@ def m22(spark: SparkSession, d: str) -> DataFrame:
     return n.select("core", F.round(F.least(over * 0.7, F.lit(1.0)), 6).alias("core_threshold"))
 
 
-@query("m23_confidence_decay", f"{MEM} select row_no, round(0.5 + (confidence - 0.5) * pow(0.5, greatest(0.0, ({NOW} - last_accessed_at) / 86400000.0) / 90), 6) as decayed, round(importance * (0.5 + 0.5 * confidence), 6) as weighted from mem")
+@query("m23_confidence_decay", f"{MEM} select row_no, round(0.5 + (confidence - 0.5) * pow(0.5, greatest(0.0, ({NOW} - last_accessed_at) / 86400000.0) / 90), 6) as decayed, round(importance * (0.5 + 0.5 * confidence), 8) as weighted from mem")
 def m23(spark: SparkSession, d: str) -> DataFrame:
     days = F.greatest(F.lit(0.0), S.age_days(F.lit(NOW), F.col("last_accessed_at")))
-    return smart(spark, d).select("row_no", F.round(0.5 + (F.col("confidence") - 0.5) * F.pow(F.lit(0.5), days / 90), 6).alias("decayed"), F.round(F.col("importance") * (0.5 + 0.5 * F.col("confidence")), 6).alias("weighted"))
+    return smart(spark, d).select("row_no", F.round(0.5 + (F.col("confidence") - 0.5) * F.pow(F.lit(0.5), days / 90), 6).alias("decayed"), F.round(F.col("importance") * (0.5 + 0.5 * F.col("confidence")), 8).alias("weighted"))
 
 
 @query("m32_bad_recall", f"{MEM} select row_no, bad_recall_count, bad_recall_count >= 3 as suppressed from mem")
@@ -289,12 +289,12 @@ RANK = f"""{MEM}, r as (select row_no, importance as s, length(t) as len, timest
 
 
 @query("m11_rank_stages", f"""{RANK}, h as (select *, case when access_count <= 0 then 60.0 else least(60 + 60 * 0.5 * ln(1 + access_count * pow(2.0, -greatest(0.0, ({NOW} - last_accessed_at) / 86400000.0) / 30)), 180.0) end as hl, ({NOW} - timestamp_ms) / 86400000.0 as age from r)
-select row_no, round(greatest(0.0, least(1.0, s + exp(-age / 14) * 0.1)), 6) as recency, round(greatest(0.0, least(1.0, s * (0.7 + 0.3 * importance))), 6) as weighted,
+select row_no, round(greatest(0.0, least(1.0, s + exp(-age / 14) * 0.1)), 6) as recency, round(greatest(0.0, least(1.0, s * (0.7 + 0.3 * importance))), 8) as weighted,
   round(greatest(0.0, least(1.0, s / (1 + 0.5 * log2(greatest(len / 500.0, 1.0))))), 6) as length_norm, round(hl, 6) as half_life, round(greatest(0.0, least(1.0, s * (0.5 + 0.5 * exp(-age / hl)))), 6) as time_decay from h""")
 def m11(spark: SparkSession, d: str) -> DataFrame:
     c, now = F.col, F.lit(NOW)
     hl = S.effective_half_life(S.TIME_DECAY_DAYS, c("access_count"), c("last_accessed_at"), now)
     return smart(spark, d).select(
-        "row_no", F.round(S.recency_boost(c("importance"), now, c("timestamp_ms")), 6).alias("recency"), F.round(S.importance_weight(c("importance"), c("importance")), 6).alias("weighted"),
+        "row_no", F.round(S.recency_boost(c("importance"), now, c("timestamp_ms")), 6).alias("recency"), F.round(S.importance_weight(c("importance"), c("importance")), 8).alias("weighted"),
         F.round(S.length_norm(c("importance"), F.coalesce("text", F.lit(""))), 6).alias("length_norm"), F.round(hl, 6).alias("half_life"), F.round(S.time_decay(c("importance"), now, c("timestamp_ms"), hl), 6).alias("time_decay"),
     )
