@@ -112,3 +112,106 @@ def topic_sql(c: str) -> str:
     counts = ", ".join(rf"len(regexp_extract_all(lower(substr({c}, 1, {TOPIC_CHARS})), '\b(?:{p})\b'))" for p in TOPICS.values())
     names = ", ".join(f"'{t}'" for t in TOPICS)
     return f"case when list_max([{counts}]) > 0 then [{names}][list_position([{counts}], list_max([{counts}]))] end"
+
+
+#: Secrets that are replaced before text is stored. The last is an address with its local part.
+SECRETS = (
+    r"\bsk-(?:proj-|ant-)?[A-Za-z0-9\-_]{20,}|\bgh[pous]_[A-Za-z0-9]{36,}|\bgithub_pat_[A-Za-z0-9_]{22,}|\bxox[baprs]-[A-Za-z0-9-]{10,}|\bAIza[0-9A-Za-z_-]{20,}|\bAKIA[0-9A-Z]{16}\b|\bnpm_[A-Za-z0-9]{36,}"
+    r"|(?i:\b(?:token|api[_-]?key|secret|password)\s*[:=]\s*[\"']?[^\s\"',;)}\]]{6,}[\"']?)|/home/[^\s\"',;)}\]]+|/Users/[^\s\"',;)}\]]+|[A-Z]:\\[^\s\"',;)}\]]+|[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+)
+BEARER = r"Bearer\s+[A-Za-z0-9\-._~+/]+=*"
+ERROR_SIGNAL = r"\[error\]|error:|exception:|fatal:|traceback|syntaxerror|typeerror|referenceerror|npm err!|command not found|no such file|permission denied|non-zero|exit code|\"status\"\s*:\s*\"error\"|\"status\"\s*:\s*\"failed\"|\biserror\b|错误\s*[：:]|异常\s*[：:]|报错\s*[：:]|失败\s*[：:]"
+#: Words of storage categories, in order of precedence.
+CATEGORY_WORDS = {
+    "preference": r"prefer|radši|like|love|hate|want|偏好|喜歡|喜欢|討厭|讨厌|不喜歡|不喜欢|愛用|爱用|習慣|习惯",
+    "decision": r"rozhodli|decided|we decided|will use|we will use|we'?ll use|switch(ed)? to|migrate(d)? to|going forward|from now on|budeme|決定|决定|選擇了|选择了|改用|換成|换成|以後用|以后用|規則|流程|sop",
+    "entity": r"\+\d{10,}|@[\w.-]+\.\w+|is called|jmenuje se|我的\S+是|叫我|稱呼|称呼",
+    "fact": r"\b(is|are|has|have|je|má|jsou)\b|總是|总是|從不|从不|一直|每次都|老是",
+}
+#: Cues of things worth keeping in conversations, in order of precedence.
+SIGNALS = {
+    "preferences": r"(?:\b(?:i prefer|i like|i don't like|i hate|i love|i want|i need)\b|我喜欢|我不喜欢|我偏好|我想要)",
+    "profile": r"(?:\b(?:my name is|i am a|i'm a|i work at|i live in)\b|我叫|我是|我在)",
+    "events": r"(?:\b(?:i decided|we decided|let's go with|the decision is)\b|决定了|我们选择)",
+    "cases": r"(?:\b(?:actually|no,? not|that's wrong|correction:)\b|更正|其实不是|不对)",
+}
+SIGNAL_IMPORTANCE = {"preferences": 0.8, "profile": 0.9, "events": 0.7, "cases": 0.85}
+#: Names that mean the same thing.
+ALIASES = {
+    "ts": "typescript", "js": "javascript", "py": "python", "rb": "ruby", "rs": "rust", "go": "golang", "cs": "csharp", "c#": "csharp", "react.js": "react", "reactjs": "react", "vue.js": "vue", "vuejs": "vue",
+    "next.js": "nextjs", "next": "nextjs", "node.js": "nodejs", "node": "nodejs", "express.js": "express", "angular.js": "angular", "angularjs": "angular", "k8s": "kubernetes", "pg": "postgresql", "postgres": "postgresql",
+    "mongo": "mongodb", "gcp": "google cloud platform", "aws": "amazon web services", "gpt": "openai gpt", "chatgpt": "openai gpt", "pt": "pytorch", "hf": "hugging face", "huggingface": "hugging face",
+    "llm": "large language model", "rag": "retrieval augmented generation",
+}
+
+
+def redact_secrets(c: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(c, BEARER, "Bearer [REDACTED]"), SECRETS, "[REDACTED]")
+
+
+def has_error(c: Column) -> Column:
+    return F.lower(c).rlike(ERROR_SIGNAL)
+
+
+def error_signature(c: Column) -> Column:
+    """Secrets, paths and numbers out, white space collapsed, 240 characters."""
+    t = F.regexp_replace(F.regexp_replace(F.lower(redact_secrets(c)), r"/[^ \n\r\t]+", "<path>"), r"\b0x[0-9a-f]+\b", "<hex>")
+    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(t, r"\b\d+\b", "<n>"), r"\s+", " ")), 1, 240)
+
+
+def storage_category(c: Column) -> Column:
+    out = F.when(F.lit(False), F.lit(""))
+    for name, p in CATEGORY_WORDS.items():
+        out = out.when(F.lower(c).rlike(p), F.lit(name))
+    return out.otherwise("other")
+
+
+def token_estimate(c: Column) -> Column:
+    return F.ceil(F.length(c) / 4)
+
+
+def inline(c: Column, most: int = 300) -> Column:
+    """One line without tags, angle brackets full-width, cut to ``most`` characters."""
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\r\n]+", " "), r"</?[a-zA-Z][^>]*>", ""), "<", "＜")
+    return F.substring(_strip(F.regexp_replace(F.regexp_replace(t, ">", "＞"), r"\s+", " ")), 1, most)
+
+
+def first_sentence(c: Column, most: int = 100) -> Column:
+    """The first sentence, or the beginning, up to ``most`` characters."""
+    s = F.regexp_extract(_strip(c), r"^([^.!?。！？\n]+[.!?。！？]?)", 1)
+    return F.substring(F.when(s != "", s).otherwise(_strip(c)), 1, most)
+
+
+def alias_of(c: Column) -> Column:
+    t = F.lower(F.trim(c))
+    m = F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(m, t), t)
+
+
+def entity_candidates(c: Column) -> Column:
+    """Quoted strings and capitalised phrases, without repeats."""
+    quoted = F.regexp_extract_all(c, F.lit(r"[\"`]([^\"`]{2,})[\"`]"), 1)
+    caps = F.regexp_extract_all(c, F.lit(r"(\b[A-Z][a-zA-Z]+(?:[ -][A-Z][a-zA-Z]+)*\b)"), 1)
+    return F.array_distinct(F.concat(quoted, caps))
+
+
+def signal(c: Column) -> Column:
+    """Category of the first cue in a sentence, null without one."""
+    out = F.when(F.lit(False), F.lit(""))
+    for name, p in SIGNALS.items():
+        out = out.when(F.lower(c).rlike(p), F.lit(name))
+    return out
+
+
+def contradicts(a: Column, b: Column) -> Column:
+    """One text says that someone does something, the other that they do not; verbs compare without a final s."""
+    bare = lambda c: F.trim(F.regexp_replace(c, r"(?i)^(?:the user|user|they)\s+", ""))
+    root = lambda c: F.regexp_replace(F.lower(c), "s$", "")
+    pos, neg = r"^(\w+)\s+(.+)$", r"^(?:doesn't|does not|don't|do not)\s+(\w+)\s+(.+)$"
+
+    def one(p: Column, n: Column) -> Column:
+        v = F.regexp_extract(n, neg, 1)
+        return (v != "") & (root(F.regexp_extract(p, pos, 1)) == root(v)) & (F.lower(F.trim(F.regexp_extract(p, pos, 2))) == F.lower(F.trim(F.regexp_extract(n, neg, 2))))
+
+    x, y = bare(a), bare(b)
+    return one(x, y) | one(y, x)
