@@ -79,7 +79,7 @@ def spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
 _L = r"[^\W\d_]"
 _NAME_WORD = rf"{_L}{{2,}}(?:['’-]{_L}+)*"
 _ITEMS = {
-    "email": re.compile(r"[A-Za-z0-9](?:[\w.%+-]*[A-Za-z0-9])?[ ]?@[ ]?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A),
+    "email": re.compile(r"[A-Za-z0-9](?:[\w.%+-]*[A-Za-z0-9])?(?: ?@ ?| ?[\[({]at[\])}] ?| (?:AT|at) )[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)+", re.A),
     "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}|\(\d{2,5}\)|\d)[\d ()./-]{5,20}\d(?!\w)"),
     "id_number": re.compile(r"(?<![\w-])(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{2} ?\d{3} ?\d{3} ?\d{3}|[A-Z]{2}-\d{6}-\d|[A-Z]{2} ?(?:\d{2} ?){3}[A-D]|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{9,12})(?![\w-])"),
     "address": re.compile(
