@@ -191,7 +191,7 @@ def alias_of(c: Column) -> Column:
 def entity_candidates(c: Column) -> Column:
     """Quoted strings and capitalised phrases, without repeats."""
     quoted = F.regexp_extract_all(c, F.lit(r"[\"`]([^\"`]{2,})[\"`]"), 1)
-    caps = F.regexp_extract_all(c, F.lit(r"(\b[A-Z][a-zA-Z]+(?:[ -][A-Z][a-zA-Z]+)*\b)"), 1)
+    caps = F.regexp_extract_all(c, F.lit(r"((?<![A-Za-z0-9_])[A-Z][a-zA-Z]+(?:[ -][A-Z][a-zA-Z]+)*(?![A-Za-z0-9_]))"), 1)
     return F.array_distinct(F.concat(quoted, caps))
 
 

@@ -97,7 +97,7 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return G.memories_of(t, G.pagerank(e, seeds(e), STEPS, 0.0)).select("source_memory_id", F.round("score", 6).alias("score"))
 
 
-@query("p05_graph_search")
+@query("plan_p05_graph_search")
 def p05(spark: SparkSession, d: str) -> DataFrame:
     t = triples(spark, d)
     e = G.edges(t)
@@ -114,6 +114,6 @@ def m29(spark: SparkSession, d: str) -> DataFrame:
 @query("j20_query_entities", f"""{KG}, q as (select row_no, unnest(regexp_extract_all(text, '\\b[A-Z][a-zA-Z]+\\b')) as cand from incoming_memories where row_no % 50 = 0), n as (select distinct src as entity from e)
 select distinct row_no, entity from q join n on lower(cand) = lower(entity)""")
 def j20(spark: SparkSession, d: str) -> DataFrame:
-    q = read_table(spark, d, "incoming_memories").where("row_no % 50 = 0").select("row_no", F.explode(F.regexp_extract_all("text", F.lit(r"(\b[A-Z][a-zA-Z]+\b)"), 1)).alias("cand"))
+    q = read_table(spark, d, "incoming_memories").where("row_no % 50 = 0").select("row_no", F.explode(F.regexp_extract_all("text", F.lit(r"((?<![A-Za-z0-9_])[A-Z][a-zA-Z]+(?![A-Za-z0-9_]))"), 1)).alias("cand"))
     n = G.edges(triples(spark, d)).select(F.col("src").alias("entity")).distinct()
     return q.join(n, F.lower("cand") == F.lower("entity")).select("row_no", "entity").distinct()

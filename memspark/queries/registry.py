@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.queries import analytics, problems, problems_sql, retrieval, graph  # noqa: F401
+from memspark.queries import analytics, problems, problems_sql, retrieval, graph, maintenance  # noqa: F401
 from memspark.queries.base import QUERIES, SQL
 
 
@@ -17,4 +17,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def entry(spark: SparkSession, d: str) -> DataFrame:
-    return QUERIES["p02_hybrid"](spark, d)
+    return QUERIES["plan_p02_hybrid"](spark, d)

@@ -100,7 +100,7 @@ def s30(spark: SparkSession, d: str) -> DataFrame:
     return postings(read_table(spark, d, "memories")).groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count(F.lit(1)).alias("df"))
 
 
-@query("p06_bm25", f"{MEM}, {Q}, {bm25_sql('mem')} select query_no, row_no, rank, round(raw, 6) as raw, round(1 / (1 + exp(-raw / 5)), 6) as score from bm")
+@query("plan_p06_bm25", f"{MEM}, {Q}, {bm25_sql('mem')} select query_no, row_no, rank, round(raw, 6) as raw, round(1 / (1 + exp(-raw / 5)), 6) as score from bm")
 def p06(spark: SparkSession, d: str) -> DataFrame:
     return bm25_hits(smart(spark, d), asked(spark, d), 20).select("query_no", "row_no", F.col("rank").cast("bigint").alias("rank"), F.round("raw", 6).alias("raw"), F.round("score", 6).alias("score"))
 
@@ -124,17 +124,17 @@ def a02(spark: SparkSession, d: str) -> DataFrame:
     return fuse(vector_hits(live, asked(spark, d), 20, LAYERS).unionByName(bm25_hits(live, asked(spark, d), 20))).select("query_no", "row_no", F.round("fused", 6).alias("fused"))
 
 
-@query("p02_hybrid", f"{hits_sql()}, {fused_sql({'vector': 0.35, 'l0': 0.15, 'l1': 0.10, 'l2': 0.10, 'bm25': 0.30})}, {stages_sql()} {OUT}")
+@query("plan_p02_hybrid", f"{hits_sql()}, {fused_sql({'vector': 0.35, 'l0': 0.15, 'l1': 0.10, 'l2': 0.10, 'bm25': 0.30})}, {stages_sql()} {OUT}")
 def p02(spark: SparkSession, d: str) -> DataFrame:
     return shown(hybrid(smart(spark, d), asked(spark, d), CFG))
 
 
-@query("p03_vector_only", f"{hits_sql(20, False)}, {fused_sql({'vector': 0.5, 'l0': 0.2, 'l1': 0.15, 'l2': 0.15})}, {stages_sql()} {OUT}")
+@query("plan_p03_vector_only", f"{hits_sql(20, False)}, {fused_sql({'vector': 0.5, 'l0': 0.2, 'l1': 0.15, 'l2': 0.15})}, {stages_sql()} {OUT}")
 def p03(spark: SparkSession, d: str) -> DataFrame:
     return shown(vector_only(smart(spark, d), asked(spark, d), CFG))
 
 
-@query("p04_bm25_only", f"{MEM}, {Q}, live as (select * from mem where {ACTIVE}), {bm25_sql('live')}, hits as (select *, {SCORED} from bm), {fused_sql({'bm25': 0.3})}, {stages_sql()} {OUT}")
+@query("plan_p04_bm25_only", f"{MEM}, {Q}, live as (select * from mem where {ACTIVE}), {bm25_sql('live')}, hits as (select *, {SCORED} from bm), {fused_sql({'bm25': 0.3})}, {stages_sql()} {OUT}")
 def p04(spark: SparkSession, d: str) -> DataFrame:
     return shown(bm25_only(smart(spark, d), asked(spark, d), CFG))
 
