@@ -21,12 +21,12 @@ WORD = 64
 OPEN = -1
 
 
-def resolve_facts(updates: DataFrame, max_rounds: int = 64) -> DataFrame:
+def resolve_facts(updates: DataFrame) -> DataFrame:
     """Adds ``scope`` and ``fact_key`` in their normal forms, keyless rows taking those of the row they supersede.
 
-    A superseded row may lack a key too; the chain is followed by pointer doubling, one join per round and
-    log2(chain) rounds, so a chain of 2**64 rows would still end. Chains that lead nowhere or run in a circle leave
-    the row without a fact; such rows are dropped.
+    A superseded row may lack a key too; the chain is followed by pointer doubling, one join per round and as many
+    rounds as the number of keyless rows has bits. Chains that lead nowhere or run in a circle leave the row without
+    a fact; such rows are dropped.
     """
     rows = updates.withColumns({"scope": scope_key(F.col("scope")), "fact_key": fact_key(F.col("fact_key"))})
     keyed = rows.where(F.col("fact_key").isNotNull())
@@ -40,7 +40,8 @@ def resolve_facts(updates: DataFrame, max_rounds: int = 64) -> DataFrame:
     ))
     step = by_id.select(F.col("memory_id").alias("at"), "fact", "next")
     found = None
-    for _ in range(max_rounds):
+    # no chain is longer than the keyless rows; round k walks 2**k of them
+    for _ in range(lost.count().bit_length() + 1):
         walked = checkpoint(chain.join(step, "at", "inner"))
         done = walked.where(F.col("fact").isNotNull()).select("start", "fact")
         found = done if found is None else found.unionByName(done)
