@@ -21,7 +21,7 @@ from memspark.llm.metatext import text_fields
 from memspark.llm.tagger import KINDS, PAD, decode, encode
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WINDOW, MARGIN, CELLS = 240, 40, 1024
+WINDOW, MARGIN, CELLS = 240, 40, 512
 
 
 @lru_cache(maxsize=2)
@@ -108,6 +108,8 @@ def settle_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         m = _ITEMS[kind].search(text, a, b)
         return (m.start(), m.end()) if m and 2 * (m.end() - m.start()) >= b - a else None
     for start in range(lo, min(b, hi)):
+        if start and text[start].isalnum() and text[start - 1].isalnum():
+            continue  # no item begins inside a word
         m = _ITEMS[kind].match(text, start)
         if m:
             shared = min(m.end(), b) - max(m.start(), a)

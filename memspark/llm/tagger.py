@@ -112,13 +112,35 @@ def _back(dh_all, x, u, gates, cells, hs):
 
 
 def emissions(w: dict, codes: np.ndarray) -> np.ndarray:
-    """(T, B, TAGS) scores of (T, B) codes."""
-    sides = []
-    for d, order in (("f", codes), ("b", codes[::-1])):
-        table = w["emb"] @ w[f"w{d}"] + w[f"b{d}"]
-        hs, _, _ = _run(table[order], w[f"u{d}"], False)
-        sides.append(hs if d == "f" else hs[::-1])
-    return sides[0] @ w["out"][:HIDDEN] + sides[1] @ w["out"][HIDDEN:] + w["bias"]
+    """(T, B, TAGS) scores of (T, B) codes. Inputs are looked up step by step and states leave as scores, so what a
+    step touches stays in the cache."""
+    t, b = codes.shape
+    e = np.empty((t, b, TAGS), np.float32)
+    e[:] = w["bias"]
+    scale = np.full(4 * HIDDEN, 0.5, np.float32)
+    scale[3 * HIDDEN :] = 1
+    z, part, x = np.empty((b, 4 * HIDDEN), np.float32), np.empty((b, TAGS), np.float32), np.empty((b, 4 * HIDDEN), np.float32)
+    ig, tc = np.empty((b, HIDDEN), np.float32), np.empty((b, HIDDEN), np.float32)
+    for n, d in enumerate("fb"):
+        table = ((w["emb"] @ w[f"w{d}"] + w[f"b{d}"]) * scale).astype(np.float32)
+        u, out = np.ascontiguousarray(w[f"u{d}"] * scale), np.ascontiguousarray(w["out"][n * HIDDEN : (n + 1) * HIDDEN])
+        h, c = np.zeros((b, HIDDEN), np.float32), np.zeros((b, HIDDEN), np.float32)
+        for k in range(t) if d == "f" else range(t - 1, -1, -1):
+            np.dot(h, u, out=z)
+            np.take(table, codes[k], axis=0, out=x, mode="clip")
+            z += x
+            np.tanh(z, out=z)
+            gates = z[:, : 3 * HIDDEN]
+            gates *= 0.5
+            gates += 0.5
+            np.multiply(z[:, :HIDDEN], z[:, 3 * HIDDEN :], out=ig)
+            c *= z[:, HIDDEN : 2 * HIDDEN]
+            c += ig
+            np.tanh(c, out=tc)
+            np.multiply(z[:, 2 * HIDDEN : 3 * HIDDEN], tc, out=h)
+            np.dot(h, out, out=part)
+            e[k] += part
+    return e
 
 
 def loss_and_gradients(w: dict, codes: np.ndarray, tags: np.ndarray, mask: np.ndarray):
@@ -207,15 +229,32 @@ def viterbi(w: dict, e: np.ndarray) -> np.ndarray:
     return out
 
 
+def certain(w: dict, e: np.ndarray) -> np.ndarray:
+    """Which sequences surely have O throughout as best path: no span, followed from its first tag on, ever scores as
+    much as O would. One small pass over bounds of the scores instead of the search."""
+    tr = np.where(allowed(), w["trans"], -1e4) - w["trans"][0, 0]
+    first, more = np.arange(1, TAGS, 2), np.arange(2, TAGS, 2)
+    enter, onward, join = tr[0, first], tr[first, more], tr[more, more]
+    jump, leave = float(tr[1:][:, first].max()), max(float(tr[1:, 0].max()), 0.0)
+    lead = e[:, :, 1:] - e[:, :, :1]
+    begin, inside = lead[:, :, 0::2], lead[:, :, 1::2]
+    b = begin[0] + (w["start"][first] - w["start"][0])
+    i = np.full_like(b, -1e4)
+    most = b.max(1)
+    top = most.copy()
+    for k in range(1, len(e)):
+        i = inside[k] + np.maximum(b + onward, i + join)
+        b = begin[k] + np.maximum(enter, (top + jump)[:, None])
+        top = np.maximum(b, i).max(1)
+        np.maximum(most, top, out=most)
+    return most + leave < 0
+
+
 def decode(w: dict, codes: np.ndarray) -> np.ndarray:
-    """Best tags (T, B) of (T, B) codes. Sequences whose best path is certain to be all O skip the search: no tag's
-    lead in emission over O makes up for the best its transitions could add."""
+    """Best tags (T, B) of (T, B) codes; sequences that are certain to be all O skip the search."""
     e = emissions(w, codes)
-    tr = np.where(allowed(), w["trans"], -1e4)
-    gain = max(float(tr.max() - tr[0, 0]), float(w["start"][1::2].max() - w["start"][0]), 0.0)
-    lead = (e[:, :, 1:].max(2) - e[:, :, 0]).max(0)
-    # a stretch of tags changes the score of itself and of one transition after it
-    open_ = np.nonzero(lead + 2 * gain >= 0)[0]
+    e[codes == PAD] = np.where(np.arange(TAGS) == 0, 0, -50)  # nothing lies beyond the end
+    open_ = np.nonzero(~certain(w, e))[0]
     out = np.zeros(codes.shape, np.int8)
     if len(open_):
         out[:, open_] = viterbi(w, np.ascontiguousarray(e[:, open_]))
