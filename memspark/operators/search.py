@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +42,16 @@ def blocks(queries: DataFrame, key: str, size: int = QUERY_BLOCK) -> Iterator[li
             return
 
 
-def _unit(vectors: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit rows, and which are usable: of length ``dim``, finite, not all zero."""
-    out, ok = np.zeros((len(vectors), dim)), np.zeros(len(vectors), bool)
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim and None not in v:
-            a = np.asarray(v, np.float64)
-            n = np.sqrt((a * a).sum())
-            if np.isfinite(n) and n > 0:
-                out[i], ok[i] = a / n, True
-    return out, ok
+def _unit(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit rows of the usable vectors (of length ``dim``, finite, not all zero), and which rows those are."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fit = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False)
+    m = np.asarray(column.filter(fit).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+    n = np.sqrt((m * m).sum(axis=1))
+    fine = np.isfinite(n) & (n > 0)
+    ok = fit.to_numpy(zero_copy_only=False).astype(bool)
+    ok[ok] = fine
+    return m[fine] / n[fine, None], ok
 
 
 class _Best:
@@ -60,8 +61,18 @@ class _Best:
         self.k, self.ids, self.scores = k, np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -np.inf)
 
     def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        s = np.concatenate([self.scores, np.round(scores, DIGITS)], axis=1)
-        i = np.concatenate([self.ids, np.broadcast_to(ids, scores.shape)], axis=1)
+        scores = np.round(scores, DIGITS)
+        # only what reaches the k-th best so far, and of this block the k best with their ties
+        least = self.scores[:, -1]
+        if scores.shape[1] > self.k:
+            least = np.maximum(least, np.partition(scores, scores.shape[1] - self.k, axis=1)[:, scores.shape[1] - self.k])
+        q, j = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        if not len(q):
+            return
+        at = np.arange(len(q)) - np.searchsorted(q, q)
+        s, i = np.full((len(scores), at.max() + 1), -np.inf), np.full((len(scores), at.max() + 1), np.iinfo(np.int64).max)
+        s[q, at], i[q, at] = scores[q, j], ids[j]
+        s, i = np.concatenate([self.scores, s], axis=1), np.concatenate([self.ids, i], axis=1)
         order = np.lexsort((i, -s), axis=1)[:, : self.k]
         self.scores, self.ids = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
@@ -87,8 +98,8 @@ def vector_hits(corpus: DataFrame, queries: DataFrame, k: int, columns: dict[str
     out = None
     for rows in blocks(queries.select("query_no", F.col(query_vector).alias("_v")).where("_v is not null and size(_v) > 0"), "query_no"):
         dim = max(len(r["_v"]) for r in rows)
-        unit, ok = _unit([r["_v"] for r in rows], dim)
-        unit, numbers = unit[ok], [r["query_no"] for r, o in zip(rows, ok) if o]
+        unit, ok = _unit(pa.array([r["_v"] for r in rows], pa.list_(pa.float32())), dim)
+        numbers = [r["query_no"] for r, o in zip(rows, ok) if o]
 
         def run(batches: Iterator[pa.RecordBatch], unit=unit, numbers=numbers, dim=dim) -> Iterator[pa.RecordBatch]:
             best = {c: _Best(len(numbers), k) for c in columns}
@@ -96,9 +107,9 @@ def vector_hits(corpus: DataFrame, queries: DataFrame, k: int, columns: dict[str
                 ids = b.column("row_no").to_numpy(zero_copy_only=False)
                 for c, name in columns.items():
                     for lo in range(0, b.num_rows, ROW_BLOCK):
-                        m, fine = _unit(b.column(name).slice(lo, ROW_BLOCK).to_pylist(), dim)
-                        if fine.any() and numbers:
-                            best[c].add(ids[lo : lo + ROW_BLOCK][fine], unit @ m[fine].T)
+                        m, fine = _unit(b.column(name).slice(lo, ROW_BLOCK), dim)
+                        if len(m) and numbers:
+                            best[c].add(ids[lo : lo + ROW_BLOCK][fine], unit @ m.T)
             for c in columns:
                 yield best[c].rows(numbers, c)
 
