@@ -78,6 +78,10 @@ def with_smart_meta(df: DataFrame) -> DataFrame:
         n = number(k)
         return F.when((n > 0) & (n < 9e18), F.floor(n).cast("bigint"))
 
+    def share(n: Column, default: float) -> Column:
+        # least and greatest skip nulls, so a missing number must be told apart first
+        return F.when(n.isNull() | F.isnan(n), F.lit(default)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), n)))
+
     text = F.coalesce("text", F.lit(""))
     zero = F.lit(0).cast("bigint")
     d = d.withColumns(
@@ -88,8 +92,8 @@ def with_smart_meta(df: DataFrame) -> DataFrame:
             "source": one_of(F.coalesce(get("source"), F.when(get("type") == "session-summary", "session-summary").when(get("type").isin("memory-reflection", "memory-reflection-item"), "reflection").otherwise("legacy")), SOURCES, "legacy"),
             "tier": one_of(get("tier"), TIERS, "working"),
             "access_count": count("access_count", zero),
-            "confidence": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number("confidence"))), F.lit(DEFAULT_CONFIDENCE)),
-            "feedback_weight": F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), get("feedback_weight").try_cast("double"))), F.lit(DEFAULT_FEEDBACK)),
+            "confidence": share(number("confidence"), DEFAULT_CONFIDENCE),
+            "feedback_weight": share(get("feedback_weight").try_cast("double"), DEFAULT_FEEDBACK),
             "last_accessed_at": count("last_accessed_at", F.col("timestamp_ms")),
             "valid_from": F.coalesce(stamp("valid_from"), F.col("timestamp_ms")),
             "_inval": stamp("invalidated_at"),

@@ -50,8 +50,8 @@ j2 as (select *, coalesce(nullif(regexp_replace(j->>'$.l0_abstract', '^\s+|\s+$'
       in ('manual', 'auto-capture', 'reflection', 'session-summary', 'consolidation', 'legacy')
     then coalesce(j->>'$.source', case when j->>'$.type' = 'session-summary' then 'session-summary' when j->>'$.type' in ('memory-reflection', 'memory-reflection-item') then 'reflection' else 'legacy' end) else 'legacy' end as source,
   case when j->>'$.tier' in ('core', 'working', 'peripheral') then j->>'$.tier' else 'working' end as tier,
-  case when n_access >= 0 then floor(n_access)::bigint else 0 end as access_count, coalesce(greatest(0.0, least(1.0, n_conf)), 0.7) as confidence,
-  coalesce(greatest(0.0, least(1.0, n_fw)), 0.5) as feedback_weight, case when n_last >= 0 then floor(n_last)::bigint else timestamp_ms end as last_accessed_at,
+  case when n_access >= 0 then floor(n_access)::bigint else 0 end as access_count, case when n_conf is null then 0.7 else greatest(0.0, least(1.0, n_conf)) end as confidence,
+  case when n_fw is null then 0.5 else greatest(0.0, least(1.0, n_fw)) end as feedback_weight, case when n_last >= 0 then floor(n_last)::bigint else timestamp_ms end as last_accessed_at,
   case when n_bad >= 0 then floor(n_bad)::bigint else 0 end as bad_recall_count,
   coalesce(case when n_vf > 0 then floor(n_vf)::bigint end, timestamp_ms) as valid_from, case when n_inv > 0 then floor(n_inv)::bigint end as inv0,
   nullif(regexp_replace(j->>'$.supersedes', '^\s+|\s+$', '', 'g'), '') as supersedes, nullif(regexp_replace(j->>'$.superseded_by', '^\s+|\s+$', '', 'g'), '') as superseded_by,

@@ -241,12 +241,12 @@ def x14(spark: SparkSession, d: str) -> DataFrame:
     return incoming(spark, d).where("text is not null").select("row_no", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{IsHan}|[\p{L}\p{N}])"), 1)).cast("bigint").alias("n"))
 
 
-@query("u04_term_overlap", r"""with a as (select row_no, list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as w, lag(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) over (order by row_no) as p from incoming_memories where row_no % 50 = 0 and text is not null) select row_no, len(list_intersect(w, p)) as shared from a where p is not null""")
+@query("u04_term_overlap", r"""with w as (select i.row_no, list_distinct(regexp_extract_all(lower(i.text), '[\p{L}\p{N}]+')) as a, list_distinct(regexp_extract_all(lower(m.text), '[\p{L}\p{N}]+')) as b from incoming_memories i join (select id, min(row_no) as row_no from memories group by 1) f on f.id = i.id join memories m on m.row_no = f.row_no where i.text is not null and m.text is not null)
+select row_no, len(list_intersect(a, b)) as shared from w""")
 def u04(spark: SparkSession, d: str) -> DataFrame:
-    # the query set, every 50th row, each against the one before
-    q = incoming(spark, d).where("row_no % 50 = 0 and text is not null").select("row_no", F.array_distinct(words(F.col("text"))).alias("w"))
-    prior = q.withColumn("p", F.lag("w").over(Window.orderBy("row_no")))
-    return prior.where("p is not null").select("row_no", F.size(F.array_intersect("w", "p")).cast("bigint").alias("shared"))
+    first = read_table(spark, d, "memories").groupBy("id").agg(F.min_by("text", "row_no").alias("other"))
+    both = incoming(spark, d).join(first, "id").where("text is not null and other is not null")
+    return both.select("row_no", F.size(F.array_intersect(F.array_distinct(words(F.col("text"))), F.array_distinct(words(F.col("other"))))).cast("bigint").alias("shared"))
 
 
 @query("d01_temporal")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.queries import analytics, problems, problems_sql, retrieval, graph, maintenance  # noqa: F401
+from memspark.queries import analytics, problems, problems_sql, retrieval, graph, maintenance, more  # noqa: F401
 from memspark.queries.base import QUERIES, SQL
 
 
