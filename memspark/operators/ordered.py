@@ -65,3 +65,33 @@ def prefix_sum(df: DataFrame, group: str, order: list[str], value: str, name: st
     base = totals.select(group, "_pid", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_base"))
     # at most partitions + groups rows, as groups are ranges
     return summed.join(F.broadcast(base) if base.count() <= 100_000 else base, [group, "_pid"]).withColumn(name, (F.col("_run") + F.col("_base")).cast("bigint")).drop("_run", "_base", "_pid")
+
+
+def place_in_group(df: DataFrame, group: list[str], order: list[str], name: str = "place", keep: str | None = None) -> DataFrame:
+    """``df`` with ``name``: 1, 2, 3, ... within its group in the order given, as ``row_number`` would, but with the
+    rows of a large group spread over tasks. ``keep`` names the global position, if it is wanted too.
+
+    ``group`` and ``order`` should fix the order. Null keys form groups like others.
+    """
+    placed = dense_position(df, [*group, *order], "_pos")
+    keys = [f"_g{i}" for i in range(len(group))]
+    first = placed.groupBy(*group).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n")).select(*[F.to_json(F.struct(F.col(g).alias("v"))).alias(k) for g, k in zip(group, keys)], "_first", "_n")
+    from memspark.operators.skew import join_groups
+
+    out = join_groups(placed.withColumns({k: F.to_json(F.struct(F.col(g).alias("v"))) for g, k in zip(group, keys)}), first, keys, "_n")
+    out = out.withColumn(name, F.col("_pos") - F.col("_first") + 1)
+    return (out if keep is None else out.withColumn(keep, F.col("_pos"))).drop("_pos", "_first", "_n", *keys)
+
+
+def with_neighbour(df: DataFrame, group: list[str], order: list[str], columns: dict[str, str], step: int = 1) -> DataFrame:
+    """``df`` with columns of the row ``step`` places on in its group (back if negative), null where there is none.
+
+    ``columns`` maps columns to the names that the neighbour's values get.
+    """
+    placed = dense_position(df, [*group, *order], "_pos")
+    other = placed.select((F.col("_pos") - step).alias("_pos"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], *[F.col(c).alias(n) for c, n in columns.items()])
+    out = placed.join(other, "_pos", "left")
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return out.withColumns({n: F.when(same, F.col(n)) for n in columns.values()}).drop("_pos", *[f"_g{i}" for i in range(len(group))])

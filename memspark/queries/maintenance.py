@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions import text as X
@@ -14,6 +14,7 @@ from memspark.functions.temporal import with_temporal
 from memspark.metadata import store_rows
 from memspark.operators import store as O
 from memspark.operators.consolidate import conflicts, consolidation, similar_pairs
+from memspark.operators.ordered import place_in_group, with_neighbour
 from memspark.queries.base import MEM, NOW, query, smart
 from memspark.session import read_table
 from memspark.sources.conversations import plaintext_turns
@@ -118,8 +119,9 @@ def s25(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w06_dialogue_pairs", f"""{MEM}, m as (select row_no, scope, timestamp_ms, category from mem), p as (select row_no, lead(row_no) over w as next_row, row_number() over w as n from m window w as (partition by scope order by timestamp_ms, row_no)) select row_no, next_row from p where n % 2 = 1 and next_row is not null""")
 def w06(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("scope").orderBy("timestamp_ms", "row_no")
-    return smart(spark, d).withColumns({"next_row": F.lead("row_no").over(w), "n": F.row_number().over(w)}).where("n % 2 = 1 and next_row is not null").select("row_no", "next_row")
+    m = place_in_group(smart(spark, d).select("row_no", "scope", "timestamp_ms"), ["scope"], ["timestamp_ms", "row_no"], "n", "at")
+    after = m.where("n % 2 = 0").select((F.col("at") - 1).alias("at"), F.col("row_no").alias("next_row"))
+    return m.where("n % 2 = 1").join(after, "at").select("row_no", "next_row")
 
 
 @query("j05_fact_key_conflicts", f"""{MEM}, a as (select row_no, scope, fact_key, lower(trim(t)) as tx from mem where fact_key is not null), k as (select scope, fact_key, min(row_no) as first_row, arg_min(tx, row_no) as first_tx from a group by 1, 2)
@@ -176,8 +178,8 @@ def p07(spark: SparkSession, d: str) -> DataFrame:
 
 @query("plan_p17_supersede", f"""{MEM}, v as (select row_no, scope, fact_key, valid_from, lead(valid_from) over (partition by scope, fact_key order by valid_from, row_no) as closed_at from mem where fact_key is not null) select row_no, closed_at from v where closed_at is not null""")
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("scope", "fact_key").orderBy("valid_from", "row_no")
-    return smart(spark, d).where("fact_key is not null").withColumn("closed_at", F.lead("valid_from").over(w)).where("closed_at is not null").select("row_no", "closed_at")
+    m = smart(spark, d).where("fact_key is not null").select("row_no", "scope", "fact_key", "valid_from")
+    return with_neighbour(m, ["scope", "fact_key"], ["valid_from", "row_no"], {"valid_from": "closed_at"}).where("closed_at is not null").select("row_no", "closed_at")
 
 
 @query("plan_p22_promote", f"{MEM} select row_no, 'confirmed' as state, case when memory_layer = 'archive' then 'durable' else memory_layer end as memory_layer from mem where state = 'pending' and confidence >= 0.8")
@@ -288,9 +290,9 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r02_turn_history", "with t as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as turn, props::json->>'$.k' as item from events), l as (select *, lag(turn) over (partition by user_id, item order by turn) as before from t) select event_id, before is not null and turn - before <= 8 as hidden from l")
 def r02(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "events").withColumns({"turn": F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")), "item": F.get_json_object("props", "$.k")})
-    before = F.lag("turn").over(Window.partitionBy("user_id", "item").orderBy("turn"))
-    return t.withColumn("before", before).select("event_id", (F.col("before").isNotNull() & (F.col("turn") - F.col("before") <= 8)).alias("hidden"))
+    e = read_table(spark, d, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").alias("item"))
+    t = with_neighbour(place_in_group(e, ["user_id"], ["ts", "event_id"], "turn"), ["user_id", "item"], ["turn"], {"turn": "before"}, -1)
+    return t.select("event_id", (F.col("before").isNotNull() & (F.col("turn") - F.col("before") <= 8)).alias("hidden"))
 
 
 @query("r_sessions", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as sid from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, sid")

@@ -10,6 +10,7 @@ from memspark.functions.embed import backfill, embed_column, mean_vector
 from memspark.functions.norm import scope_key, words
 from memspark.metadata import SEMANTIC_TO_STORAGE, STORAGE_TO_SEMANTIC
 from memspark.operators import admission as A
+from memspark.operators.ordered import place_in_group
 from memspark.operators.search import vector_hits
 from memspark.queries.base import MEM, NOW, query, smart
 from memspark.queries.retrieval import Q, asked, knn_sql
@@ -156,8 +157,8 @@ def w03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w05_keep_last", "with r as (select event_id, user_id, row_number() over (partition by user_id order by ts desc, event_id desc) as place from events where event_type = 'view') select event_id, place > 5 as cleared from r")
 def w05(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return read_table(spark, d, "events").where("event_type = 'view'").withColumn("place", F.row_number().over(w)).select("event_id", (F.col("place") > 5).alias("cleared"))
+    e = read_table(spark, d, "events").where("event_type = 'view'").select("event_id", "user_id", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("event_id")).alias("e"))
+    return place_in_group(e, ["user_id"], ["t", "e"]).select("event_id", (F.col("place") > 5).alias("cleared"))
 
 
 @query("w09_access_gap", "select user_id, round(case when count(*) > 1 then (epoch(max(ts)) - epoch(min(ts))) / (count(*) - 1) else 0 end, 3) as gap_s from events where event_type = 'click' group by 1")
@@ -195,10 +196,9 @@ def m09(spark: SparkSession, d: str) -> DataFrame:
 @query("m24_feedback_ema", "with e as (select user_id, row_number() over (partition by user_id order by ts desc, event_id desc) as back, case when event_type = 'purchase' then 1.0 else 0.0 end as signal, count(*) over (partition by user_id) as n from events where event_type in ('purchase', 'error')) select user_id, round(sum(0.15::double * signal * pow(0.85::double, back - 1)) + 0.5::double * pow(0.85::double, any_value(n)), 6) as weight from e group by 1")
 def m24(spark: SparkSession, d: str) -> DataFrame:
     # the running average in closed form: a signal's weight falls by 0.85 with each later one, so no fold is needed
-    w = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = read_table(spark, d, "events").where("event_type in ('purchase', 'error')").withColumn("back", F.row_number().over(w))
+    e = read_table(spark, d, "events").where("event_type in ('purchase', 'error')").select("user_id", "event_type", (-F.unix_micros(F.col("ts").cast("timestamp"))).alias("t"), (-F.col("event_id")).alias("e"))
     part = 0.15 * (F.col("event_type") == "purchase").cast("double") * F.pow(F.lit(0.85), F.col("back") - 1)
-    return e.groupBy("user_id").agg(F.round(F.sum(part) + 0.5 * F.pow(F.lit(0.85), F.count(F.lit(1))), 6).alias("weight"))
+    return place_in_group(e, ["user_id"], ["t", "e"], "back").groupBy("user_id").agg(F.round(F.sum(part) + 0.5 * F.pow(F.lit(0.85), F.count(F.lit(1))), 6).alias("weight"))
 
 
 @query("m25_reflection_logistic", f"{MEM} select row_no, round({LOGIT} * importance, 6) as score from mem")
