@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspark.operators.skew import small
 from memspark.session import checkpoint
 
 #: The lattice: joins are the bitwise or of these.
@@ -114,11 +115,12 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     files = leaves.groupBy("store_name", "file_no").agg(F.min("written_at").alias("written_at"))
     # one row per file: the files of a store are few against its lines
     seq = checkpoint(files.withColumn("seq", F.row_number().over(Window.partitionBy("store_name").orderBy("written_at", "file_no"))))
+    files_seq = small(seq.select("store_name", "file_no", "seq"))
     fields = checkpoint(
-        leaves.groupBy("store_name", "file_no", "depth", "parent", "path").agg(F.bit_or("kind").alias("kind")).join(seq.select("store_name", "file_no", "seq"), ["store_name", "file_no"])
+        leaves.groupBy("store_name", "file_no", "depth", "parent", "path").agg(F.bit_or("kind").alias("kind")).join(files_seq, ["store_name", "file_no"])
     )
     values = leaves.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("store_name", "file_no", "id", "path").agg(F.min("sig").alias("sig"))
-    values = checkpoint(values.join(seq.select("store_name", "file_no", "seq"), ["store_name", "file_no"]))
+    values = checkpoint(values.join(files_seq, ["store_name", "file_no"]))
     depth = fields.agg(F.max("depth")).first()[0]
     log, renamed = None, None  # renamed: store_name, seq, old, new of fields renamed so far
     for level in range(0 if depth is None else depth + 1):
@@ -145,8 +147,9 @@ def schema_changes(lines: DataFrame) -> DataFrame:
             # both sides must have the parent: it stands in `parents` of the level above
             gone, new = gone.join(parents, [*key, "parent"], "left_semi"), new.join(parents, [*key, "parent"], "left_semi")
         gone, new = checkpoint(gone), checkpoint(new)
-        pairs = gone.join(new.select(*key, "parent", F.col("path").alias("new_path"), "now"), [*key, "parent"])
-        before = pairs.join(values.select("store_name", (F.col("seq") + 1).alias("seq"), F.col("path").alias("old_path"), "id", F.col("sig").alias("was_sig")), [*key, "old_path"])
+        # a file may hold a third of all lines: what was and what is now come to its values, not the values to them
+        pairs = small(checkpoint(gone.join(new.select(*key, "parent", F.col("path").alias("new_path"), "now"), [*key, "parent"])))
+        before = values.select("store_name", (F.col("seq") + 1).alias("seq"), F.col("path").alias("old_path"), "id", F.col("sig").alias("was_sig")).join(pairs, [*key, "old_path"])
         agree = before.join(values.select("store_name", "seq", F.col("path").alias("new_path"), "id", F.col("sig").alias("now_sig")), [*key, "new_path", "id"])
         scored = agree.groupBy(*key, "in_file", "old_path", "new_path", "was", "now").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("was_sig") == F.col("now_sig")).alias("same"))
         good = scored.where((F.col("same") > 0) & (F.col("same") >= RENAME_SHARE * F.col("n")))
@@ -226,7 +229,7 @@ def unified_table(lines: DataFrame) -> DataFrame:
     kinds = kinds.groupBy(F.coalesce(F.col("names")[F.col("path")], F.col("path")).alias("field")).agg(F.bit_or("kind").alias("kind"))
     schema = [(r["field"], r["kind"]) for r in kinds.orderBy("field").collect() if r["field"] != "id"]
     parsed = F.from_json("record", "map<string,string>")
-    rows = lines.withColumn("_m", parsed).where(F.col("_m").isNotNull()).join(lookup, ["store_name", "file_no"], "left")
+    rows = lines.withColumn("_m", parsed).where(F.col("_m").isNotNull()).join(small(lookup), ["store_name", "file_no"], "left")
     rows = rows.withColumn("_m", F.when(F.col("names").isNull(), F.col("_m")).otherwise(F.transform_keys("_m", lambda k, v: F.coalesce(F.col("names")[k], k))))
 
     def cast(field: str, kind: int) -> F.Column:

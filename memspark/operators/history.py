@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.norm import fact_key, scope_key
 from memspark.operators.ordered import dense_position
+from memspark.operators.skew import join_groups
 from memspark.session import checkpoint
 
 WORD = 64
@@ -53,7 +54,8 @@ def resolve_facts(updates: DataFrame) -> DataFrame:
         step = checkpoint(step.join(onward, "next", "left").select(
             "at", F.coalesce("fact", "f2").alias("fact"), F.when(F.col("fact").isNull() & F.col("f2").isNull(), F.col("n2")).alias("next")
         ))
-    adopted = lost.drop("scope", "fact_key").join(found.withColumnRenamed("start", "supersedes"), "supersedes").select(
+    counts = lost.groupBy("supersedes").agg(F.count(F.lit(1)).alias("_n"))
+    adopted = join_groups(lost.drop("scope", "fact_key"), found.withColumnRenamed("start", "supersedes").join(counts, "supersedes"), ["supersedes"], "_n").drop("_n").select(
         "*", F.col("fact.scope").alias("scope"), F.col("fact.fact_key").alias("fact_key")
     ).drop("fact")
     return keyed.unionByName(adopted.select(*keyed.columns))

@@ -24,3 +24,12 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, tot
     hot = F.broadcast(groups.where(F.col(n) >= least))
     cold = groups.where(F.col(n) < least)
     return rows.join(hot, keys).unionByName(rows.join(F.broadcast(groups.where(F.col(n) >= least).select(*keys)), keys, "left_anti").join(cold, keys))
+
+
+#: Rows up to which a table of keys is broadcast.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it is counted to have no more than ``limit`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
