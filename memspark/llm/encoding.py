@@ -49,25 +49,12 @@ def decode(ids: list[int], vocabulary: str = VOCABULARY) -> str:
     return b"".join(tokenizer(vocabulary).decode_single_token_bytes(i) for i in ids).decode("utf-8", "replace")
 
 
-def chunk_bounds(n: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) of chunks that overlap the one after by ``overlap``; the last ends with the text."""
-    return [(a, min(n, a + chunk + overlap)) for a in range(0, max(n, 1), chunk)]
-
-
 def boundaries(text: str, start: int, last: bool) -> list[int]:
     """Starts of pre-tokens of a chunk, in positions of the whole text; the end of all but the last chunk is unsure."""
     at = [m.start() + start for m in _pattern().finditer(text)]
     return at if last else at[:-2]
 
 
-def resync(left: list[int], right: list[int], low: int, high: int) -> int | None:
-    """First boundary within [low, high) that both chunks have."""
-    common = {x for x in left if low <= x < high} & {x for x in right if low <= x < high}
-    # the very start of the right chunk is a boundary only because it was cut there
-    common.discard(low)
-    return min(common, default=None)
-
-
 def token_counts(texts: list[str | None], vocabulary: str = VOCABULARY) -> list[int]:
     return [len(x) for x in tokenizer(vocabulary).encode_ordinary_batch([t or "" for t in texts], num_threads=1)]
 
@@ -84,11 +71,13 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
     base = docs.select(F.col(key).cast("bigint").alias(key), text)
     size = F.coalesce(F.length(text), F.lit(0))
     out = base.where(size <= chunk).mapInArrow(short, f"{key} bigint, ids array<int>")
-    long = base.where(size > chunk)
+    # rows with the same key are told apart by their text; equal ones are encoded once
+    rows = base.where(size > chunk).withColumn("_u", F.sha2(F.col(text), 256))
+    long = rows.dropDuplicates([key, "_u"])
     # pass 1: chunks, each with the overlap after it, pre-tokenised in parallel
     starts = F.explode(F.sequence(F.lit(0), F.length(text) - 1, F.lit(chunk)))
-    chunks = long.select(key, F.length(text).alias("n"), starts.alias("a"), F.col(text).alias("t")).select(
-        key, "n", "a", F.substring("t", F.col("a") + 1, F.lit(chunk + overlap)).alias("t")
+    chunks = long.select(key, "_u", F.length(text).alias("n"), starts.alias("a"), F.col(text).alias("t")).select(
+        key, "_u", "n", "a", F.substring("t", F.col("a") + 1, F.lit(chunk + overlap)).alias("t")
     )
 
     def zones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,24 +88,24 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
                 head.append([x for x in at if x < a + overlap])
                 tail.append([x for x in at if x >= a + chunk])
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("n"), b.column("a"), pa.array(head, lists), pa.array(tail, lists)], names=[key, "n", "a", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("_u"), b.column("a"), pa.array(head, lists), pa.array(tail, lists)], names=[key, "_u", "a", "head", "tail"])
 
-    marked = chunks.repartition(key, "a").mapInArrow(zones, f"{key} bigint, n int, a int, head array<bigint>, tail array<bigint>")
-    before = marked.select(key, (F.col("a") + chunk).alias("a"), "tail")
+    marked = chunks.repartition(key, "_u", "a").mapInArrow(zones, f"{key} bigint, _u string, a int, head array<bigint>, tail array<bigint>")
+    before = marked.select(key, "_u", (F.col("a") + chunk).alias("a"), "tail")
     common = F.array_min(F.filter(F.array_intersect("tail", "head"), lambda x: x > F.col("a")))
-    found = marked.select(key, "n", "a", "head").join(before, [key, "a"]).withColumn("cut", common).where(F.col("cut").isNotNull())
+    found = marked.select(key, "_u", "a", "head").join(before, [key, "_u", "a"]).withColumn("cut", common).where(F.col("cut").isNotNull())
     # pass 2: the pieces between cuts, encoded in parallel; one list of cuts per text is the text's chunk count
-    plan = found.groupBy(key).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
-    whole = long.join(plan, key, "left").withColumn("cuts", F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(F.length(text).cast("bigint"))))
+    plan = found.groupBy(key, "_u").agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    whole = long.join(plan, [key, "_u"], "left").withColumn("cuts", F.concat(F.array(F.lit(0).cast("bigint")), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(F.length(text).cast("bigint"))))
     span = F.posexplode(F.expr("transform(sequence(1, size(cuts) - 1), i -> struct(cuts[i - 1] as a, cuts[i] as b))")).alias("piece", "s")
-    pieces = whole.select(key, span, text).select(key, "piece", F.expr(f"substring({text}, cast(s.a as int) + 1, cast(s.b - s.a as int))").alias(text))
+    pieces = whole.select(key, "_u", span, text).select(key, "_u", "piece", F.expr(f"substring({text}, cast(s.a as int) + 1, cast(s.b - s.a as int))").alias(text))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(vocabulary)
         for b in batches:
             ids = t.encode_ordinary_batch([x or "" for x in b.column(text).to_pylist()], num_threads=1)
-            yield pa.RecordBatch.from_arrays([b.column(key), b.column("piece"), pa.array(ids, pa.list_(pa.int32()))], names=[key, "piece", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(key), b.column("_u"), b.column("piece"), pa.array(ids, pa.list_(pa.int32()))], names=[key, "_u", "piece", "ids"])
 
-    parts = pieces.repartition(key, "piece").mapInArrow(encoded, f"{key} bigint, piece int, ids array<int>")
-    joined = parts.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return out.unionByName(joined)
+    parts = pieces.repartition(key, "_u", "piece").mapInArrow(encoded, f"{key} bigint, _u string, piece int, ids array<int>")
+    joined = parts.groupBy(key, "_u").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("piece", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return out.unionByName(rows.select(key, "_u").join(joined, [key, "_u"]).drop("_u"))

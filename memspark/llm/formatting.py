@@ -61,20 +61,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def formatting_groups(memories: DataFrame) -> DataFrame:
     """first_row_no, row_no for every row that is not the first of its group, each verified.
 
-    Null and empty texts, and texts without any word, are equal to each other and to nothing else. Repeated ``row_no``
-    do not occur in the input; extra columns are ignored; an empty table gives no rows.
+    Null and empty texts, and texts without any word, are equal to each other and to nothing else. Rows that repeat a
+    ``row_no`` count as one; extra columns are ignored; an empty table gives no rows.
     """
     base = memories.select("row_no", scope_key(F.col("scope")).alias("scope"), "text")
     prints = checkpoint(base.mapInArrow(_prints, "row_no bigint, scope string, seq binary, fld binary"))
     seqs = checkpoint(prints.groupBy("scope", "seq").agg(F.min("row_no").alias("first"), F.min("fld").alias("fld"), F.count(F.lit(1)).alias("n")))
     total = seqs.agg(F.sum("n")).first()[0] or 0
     by_field = seqs.where(F.col("fld").isNotNull()).groupBy("scope", "fld").agg(F.min("first").alias("all_first"), F.sum("n").alias("all_n"), F.count(F.lit(1)).alias("k"))
-    # one row per distinct field order: few copies are left after the grouping by sequence
-    groups = seqs.join(by_field.where("k > 1"), ["scope", "fld"], "left").select(
-        "scope", "seq", F.least("first", "all_first").alias("first_row_no"), F.greatest("n", "all_n").alias("n")
-    )
-    members = checkpoint(join_groups(prints.select("row_no", "scope", "seq"), groups.where("n > 1"), ["scope", "seq"], "n", total).select("first_row_no", "row_no", "n"))
-    texts = base.select("row_no", "text").join(members, "row_no")
+    fielded = seqs.where(F.col("fld").isNotNull())
+    joined = join_groups(fielded.select("scope", "fld", "seq", "first", "n"), by_field, ["scope", "fld"], "k").select("scope", "seq", F.least("first", "all_first").alias("first_row_no"), "n", F.col("all_n").alias("size"))
+    groups = joined.unionByName(seqs.where(F.col("fld").isNull()).select("scope", "seq", F.col("first").alias("first_row_no"), "n", F.col("n").alias("size")))
+    members = checkpoint(join_groups(prints.select("row_no", "scope", "seq"), groups.where("size > 1"), ["scope", "seq"], "n", total).select("first_row_no", "row_no", F.col("size").alias("n")).distinct())
+    texts = base.select("row_no", "text").join(members, "row_no").dropDuplicates(["row_no"])
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     heads = texts.where("row_no = first_row_no").select("first_row_no", F.col("text").alias("first_text"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
     others = texts.where("row_no != first_row_no").withColumn("salt", F.pmod(F.xxhash64("row_no"), salts).cast("int"))

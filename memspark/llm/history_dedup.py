@@ -84,6 +84,8 @@ def _matrix(col: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
     table = table.sort_by("cid")
+    cid = table["cid"].to_numpy()
+    table = table.filter(pa.array(np.r_[True, cid[1:] != cid[:-1]][: len(cid)]))  # rows delivered with one row_no twice
     graph = Graph(_matrix(table["sig"], np.uint64, 4), _matrix(table["bands"], np.uint32, 16))
     blob = pickle.dumps((table["cid"].to_numpy(), table["words"].to_pylist(), table["vector"].to_pylist()), protocol=5)
     return pa.table({"scope": pa.array([key[0].as_py()], pa.string()), "shard": pa.array([key[1].as_py()], pa.string()), "graph": pa.array([graph.dumps()], pa.binary()), "rows": pa.array([blob], pa.binary())})
@@ -133,10 +135,11 @@ def search_shards(shards: DataFrame, queries: DataFrame) -> DataFrame:
 
     ``queries`` have a block number within their scope; a shard is sent to each block of its scope once.
     """
+    # which shard meets which block; payloads are joined by shard and by block, so a large scope is spread over both
     blocks = queries.select("scope", "block").distinct()
-    places = shards.join(blocks, "scope")
-    asked = queries.join(shards.select("scope", "shard"), "scope")
+    meet = checkpoint(shards.select("scope", "shard").join(blocks, "scope"))
     key = ["scope", "shard", "block"]
+    places, asked = shards.join(meet, ["scope", "shard"]), queries.join(meet, ["scope", "block"])
     places, asked = places.toDF(*places.columns), asked.toDF(*asked.columns)
     return places.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search, "q bigint, a bigint")
 
@@ -195,7 +198,7 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     # a query class has its own incoming row, so only the incoming rows are read again
     fresh_texts = incoming.select(F.col("row_no").alias("new"), "text", "vector")
     asked = _blocks(classes.where("new is not null").select("scope", F.lit(0).alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
-    asked = fresh_texts.join(asked, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int")
+    asked = checkpoint(fresh_texts.join(asked, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int"))
     pairs = checkpoint(search_shards(shards, asked))
 
     info = classes.select(F.col("cid").alias("a"), F.col("old").alias("a_old"), F.col("new").alias("a_new"))
@@ -210,4 +213,4 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     by_new = edges.join(accepted.select(F.col("cid").alias("a")), "a", "left_semi").groupBy("q").agg(F.min("a").alias("hit_new"))
     verdict = asked.join(by_new, "q", "left").select("scope", "class", "n", F.coalesce("hit", "hit_new", "q").alias("accepted_row_no"))
     out = join_groups(rows.where(fresh).select("row_no", "scope", "class"), verdict, ["scope", "class"], "n")
-    return out.where("accepted_row_no != row_no").select("accepted_row_no", "row_no")
+    return out.where("accepted_row_no != row_no").select("accepted_row_no", "row_no").distinct()

@@ -25,4 +25,7 @@ def test_chunks_equal_whole(spark):
     got = {r.doc_id: list(r.ids) for r in encode_corpus(df, chunk=100, overlap=40).collect()}
     assert got == {i: encode(t) for i, t in enumerate(texts)}
     assert got[0] == got[1] == []
+    twice = df.unionByName(df.where("doc_id = 7")).unionByName(df.where("doc_id = 8").selectExpr("7L as doc_id", "text", "ids"))
+    rows = [list(r.ids) for r in encode_corpus(twice, chunk=100, overlap=40).where("doc_id = 7").collect()]
+    assert sorted(rows) == sorted([got[7], got[7], got[8]])
     assert encode_corpus(df.where("false")).count() == 0
