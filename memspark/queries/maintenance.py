@@ -110,7 +110,7 @@ def s18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s25_plaintext_turns", r"""with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents where text is not null),
 p as (select *, regexp_extract(line, '(?i)^(User|Human|Assistant|AI|System):\s*', 1) as pre from l), t as (select *, sum((pre <> '')::int) over (partition by doc_id order by n) as turn from p),
-g as (select doc_id, turn, max(case when pre <> '' then lower(pre) end) as role, regexp_replace(string_agg(case when pre <> '' then trim(regexp_replace(line, '(?i)^(User|Human|Assistant|AI|System):\s*', '')) else line end, chr(10) order by n), '^\s+|\s+$', '', 'g') as content from t where turn > 0 group by 1, 2)
+g as (select doc_id, turn, max(case when pre <> '' then lower(pre) end) as role, regexp_replace(string_agg(case when pre <> '' then trim(regexp_replace(line, '(?i)^(User|Human|Assistant|AI|System):\s*', '')) else line end, chr(10) order by n), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as content from t where turn > 0 group by 1, 2)
 select doc_id, case when role in ('user', 'human') then 'user' when role in ('assistant', 'ai') then 'assistant' else 'system' end as role, content from g where content <> ''""")
 def s25(spark: SparkSession, d: str) -> DataFrame:
     docs = read_table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("conv_id"), F.col("text").alias("content"))

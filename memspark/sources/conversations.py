@@ -52,7 +52,7 @@ def plaintext_turns(df: DataFrame) -> DataFrame:
         longer = F.struct(last["role"].alias("role"), F.concat(last["content"], F.when(last["content"] == "", "").otherwise("\n"), line).alias("content"))
         return F.when(prefix != "", F.concat(acc, F.array(fresh))).when(F.size(acc) > 0, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(acc)
 
-    turns = F.filter(F.transform(F.aggregate(lines, init, step), lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["content"], r"^\s+|\s+$", "").alias("content"))), lambda t: t["content"] != "")
+    turns = F.filter(F.transform(F.aggregate(lines, init, step), lambda t: F.struct(t["role"].alias("role"), F.regexp_replace(t["content"], r"(?U)^\s+|\s+$", "").alias("content"))), lambda t: t["content"] != "")
     return df.select("conv_id", F.posexplode(turns).alias("turn", "t")).select("conv_id", "turn", "t.role", "t.content", F.lit(None).cast("string").alias("timestamp"))
 
 
