@@ -203,3 +203,17 @@ def p20(spark: SparkSession, d: str) -> DataFrame:
     return best.select("query_no", "row_no", trace.alias("t")).select("query_no", "row_no", "t.*")
 
 
+TRIPLE = r"(?:^|[.!?] )([A-Z][a-z]+) (prefers|uses|owns|leads|reviewed|checks|sends) (?:that )?((?:[a-z]+ ){1,3}[a-z]+)"
+
+
+@query("plan_p12_triples", rf"with t as (select row_no, regexp_extract(text, '{TRIPLE}', ['s', 'p', 'o']) as m from memories where text is not null) select row_no, m.s as subject, m.p as predicate, m.o as object from t where m.s <> ''")
+def p12(spark: SparkSession, d: str) -> DataFrame:
+    t = read_table(spark, d, "memories").where("text is not null").select("row_no", *[F.regexp_extract("text", TRIPLE, i).alias(n) for i, n in ((1, "subject"), (2, "predicate"), (3, "object"))])
+    return t.where("subject != ''")
+
+
+@query("plan_p24_adapter_recall", f"""{hits_sql()}, {FUSED}, {stages_sql()}, c as (select query_no, row_no, place, sum(length(t)) over (partition by query_no order by place) as total from best) select query_no, row_no, place from c where total <= 600""")
+def p24(spark: SparkSession, d: str) -> DataFrame:
+    best = hybrid(smart(spark, d), asked(spark, d), RecallConfig(NOW)).select("query_no", "row_no", F.col("place").cast("bigint").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
+    total = F.sum(F.length("text")).over(Window.partitionBy("query_no").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return best.withColumn("total", total).where("total <= 600").select("query_no", "row_no", "place")

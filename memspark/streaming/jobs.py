@@ -52,3 +52,17 @@ def apply_access_counts(store: DataFrame, counts: DataFrame, now_ms: int) -> Dat
     total = counts.groupBy("id").agg(F.sum("accesses").alias("_n"))
     out = store.join(total, "id", "left")
     return checkpoint(out.withColumns({"access_count": F.least(F.lit(10_000), F.col("access_count") + F.coalesce("_n", F.lit(0))).cast("bigint"), "last_accessed_at": F.when(F.col("_n").isNotNull(), F.lit(now_ms)).otherwise(F.col("last_accessed_at"))}).select(*store.columns))
+
+
+def message_stream(spark: SparkSession, path: str) -> DataFrame:
+    """New lines of session files (JSON lines) as messages: file, role, content, timestamp. The checkpoint of the
+    query that writes them keeps which files were read; broken lines and other roles are dropped."""
+    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    m = F.from_json("value", "struct<type:string,timestamp:string,message:struct<role:string,content:string>>")
+    t = lines.select("file", m.alias("m")).select("file", F.coalesce(F.when(F.col("m.type").isin("human", "user"), "user").when(F.col("m.type") == "assistant", "assistant"), F.when(F.col("m.message.role").isin("user", "assistant"), F.col("m.message.role"))).alias("role"), F.trim("m.message.content").alias("content"), F.col("m.timestamp").alias("timestamp"))
+    return t.where("role is not null and content != ''")
+
+
+def learn_prototypes(bank: DataFrame, new: DataFrame, limit: int = 200) -> DataFrame:
+    """The newest ``limit`` noise prototypes (vector, learned_at) of bank and new ones; the bank is bounded by it."""
+    return bank.unionByName(new).orderBy(F.desc("learned_at")).limit(limit)

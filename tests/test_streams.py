@@ -36,3 +36,19 @@ def test_signals_and_sessions(spark, tmp_path):
     run_to_table(signals(events_stream(spark, path + "/*")), str(tmp_path / "out"), str(tmp_path / "state"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
     assert {(r.user_id, r.n) for r in sessions(spark.read.parquet(path + "/*")).collect()} == {(1, 3), (1, 1), (2, 2)}
+
+
+def test_messages_are_read_once(spark, tmp_path):
+    import json
+
+    from memspark.streaming.jobs import message_stream
+
+    d = tmp_path / "sessions"
+    d.mkdir()
+    (d / "a.jsonl").write_text(json.dumps({"type": "human", "message": {"content": " hi "}}) + "\nbroken\n" + json.dumps({"message": {"role": "assistant", "content": "yes"}}) + "\n")
+    for _ in range(2):
+        run_to_table(message_stream(spark, str(d)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert {(r.role, r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {("user", "hi"), ("assistant", "yes")}
+    (d / "b.jsonl").write_text(json.dumps({"type": "user", "message": {"content": "more"}}) + "\n")
+    run_to_table(message_stream(spark, str(d)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3

@@ -109,3 +109,18 @@ def test_chunks_and_vectors(spark):
     assert v[1] == v[2] and abs(np.linalg.norm(v[1]) - 1) < 1e-5 and v[3] == [1.0] * 32 and not any(v[4])
     m = mean_vector(spark.createDataFrame([(1, [1.0, 3.0]), (1, [3.0, 5.0])], "k int, vector array<float>"), "k").first()
     assert m.vector == [2.0, 4.0]
+
+
+def test_scopes_and_audits(spark, tmp_path):
+    from memspark.functions import scopes as C
+    from memspark.sources.audits import read_audits, top_reasons, write_audits
+
+    assert C.accessible("a") == ["global", "agent:a", "reflection:agent:a"] and C.accessible("system") is None
+    assert C.accessible("a", {"a": ["project:x"]}, ["custom:t"]) == ["project:x", "reflection:agent:a", "custom:t"]
+    assert C.restrict(["project:x", "global"], "a") == ["global"] and C.restrict(None, "a") == C.accessible("a") and C.restrict(["q"], None) == ["q"]
+    assert C.valid_scope("user:u") and not C.valid_scope("nope") and C.agent_of_session("agent:z:s1") == "z" and C.default_scope("") == "global"
+    assert read_audits(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "a.jsonl").write_text('{"rejected_at": 1, "audit": {"reason": "score 0.3 low"}}\nbroken\n{"rejected_at": 2, "audit": {"reason": "Score 0.25  low"}}\n')
+    audits = read_audits(spark, str(tmp_path / "a.jsonl")).where("rejected_at is not null")
+    write_audits(audits, str(tmp_path / "out"))
+    assert [tuple(r) for r in top_reasons(read_audits(spark, str(tmp_path / "out"))).collect()] == [("score # low", 2)]
