@@ -30,6 +30,8 @@ from memspark.session import checkpoint
 WORDS_SHARE, COSINE = 0.7, 0.9
 #: Classes of one shard, queries of one block, batches of one compaction.
 SHARD, QUERIES, COMPACT = 16_384, 8_192, 4
+#: Queries of one word set that are compared with the classes of a shard at once.
+ROWS = 512
 MAX_ROUNDS = 10_000
 
 NAMED = "row_no bigint, batch_no int, scope string, class binary"
@@ -82,12 +84,35 @@ def _matrix(col: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(-1, width)
 
 
+def _grouped(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
+    """Distinct word sets of a table sorted by ``cid``, the first row of each, and the rows of each in that order."""
+    of: dict[bytes, list[int]] = {}
+    for i, w in enumerate(table["words"].to_pylist()):
+        of.setdefault(w, []).append(i)
+    return list(of), np.array([x[0] for x in of.values()], np.int64), [np.array(x) for x in of.values()]
+
+
+def _vectors(blobs: list[bytes | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length of vector: the rows that have one, and their unit vectors."""
+    by: dict[int, list[int]] = {}
+    for i, v in enumerate(blobs):
+        if v is not None:
+            by.setdefault(len(v) // 4, []).append(i)
+    out = {}
+    for dim, rows in by.items():
+        m = np.frombuffer(b"".join(blobs[i] for i in rows), np.float32).reshape(-1, dim).astype(np.float64)
+        out[dim] = (np.array(rows), m / np.sqrt((m * m).sum(axis=1))[:, None])
+    return out
+
+
 def _build(key: tuple, table: pa.Table) -> pa.Table:
     table = table.sort_by("cid")
     cid = table["cid"].to_numpy()
     table = table.filter(pa.array(np.r_[True, cid[1:] != cid[:-1]][: len(cid)]))  # rows delivered with one row_no twice
-    graph = Graph(_matrix(table["sig"], np.uint64, 4), _matrix(table["bands"], np.uint32, 16))
-    blob = pickle.dumps((table["cid"].to_numpy(), table["words"].to_pylist(), table["vector"].to_pylist()), protocol=5)
+    # a node is a word set: however many classes differ in their vectors alone, the graph holds them once
+    sets, first, rows = _grouped(table)
+    graph = Graph(_matrix(table["sig"], np.uint64, 4)[first], _matrix(table["bands"], np.uint32, 16)[first])
+    blob = pickle.dumps((table["cid"].to_numpy(), sets, rows, table["vector"].to_pylist()), protocol=5)
     return pa.table({"scope": pa.array([key[0].as_py()], pa.string()), "shard": pa.array([key[1].as_py()], pa.string()), "graph": pa.array([graph.dumps()], pa.binary()), "rows": pa.array([blob], pa.binary())})
 
 
@@ -96,42 +121,66 @@ def build_shards(classes: DataFrame) -> DataFrame:
     return classes.groupBy("scope", "shard").applyInArrow(_build, "scope string, shard string, graph binary, rows binary")
 
 
-def alike(a: tuple[frozenset, np.ndarray | None], b: tuple[frozenset, np.ndarray | None], share: float = WORDS_SHARE, cosine: float = COSINE) -> bool:
-    """The exact test: shared words of all words, and the cosine where both have comparable vectors."""
-    both = len(a[0] & b[0])
-    if both < share * (len(a[0]) + len(b[0]) - both) - 1e-9:
-        return False
-    if a[1] is None or b[1] is None or len(a[1]) != len(b[1]):
-        return True
-    x, y = a[1].astype(np.float64), b[1].astype(np.float64)
-    return float(x @ y) >= cosine * float(np.sqrt((x @ x) * (y @ y))) - 1e-12
-
+def enough_words(a: frozenset, b: frozenset, share: float = WORDS_SHARE) -> bool:
+    """The exact test of words: those in both against those in either."""
+    both = len(a & b)
+    return both >= share * (len(a) + len(b) - both) - 1e-9
+
+
+def alike_vectors(q: list[bytes | None], a: list[bytes | None], cosine: float = COSINE) -> np.ndarray:
+    """Which of ``q`` and ``a`` have vectors alike; a missing vector, or one of another length, forbids nothing."""
+    out = np.ones((len(q), len(a)), bool)
+    right = _vectors(a)
+    for dim, (i, x) in _vectors(q).items():
+        if dim in right:
+            j, y = right[dim]
+            out[np.ix_(i, j)] = x @ y.T >= cosine - 1e-12
+    return out
+
+
+def _unpack(w: bytes) -> frozenset:
+    return frozenset(np.frombuffer(w, np.uint64).tolist())
+
+
+def _searcher(first_only: bool):
+    """Search of one shard by one block; ``first_only`` gives the smallest class alike, else all before the query's."""
+
+    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
+        q, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        if shard.num_rows and queries.num_rows:
+            queries = queries.sort_by("cid")
+            graph = Graph.loads(shard["graph"][0].as_py())
+            cid, sets, members, vectors = pickle.loads(shard["rows"][0].as_py())
+            qid, qvec = queries["cid"].to_numpy(), queries["vector"].to_pylist()
+            qsets, qfirst, qrows = _grouped(queries)
+            near = graph.near(_matrix(queries["sig"], np.uint64, 4)[qfirst], _matrix(queries["bands"], np.uint32, 16)[qfirst])
+            by: dict[int, list[int]] = {}
+            for i, j in zip(*map(np.ndarray.tolist, near)):
+                by.setdefault(i, []).append(j)
+            for i, nodes in by.items():
+                mine = _unpack(qsets[i])
+                nodes = [j for j in nodes if enough_words(mine, _unpack(sets[j]))]
+                if not nodes:
+                    continue
+                rows = np.sort(np.concatenate([members[j] for j in nodes]))
+                there = [vectors[k] for k in rows]
+                for lo in range(0, len(qrows[i]), ROWS):
+                    part = qrows[i][lo : lo + ROWS]
+                    ok = alike_vectors([qvec[k] for k in part], there)
+                    if first_only:
+                        x = np.nonzero(ok.any(axis=1))[0]
+                        y = ok[x].argmax(axis=1)
+                    else:
+                        x, y = np.nonzero(ok & (cid[rows][None, :] < qid[part][:, None]))
+                    q.append(qid[part][x])
+                    a.append(cid[rows][y])
+        return pa.table({"q": pa.array(np.concatenate(q), pa.int64()), "a": pa.array(np.concatenate(a), pa.int64())})
 
-def _unpack(w: bytes, v: bytes | None) -> tuple[frozenset, np.ndarray | None]:
-    return frozenset(np.frombuffer(w, np.uint64).tolist()), None if v is None else np.frombuffer(v, np.float32)
-
-
-def _search(shard: pa.Table, queries: pa.Table) -> pa.Table:
-    q, a = [], []
-    if shard.num_rows and queries.num_rows:
-        graph = Graph.loads(shard["graph"][0].as_py())
-        cid, w, v = pickle.loads(shard["rows"][0].as_py())
-        qid, qw, qv = queries["cid"].to_numpy(), queries["words"].to_pylist(), queries["vector"].to_pylist()
-        left: dict = {}
-        right: dict = {}
-        for i, j in zip(*graph.near(_matrix(queries["sig"], np.uint64, 4), _matrix(queries["bands"], np.uint32, 16))):
-            if qid[i] == cid[j]:
-                continue
-            x = left.get(i) or left.setdefault(i, _unpack(qw[i], qv[i]))
-            y = right.get(j) or right.setdefault(j, _unpack(w[j], v[j]))
-            if alike(x, y):
-                q.append(qid[i])
-                a.append(cid[j])
-    return pa.table({"q": pa.array(q, pa.int64()), "a": pa.array(a, pa.int64())})
+    return run
 
 
-def search_shards(shards: DataFrame, queries: DataFrame) -> DataFrame:
-    """(q, a): every query class and each other class of a shard of its scope that it repeats or that repeats it.
+def search_shards(shards: DataFrame, queries: DataFrame, first_only: bool) -> DataFrame:
+    """(q, a): each query class with the smallest class alike of every shard of its scope, or with all before it.
 
     ``queries`` have a block number within their scope; a shard is sent to each block of its scope once.
     """
@@ -141,7 +190,7 @@ def search_shards(shards: DataFrame, queries: DataFrame) -> DataFrame:
     key = ["scope", "shard", "block"]
     places, asked = shards.join(meet, ["scope", "shard"]), queries.join(meet, ["scope", "block"])
     places, asked = places.toDF(*places.columns), asked.toDF(*asked.columns)
-    return places.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search, "q bigint, a bigint")
+    return places.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searcher(first_only), "q bigint, a bigint")
 
 
 def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
@@ -193,23 +242,25 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     # part 0 is the history; later parts hold the batches of one compaction
     classes = checkpoint(classes.withColumn("part", F.ceil(F.col("batch_no") / COMPACT).cast("int")))
     texts = both.select(F.col("row_no").alias("cid"), "text", "vector")
-    placed = _blocks(classes.select("scope", "part", "cid"), SHARD, "segment").withColumn("shard", F.concat_ws("-", "part", "segment")).select("cid", "scope", "shard")
-    shards = checkpoint(build_shards(texts.join(placed, "cid").mapInArrow(_sketches("shard"), f"{SKETCH}, shard string")))
-    # a query class has its own incoming row, so only the incoming rows are read again
     fresh_texts = incoming.select(F.col("row_no").alias("new"), "text", "vector")
-    asked = _blocks(classes.where("new is not null").select("scope", F.lit(0).alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
-    asked = checkpoint(fresh_texts.join(asked, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int"))
-    pairs = checkpoint(search_shards(shards, asked))
-
-    info = classes.select(F.col("cid").alias("a"), F.col("old").alias("a_old"), F.col("new").alias("a_new"))
-    known = pairs.join(info, "a")
-    old = known.where("a_old is not null").groupBy("q").agg(F.min("a_old").alias("hit"))
-    mine = classes.where("new is not null").select(F.col("cid").alias("q"), "scope", "class", "n", "old", F.col("new").alias("q_new"))
-    asked = checkpoint(mine.join(old, "q", "left").withColumn("hit", F.least("hit", "old")))
-    young = asked.where("hit is null").select(F.col("q").alias("cid"))
-    edges = known.where("a_old is null and a < q").select("q", "a").join(young.select(F.col("cid").alias("q")), "q", "left_semi").join(young.select(F.col("cid").alias("a")), "a", "left_semi")
-    edges = checkpoint(edges.distinct())
-    accepted = settle(edges, young)
+
+    def shards_of(rows_: DataFrame) -> DataFrame:
+        placed = _blocks(rows_.select("scope", "part", "cid"), SHARD, "segment").withColumn("shard", F.concat_ws("-", "part", "segment")).select("cid", "scope", "shard")
+        return checkpoint(build_shards(texts.join(placed, "cid").mapInArrow(_sketches("shard"), f"{SKETCH}, shard string")))
+
+    def asking(rows_: DataFrame) -> DataFrame:
+        # a query class has an incoming row of its own, so only the incoming rows are read again
+        blocks = _blocks(rows_.select("scope", F.lit(0).alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
+        return checkpoint(fresh_texts.join(blocks, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int"))
+
+    # against the history: the smallest class alike, be it the query's own
+    mine = classes.where("new is not null")
+    hits = search_shards(shards_of(classes.where("old is not null")), asking(mine), True).groupBy("q").agg(F.min("a").alias("hit"))
+    asked = checkpoint(mine.select(F.col("cid").alias("q"), "scope", "class", "n", "old", "new", "part").join(hits, "q", "left").withColumn("hit", F.least("old", "hit")))
+    # among what the history does not settle: every class alike before it
+    young = asked.where("hit is null").select(F.col("q").alias("cid"), "scope", "part", "new")
+    edges = checkpoint(search_shards(shards_of(young), asking(young), False).distinct())
+    accepted = settle(edges, young.select("cid"))
     by_new = edges.join(accepted.select(F.col("cid").alias("a")), "a", "left_semi").groupBy("q").agg(F.min("a").alias("hit_new"))
     verdict = asked.join(by_new, "q", "left").select("scope", "class", "n", F.coalesce("hit", "hit_new", "q").alias("accepted_row_no"))
     out = join_groups(rows.where(fresh).select("row_no", "scope", "class"), verdict, ["scope", "class"], "n")

@@ -13,12 +13,13 @@ import pickle
 import numpy as np
 
 BITS, BANDS, ROWS = 256, 16, 3
-#: Signature distance up to which a pair is reranked: an estimate of 0.45, over four deviations below 0.7.
-NEAR = 70
+#: Signature distance up to which a pair is reranked: an estimate of 0.5, over four deviations from 0.7.
+NEAR = 64
 LINKS, LONG_LINKS, DEGREE = 12, 4, 28
 BLOCK, BOOTSTRAP, EXHAUSTIVE = 512, 2048, 256
 BEAMS = (32, 64, 128, 256, 512)
-RECALL = 0.99
+#: The beam is tuned on pairs up to this distance (an estimate of 0.6 or more), among so many nodes of the shard.
+TUNED, SAMPLE, RECALL = 51, 256, 0.99
 FAR = 999
 
 _rng = np.random.default_rng(20240501)
@@ -104,11 +105,11 @@ class Graph:
 
     def _tune(self, seed: int) -> None:
         """Widens the beam until the shard's own nodes find what exhaustive search finds."""
-        rows = np.random.default_rng(seed + 1).permutation(self.n)[:64]
-        true = distances(self.sig[rows], self.sig) <= NEAR
+        rows = np.random.default_rng(seed + 1).permutation(self.n)[:SAMPLE]
+        true = distances(self.sig[rows], self.sig) <= TUNED
         for self.beam in BEAMS:
             ids, d = self._search(self.sig[rows], self._entries(self.bands[rows], self.n), self.beam, self.n)
-            hit = sum(int(true[i, x[y <= NEAR]].sum()) for i, (x, y) in enumerate(zip(ids, d)))
+            hit = sum(int(true[i, x[y <= TUNED]].sum()) for i, (x, y) in enumerate(zip(ids, d)))
             if hit >= RECALL * true.sum():
                 break
 

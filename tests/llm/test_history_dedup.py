@@ -74,6 +74,22 @@ def test_chain_and_copies(spark):
     assert got == brute([], inc) and (12, 13) in got and not any(x[1] == 12 for x in got)
 
 
+def test_one_text_with_many_vectors(spark):
+    # a third of all rows share their words; vectors differ, so every row is a class of its own
+    r = random.Random(6)
+    near = lambda k: [1.0, 0.01 * k, 0.0] if k % 7 else [0.0, 0.0, 1.0 + k]
+    mem = [(i, "one text of some words" if i % 3 == 0 else f"other {i} row {i * 7} number {i * 11}", near(i), "s", 0) for i in range(5, 300)]
+    inc = [(1000 + i, 1 + i // 40, "One text, of some WORDS!" if i % 3 else f"fresh {i % 20} words {i % 20} here", near(r.randint(0, 60)), "s", "") for i in range(240)]
+    got = {tuple(x) for x in repeats(spark.createDataFrame(mem, M), spark.createDataFrame(inc, I)).collect()}
+    assert got == brute(mem, inc) and len(got) > 150
+
+
+def test_smaller_row_than_the_own_copy(spark):
+    mem = [(1, "a b c d e f g h", [1.0, 0.0], "s", 0), (2, "a b c d e f g h", [1.0, 0.1], "s", 0)]
+    inc = [(10, 1, "a b c d e f g h", [1.0, 0.1], "s", "")]
+    assert [tuple(x) for x in repeats(spark.createDataFrame(mem, M), spark.createDataFrame(inc, I)).collect()] == [(1, 10)]
+
+
 def test_empty(spark):
     mem, inc = data(2)
     assert repeats(spark.createDataFrame(mem, M), spark.createDataFrame([], I)).count() == 0
