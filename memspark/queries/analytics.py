@@ -175,7 +175,7 @@ def a14(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a15_support_stats", f"""{MEM}, s as (select row_no, unnest(case when json_type(j->'$.support_info.slices') = 'ARRAY' then (j->'$.support_info.slices')::json[] else []::json[] end) as e from mem)
-select row_no, e->>'$.context' as context, sum((e->>'$.confirmations')::bigint) as confirmations, sum((e->>'$.contradictions')::bigint) as contradictions from s group by 1, 2""")
+select row_no, e->>'$.context' as context, sum((e->>'$.confirmations')::bigint)::bigint as confirmations, sum((e->>'$.contradictions')::bigint)::bigint as contradictions from s group by 1, 2""")
 def a15(spark: SparkSession, d: str) -> DataFrame:
     whole = F.from_json("metadata", "map<string,string>")["support_info"]
     slices = F.from_json(whole, "struct<slices:array<struct<context:string,confirmations:bigint,contradictions:bigint>>>")["slices"]

@@ -146,7 +146,7 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
     return g.where("n > 1").drop("n")
 
 
-@query("w03_injection_budget", f"{MEM}, r as (select scope, row_no, length(t) as n, row_number() over w as place, sum(length(t)) over w as total from mem window w as (partition by scope order by importance desc, row_no)) select scope, row_no, least(n, 600 - (total - n)) as taken from r where place <= 3 and total - n < 600")
+@query("w03_injection_budget", f"{MEM}, r as (select scope, row_no, length(t) as n, row_number() over w as place, sum(length(t)) over w as total from mem window w as (partition by scope order by importance desc, row_no)) select scope, row_no, least(n, 600 - (total - n))::bigint as taken from r where place <= 3 and total - n < 600")
 def w03(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("scope").orderBy(F.desc("importance"), "row_no")
     n = F.length(F.coalesce("text", F.lit(""))).cast("bigint")

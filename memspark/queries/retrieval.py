@@ -110,7 +110,7 @@ select row_no, q.q as query, round(greatest(case when contains(lower(t), q.q) th
 from mem, q where contains(lower(t), q.q) or contains(lower(l0), q.q) or contains(lower(l1), q.q) or contains(lower(l2), q.q)""")
 def m04(spark: SparkSession, d: str) -> DataFrame:
     m = smart(spark, d)
-    tags = [r[0] for r in m.where("topic_tag is not null").select("topic_tag").distinct().orderBy("topic_tag").limit(64).collect()]  # topics are a fixed list of 15
+    tags = [r[0] for r in m.where("topic_tag is not null").select("topic_tag").distinct().orderBy("topic_tag").collect()]  # as many as there are topics
     layers = {"text": F.coalesce("text", F.lit("")), "l0": F.col("l0"), "l1": F.col("l1"), "l2": F.col("l2")}
     found = F.filter(F.array(*[F.struct(F.lit(t).alias("query"), F.round(lexical_score(F.lit(t), layers), 6).alias("score")) for t in tags]), lambda x: x["score"].isNotNull())
     return m.select("row_no", F.inline(found))
@@ -175,7 +175,7 @@ def j04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w02_char_budget", f"""{hits_sql()}, {fused_sql({'vector': 0.35, 'l0': 0.15, 'l1': 0.10, 'l2': 0.10, 'bm25': 0.30})}, {stages_sql()},
 b as (select query_no, row_no, place, sum(length(t)) over (partition by query_no order by place) as total from best), c as (select *, max(case when total > 1200 and place > 1 then 1 else 0 end) over (partition by query_no order by place) as over_ from b)
-select query_no, row_no, place, total from c where over_ = 0""")
+select query_no, row_no, place, total::bigint as total from c where over_ = 0""")
 def w02(spark: SparkSession, d: str) -> DataFrame:
     best = hybrid(smart(spark, d), asked(spark, d), CFG)
     return char_budget(best.select("query_no", "row_no", F.col("place").cast("bigint").alias("place"), F.coalesce("text", F.lit("")).alias("text")), 10, 1200).select("query_no", "row_no", "place", "total")
@@ -186,7 +186,7 @@ EXPECTED = "select i.row_no as query_no, list(distinct m.row_no) as expected fro
 
 @query("a08_ir_metrics", f"""with {Q}, store as (select * from memories where row_no in (select min(row_no) from memories group by id)), h as (select * from {knn_sql('store', 'vector', 'vector', 5)}), x as (select row_no as query_no, category as want from incoming_memories where row_no % 50 = 0),
 j as (select h.query_no, h.rank, (s.category = x.want)::int as hit from h join store s using (row_no) join x using (query_no))
-select query_no, round(sum(hit) / count(*), 6) as precision_at_5, round(coalesce(1.0 / min(case when hit = 1 then rank end), 0), 6) as mrr, count(*) - sum(hit) as contamination from j group by 1""")
+select query_no, round(sum(hit) / count(*), 6) as precision_at_5, round(coalesce(1.0 / min(case when hit = 1 then rank end), 0), 6) as mrr, (count(*) - sum(hit))::bigint as contamination from j group by 1""")
 def a08(spark: SparkSession, d: str) -> DataFrame:
     from memspark.operators.evaluate import judged
 
