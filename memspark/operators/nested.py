@@ -2,7 +2,8 @@
 
 Each node of a repeated part gets the path of its ordinals as label (``[2]`` the third relation, ``[2, 0]`` its first
 evidence). The parent's label is the label without its last ordinal, so parent and place need no join; nodes are
-grouped into tables by their schema path. One scan, JVM expressions only, one generator per memory row.
+grouped into tables by their schema path, each with the columns of its elements' own fields. One scan, JVM expressions
+only, one generator per memory row.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NODE = "array<struct<child_path:string,label:array<int>,link_value:string>>"
+NODE = "array<struct<child_path:string,label:array<int>,link_value:string,element:string>>"
 
 
 @dataclass(frozen=True)
@@ -39,7 +40,7 @@ def _nodes(element: Column, part: Part, label: Column) -> Column:
     def at(x: Column, i: Column) -> Column:
         own = F.concat(label, F.array(i))
         value = part.value(x)
-        me = F.when(value.isNotNull(), F.array(F.struct(F.lit(part.path).alias("child_path"), own.alias("label"), value.alias("link_value")))).otherwise(F.array().cast(NODE))
+        me = F.when(value.isNotNull(), F.array(F.struct(F.lit(part.path).alias("child_path"), own.alias("label"), value.alias("link_value"), x.alias("element")))).otherwise(F.array().cast(NODE))
         return F.concat(me.cast(NODE), *[_nodes(x, p, own) for p in part.parts])
 
     return F.flatten(F.transform(as_list(F.get_json_object(element, f"$.{part.key}")), at))
@@ -65,7 +66,8 @@ MEMORY_PARTS = (
 
 
 def shred(df: DataFrame, json_col: str, key: str, parts: tuple[Part, ...] = MEMORY_PARTS) -> DataFrame:
-    """One row per node: ``key``, child_path, label, parent_label, parent_pos, child_pos, link_value.
+    """One row per node: ``key``, child_path, label, parent_label, parent_pos, child_pos, link_value, element (its
+    JSON).
 
     Rows whose JSON is null, empty, cut off or no object have no nodes. Elements count in positions whether usable or
     not. A part written as a JSON string counts as the part. Slices belong to the memory row, so their label is cut to
@@ -85,9 +87,51 @@ def shred(df: DataFrame, json_col: str, key: str, parts: tuple[Part, ...] = MEMO
         F.when(F.size("label") > 1, F.try_element_at("label", F.lit(-2))).otherwise(F.lit(-1)).cast("bigint").alias("parent_pos"),
         F.element_at("label", -1).cast("bigint").alias("child_pos"),
         "link_value",
+        "element",
     )
 
 
+#: Columns of each child table: key and type. A key of an object in the element goes by a dot, its column by ``_``.
+FIELDS = {
+    "relations": (("type", "string"),),
+    "relations.evidence": (("session", "string"), ("quote", "string"), ("seen", "string"), ("seen.turn", "bigint"), ("seen.weight", "double")),
+    "provenance": (("session", "string"), ("trigger", "string"), ("date", "string")),
+    "provenance.derived_from": (),
+    "support_info.slices": (
+        ("context", "string"),
+        ("confirmations", "bigint"),
+        ("contradictions", "bigint"),
+        ("strength", "double"),
+        ("last_observed_at", "bigint"),
+    ),
+}
+#: Parts with tables of their own.
+NESTED = {"relations": ("evidence",), "provenance": ("derived_from",)}
+
+
 def child_table(nodes: DataFrame, path: str) -> DataFrame:
-    """The flat table of one schema path."""
-    return nodes.where(F.col("child_path") == path).drop("child_path")
+    """The flat table of one schema path, with the fields of its elements.
+
+    Columns of ``FIELDS`` (null where the key is missing or the value does not fit), then ``others``: all other fields
+    as they are spelt, objects and lists as JSON; a value that does not fit its column is there too. Parts with tables
+    of their own are left out. Elements that are no objects have no fields.
+    """
+    named = dict(FIELDS[path])
+    own = F.from_json("element", "map<string,string>")
+    df = nodes.where(F.col("child_path") == path).withColumn("_f", F.when(F.substring(F.ltrim("element"), 1, 1) == "{", own))
+
+    def value(key: str) -> Column:
+        first, _, rest = key.partition(".")
+        raw = F.col("_f")[first]
+        return F.get_json_object(raw, f"$.{rest}") if rest else raw
+
+    def other(k: Column, v: Column) -> Column:
+        keep = ~k.isin(*named, *NESTED.get(path, ()))
+        for key, to in named.items():
+            if to != "string":
+                keep = keep | ((k == key) & v.isNotNull() & v.try_cast(to).isNull())
+        return keep
+
+    columns = [value(k).try_cast(to).alias(k.replace(".", "_")) for k, to in named.items()]
+    others = F.map_filter("_f", other) if named else F.col("_f")
+    return df.select(*[c for c in nodes.columns if c not in ("child_path", "element")], *columns, others.alias("others"))

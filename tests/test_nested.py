@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from memspark.operators.nested import child_table, shred
+from memspark.operators.nested import FIELDS, child_table, shred
 
 
 def nodes(spark, values):
@@ -44,3 +44,31 @@ def test_parent_label_is_truncation(spark):
 
 def test_empty_table(spark):
     assert shred(spark.createDataFrame([], "row_no bigint, metadata string"), "metadata", "row_no").count() == 0
+
+
+def test_child_tables_keep_all_fields(spark):
+    ev = {"session": "s", "quote": "q", "seen": {"turn": 3, "weight": 0.5, "by": "x"}, "lang": "en"}
+    o = {
+        "relations": [{"targetId": "t", "type": "refines", "note": {"a": [1]}, "evidence": [ev, {"quote": "only"}]}],
+        "provenance": [{"session": "p", "trigger": "auto", "date": "2024-01-01", "derived_from": ["a"]}],
+        "support_info": {"slices": [{"context": "c", "confirmations": 4, "contradictions": 1, "strength": 0.8}, {"context": "d", "confirmations": "many"}]},
+    }
+    n = shred(spark.createDataFrame([(7, json.dumps(o))], "row_no bigint, metadata string"), "metadata", "row_no")
+    rows = {p: [r.asDict() for r in child_table(n, p).orderBy("child_pos").collect()] for p in FIELDS}
+    rel = rows["relations"][0]
+    assert (rel["link_value"], rel["type"], rel["others"]) == ("t", "refines", {"targetId": "t", "note": '{"a":[1]}'})
+    one, two = rows["relations.evidence"]
+    assert (one["quote"], one["seen_turn"], one["seen_weight"], json.loads(one["seen"]), one["others"]) == ("q", 3, 0.5, ev["seen"], {"lang": "en"})
+    assert (two["session"], two["quote"], two["seen"], two["others"], two["parent_pos"]) == (None, "only", None, {}, 0)
+    assert [rows["provenance"][0][c] for c in ("session", "trigger", "date")] == ["p", "auto", "2024-01-01"]
+    assert [(r["link_value"], r["others"]) for r in rows["provenance.derived_from"]] == [("a", None)]
+    s = rows["support_info.slices"]
+    assert [(r["context"], r["confirmations"], r["contradictions"], r["strength"], r["others"]) for r in s] == [("c", 4, 1, 0.8, {}), ("d", None, None, None, {"confirmations": "many"})]
+
+
+def test_all_child_tables_are_queries(spark, sf):
+    from memspark.queries.problems import queries
+
+    got = {k: f(spark, sf) for k, f in queries().items() if k.startswith("p5_table_")}
+    assert set(got) == {f"p5_table_{x}" for x in ("relations", "evidence", "provenance", "derived_from", "slices")}
+    assert sum(df.count() for df in got.values()) == queries()["p5_found"](spark, sf).count()
