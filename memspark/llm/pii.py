@@ -2,8 +2,9 @@
 
 Texts become overlapping windows that are tagged in batches of like length. Of each window only the part away from
 its edges counts, and a span that two windows see in part is put together again over the whole text. An exact check
-follows: a tagged span is set to the boundaries of the item it lies in (a whole address, number, or run of names), and
-dropped if there is none. Weights come with the package; ``pii_train`` makes them.
+follows: a tagged span is widened to the words it cuts, and to the item it lies in where that has a known form (a whole
+address or number). The check takes no letters or digits from a tagged span, and drops only what cannot be of its kind:
+an e-mail without an at, a phone of under 5 digits, a number without digits or in encoded data, an address in ``key=value``. Weights come with the package; ``pii_train`` makes them.
 """
 
 from __future__ import annotations
@@ -89,24 +90,47 @@ _ITEMS = {
         rf"|{_L}+(?:straße|strasse|str\.|weg|gasse|platz|allee|-Allee) \d{{1,5}}[A-Za-z]?)(?!\w)",
         re.I,
     ),
-    "name": re.compile(rf"(?<!\w)(?:{_NAME_WORD}, {_NAME_WORD}|(?:{_L}\. )+{_NAME_WORD}|{_NAME_WORD} (?:{_L}\. )?{_NAME_WORD})(?!\w)"),
 }
-_REACH = {"email": 40, "phone": 14, "id_number": 8, "address": 24, "name": 14}
-
-
-def settle_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The item of ``kind`` that shares most characters with [a, b), else None."""
+_REACH = {"email": 40, "phone": 14, "id_number": 8, "address": 24}
+#: Scripts written without spaces: a letter next to a tagged one need not be of the same word.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Words no name ends with: what follows is part of it.
+_PARTICLES = frozenset("van von vom zu zur der den de del della di da dos das du la le ter ten bin ibn al el".split())
+
+
+#: At signs, as such or in words.
+_AT = re.compile(r"[@＠﹫]|(?<![A-Za-z0-9+/])(?:at|arroba|chez|ät|bei)(?![A-Za-z0-9+/])", re.I)
+#: Characters of encoded data; a longer run of them is no number of a person.
+_ENCODED, ENCODED = re.compile(r"[A-Za-z0-9+/=]"), 40
+_JOINT = re.compile(rf"['’-](?={_L})")
+_NEXT_WORD = re.compile(rf" (?={_L})")
+
+
+def _possible(text: str, a: int, b: int, kind: str) -> bool:
+    """False for what no item of ``kind`` in any form can be."""
+    if kind == "email":
+        return bool(_AT.search(text, a, b))
+    if kind == "phone":
+        return sum(c.isdigit() for c in text[a:b]) >= 5
+    if kind == "id_number":
+        lo, hi = a, b
+        while lo and _ENCODED.match(text, lo - 1):
+            lo -= 1
+        while hi < len(text) and _ENCODED.match(text, hi):
+            hi += 1
+        inside = hi - lo > ENCODED and all(_ENCODED.match(c) for c in text[a:b])
+        return not inside and any(c.isdigit() for c in text[a:b])
+    return kind != "address" or "=" not in text[a : b + 1]
+
+
+def _one_word(x: str, y: str) -> bool:
+    return x.isalnum() and y.isalnum() and not _UNSPACED.match(x) and not _UNSPACED.match(y)
+
+
+def _item(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """The item of a known form that shares most characters with [a, b), else None."""
     best, score = None, 0
-    lo = max(0, a - _REACH[kind])
-    hi = min(len(text), b + _REACH[kind])
-    if kind == "name":
-        # names are as the tagger sees them, set to whole words
-        while a > 0 and text[a - 1].isalpha() and text[a].isalpha():
-            a -= 1
-        while b < len(text) and text[b].isalpha() and text[b - 1].isalpha():
-            b += 1
-        m = _ITEMS[kind].search(text, a, b)
-        return (m.start(), m.end()) if m and 2 * (m.end() - m.start()) >= b - a else None
+    lo, hi = max(0, a - _REACH[kind]), min(len(text), b + _REACH[kind])
     for start in range(lo, min(b, hi)):
         if start and text[start].isalnum() and text[start - 1].isalnum():
             continue  # no item begins inside a word
@@ -119,6 +143,40 @@ def settle_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
     return best if best and 2 * score >= min(b - a, best[1] - best[0]) else None
 
 
+def settle_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
+    """[a, b) widened to whole words and to the item it lies in; None if it cannot be of ``kind``.
+
+    White space and punctuation at its ends, outside the item, are left out.
+    """
+    if not any(c.isalnum() for c in text[a:b]):
+        return None
+    item = _item(text, a, b, kind) if kind in _ITEMS else None
+    if item:
+        a, b = min(a, item[0]), max(b, item[1])
+    while not text[a].isalnum() and not (item and a >= item[0]) and (item or text[a] not in "+("):
+        a += 1
+    while not text[b - 1].isalnum() and not (item and b <= item[1]):
+        b -= 1
+    while True:
+        while a and _one_word(text[a - 1], text[a]):
+            a -= 1
+        while b < len(text) and _one_word(text[b - 1], text[b]):
+            b += 1
+        # a name that breaks off at a particle or a joint goes on with the next word
+        rest = _JOINT.match(text, b) if kind == "name" else None
+        if not rest and kind == "name" and text[a:b].split()[-1].lower() in _PARTICLES:
+            rest = _NEXT_WORD.match(text, b)
+        if not rest or _UNSPACED.match(text[b + 1]):
+            return (a, b) if item or _possible(text, a, b, kind) else None
+        b += 2
+
+
+def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
+    """[a, b) without what is no letter or digit at its ends; None if nothing is left."""
+    at = [i for i in range(a, b) if text[i].isalnum()]
+    return (at[0], at[-1] + 1) if at else None
+
+
 def find(texts: list[str], w: dict[str, np.ndarray]) -> list[list[tuple[int, int, str]]]:
     """Items of each text: start, end, kind, in order and without overlap."""
     out = []
@@ -127,7 +185,15 @@ def find(texts: list[str], w: dict[str, np.ndarray]) -> list[list[tuple[int, int
         if tags.any():
             for a, b, kind in spans(tags):
                 s = settle_span(text, a, b, kind)
-                if s and (not found or s[0] >= found[-1][1]):
+                if not s:
+                    continue
+                if found and s[0] < found[-1][1]:
+                    # two tagged parts of one item are one; of two kinds the later has what is left
+                    if kind == found[-1][2]:
+                        found[-1] = (found[-1][0], max(found[-1][1], s[1]), kind)
+                        continue
+                    s = _trimmed(text, found[-1][1], s[1])
+                if s:
                     found.append((*s, kind))
         out.append(found)
     return out

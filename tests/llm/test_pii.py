@@ -6,7 +6,7 @@ import json
 
 import numpy as np
 
-from memspark.llm.pii import find, personal_items, redact, redacted, weights
+from memspark.llm.pii import find, personal_items, redact, redacted, settle_span, weights
 from memspark.llm.pii_train import Maker
 from memspark.llm.tagger import KINDS, PAD, certain, decode, emissions, encode, loss_and_gradients, new_weights, viterbi
 
@@ -85,3 +85,23 @@ def test_table(spark):
 def test_redact_keeps_the_rest():
     assert redact("a b c", [(2, 3, "name")]) == "a [NAME] c" and redact("x", []) == "x"
     assert set(KINDS) == {"email", "phone", "id_number", "address", "name"}
+
+
+def test_the_check_only_widens():
+    def settled(text, tagged, kind):
+        a = text.index(tagged)
+        s = settle_span(text, a, a + len(tagged), kind)
+        return s and text[s[0] : s[1]]
+
+    for name in ("Anna van Dijk", "Maria Garcia Lopez", "Mary Anne Smith", "O'Neill-Brown", "Smith, Mary Anne", "J. R. R. Tolkien"):
+        assert settled(f"Contact {name}, please.", name, "name") == name
+        assert settled(f"Contact {name}, please.", name[:-2], "name") == name
+    assert settled("Ask Anna van Dijk.", "Anna van", "name") == "Anna van Dijk"
+    assert settled("联系人王小明在办公室", "王小明", "name") == "王小明"
+    assert settled("or a.b [at] cd (dot) example now", "a.b [at] cd (dot) example", "email") == "a.b [at] cd (dot) example"
+    assert settled("Ship to Flat 3, Old Mill, now", "Flat 3, Old Mill,", "address") == "Flat 3, Old Mill"
+    assert settled("id X9-44/ab1 here", "X9-44/ab", "id_number") == "X9-44/ab1"
+    assert settled("retry=5 took=286ms", "5 took", "address") is None
+    assert settled("QyfB/at5+z3PJhYym7t/8G", "z3PJhYym7t", "email") is None
+    assert settled('"ratio": 0.799', "0.799", "phone") is None
+    assert settled("SbhLDPGb" * 9, "GbSbhLD", "id_number") is None
