@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -189,35 +190,113 @@ def column_type(kind: int) -> str:
     return {BOOLEAN: "boolean", NUMBER: "double"}.get(kind, "string")
 
 
+_LAST = re.compile(r"^(.*?)((?:\[\])?\.)([^.]*)$", re.S)
+
+
+def canonical_path(path: str, names: dict[str, str]) -> str:
+    """First name of ``path``: its own, else that of its parent with its last key."""
+    if path in names:
+        return names[path]
+    m = _LAST.match(path)
+    return canonical_path(m[1], names) + m[2] + m[3] if m else path
+
+
 def canonical_names(changes: DataFrame) -> DataFrame:
-    """store_name, seq, path, canonical: the first name of each renamed top-level field, from the file of the renaming on."""
+    """store_name, seq, path, canonical: the first name of each renamed field, by full path, from the file of the renaming on."""
     import pandas as pd
 
+    def under(path: str, moved: dict[str, str]) -> str:
+        # the path after this file's renamings of the fields above it
+        m = _LAST.match(path)
+        return moved.get(path) or (under(m[1], moved) + m[2] + m[3] if m else path)
+
     def fold(log: pd.DataFrame) -> pd.DataFrame:
         root: dict[str, str] = {}
         out = []
         for seq, rows in log.sort_values("seq").groupby("seq", sort=True):
-            moved = {r.field_path: root.get(r.old_path, r.old_path) for r in rows.itertuples()}
-            for r in rows.itertuples():
-                root.pop(r.old_path, None)
-            root |= moved
+            now = dict(zip(rows.old_path, rows.field_path))
+            moved = {new: canonical_path(old, root) for old, new in now.items()}
+            root = {under(p, now): c for p, c in root.items() if p not in now} | moved
             out += [(log.store_name.iloc[0], int(seq), p, c) for p, c in root.items()]
         return pd.DataFrame(out, columns=["store_name", "seq", "path", "canonical"])
 
-    top = changes.where("change_kind = 'renamed' and field_path not like '%.%' and old_path not like '%.%'")
+    renamed = changes.where("change_kind = 'renamed'")
     # the log of renamings of one store, not its records, is what one call holds
-    return top.select("store_name", "seq", "field_path", "old_path").groupBy("store_name").applyInPandas(fold, "store_name string, seq int, path string, canonical string")
+    return renamed.select("store_name", "seq", "field_path", "old_path").groupBy("store_name").applyInPandas(fold, "store_name string, seq int, path string, canonical string")
+
+
+class _Number(str):
+    """A number as it is written."""
+
+
+def _dump(v: object) -> str:
+    if isinstance(v, _Number):
+        return str(v)
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_dump(x)}" for k, x in v.items()) + "}"
+    return "[" + ",".join(map(_dump, v)) + "]" if isinstance(v, list) else json.dumps(v, ensure_ascii=False)
+
+
+def settled_fields(record: str | None, names: dict[str, str], kinds: dict[str, int]) -> dict[str, str]:
+    """JSON of the top-level fields of ``record`` in which nested keys get their first names or values are cast.
+
+    ``kinds`` has the lattice element of each nested field by its first name. As in columns, a field of more than one
+    type is text, one that was ever a list is a list of text, and an object stays. A key whose first name another value
+    of its object holds keeps its own.
+    """
+
+    def text(v: object) -> object:
+        return v if v is None or type(v) is str else str(v) if isinstance(v, _Number) else _dump(v)
+
+    def walk(v: object, path: str, first: str) -> object:
+        if isinstance(v, list):
+            return [fields(x, f"{path}[].", f"{first}[].") if isinstance(x, dict) else x for x in v]
+        return fields(v, f"{path}.", f"{first}.") if isinstance(v, dict) else v
+
+    def fields(o: dict, prefix: str, first: str) -> dict:
+        out: dict[str, object] = {}
+        own = {k: canonical_path(prefix + k, names) for k in o}
+        for k, v in o.items():
+            to = own[k][len(first) :] if own[k].startswith(first) else k
+            clash = to != k and ((to in o and o[to] is not None) or out.get(to) is not None)
+            key, at = (k, prefix + k) if clash else (to, first + to)
+            if key in out and v is None:
+                continue
+            out[key] = cast(walk(v, prefix + k, at), kinds.get(at, 0))
+        return out
+
+    def cast(v: object, kind: int) -> object:
+        if v is None or kind & OBJECT:
+            return v
+        if kind & ARRAY:
+            return [x if isinstance(x, dict) else text(x) for x in v] if isinstance(v, list) else [text(v)]
+        return text(v) if kind & STRING or bin(kind).count("1") > 1 else v
+
+    try:
+        o = json.loads(record or "", parse_int=_Number, parse_float=_Number, parse_constant=_Number)
+    except ValueError:
+        return {}
+    if not isinstance(o, dict):
+        return {}
+    out = {}
+    for k, v in o.items():
+        if isinstance(v, (dict, list)):
+            new = walk(v, k, canonical_path(k, names))
+            if (now := _dump(new)) != _dump(v):
+                out[k] = now
+    return out
 
 
 def unified_table(lines: DataFrame) -> DataFrame:
     """All readable lines with the columns of the union schema, cast through the lattice.
 
-    store_name, file_no, line_no, written_at, id, then one column per field in order of name, renamed fields under
-    their first name. Values that a cast cannot hold are null; nulls stay null. Only the schema (one row per distinct
-    field) reaches the driver.
+    store_name, file_no, line_no, written_at, id, then one column per top-level field in order of name, renamed fields
+    under their first name. Objects, also those in lists, stay JSON in which nested fields have their first names and
+    are cast too. Values that a cast cannot hold are null; nulls stay null. Only the schema (one row per distinct field)
+    reaches the driver.
     """
     changes = checkpoint(schema_changes(lines))
-    leaves = read_schemas(lines).where("depth = 0")
+    leaves = read_schemas(lines)
     files = leaves.groupBy("store_name", "file_no").agg(F.min("written_at").alias("written_at"))
     seq = files.withColumn("seq", F.row_number().over(Window.partitionBy("store_name").orderBy("written_at", "file_no"))).select("store_name", "file_no", "seq")
     names = checkpoint(canonical_names(changes))
@@ -225,11 +304,16 @@ def unified_table(lines: DataFrame) -> DataFrame:
     # of each file: the last renaming at or before it
     current = seq.join(steps, "store_name", "left").where("since is null or since <= seq").groupBy("store_name", "file_no").agg(F.max("since").alias("since"))
     lookup = current.join(names.withColumnRenamed("seq", "since"), ["store_name", "since"]).groupBy("store_name", "file_no").agg(F.map_from_entries(F.collect_set(F.struct("path", "canonical"))).alias("names"))
-    kinds = leaves.groupBy("store_name", "file_no", "path").agg(F.bit_or("kind").alias("kind")).join(lookup, ["store_name", "file_no"], "left")
-    kinds = kinds.groupBy(F.coalesce(F.col("names")[F.col("path")], F.col("path")).alias("field")).agg(F.bit_or("kind").alias("kind"))
-    schema = [(r["field"], r["kind"]) for r in kinds.orderBy("field").collect() if r["field"] != "id"]
+    kinds = leaves.groupBy("store_name", "file_no", "depth", "path").agg(F.bit_or("kind").alias("kind")).join(lookup, ["store_name", "file_no"], "left")
+    first_name = F.udf(lambda path, names: canonical_path(path, names or {}), "string")
+    kinds = kinds.groupBy("depth", first_name("path", "names").alias("field")).agg(F.bit_or("kind").alias("kind"))
+    found = kinds.orderBy("field").collect()
+    schema = [(r["field"], r["kind"]) for r in found if r["depth"] == 0 and r["field"] != "id"]
+    nested = {r["field"]: r["kind"] for r in found if r["depth"]}
+    settled = F.udf(lambda record, names: settled_fields(record, names or {}, nested), "map<string,string>")
     parsed = F.from_json("record", "map<string,string>")
     rows = lines.withColumn("_m", parsed).where(F.col("_m").isNotNull()).join(small(lookup), ["store_name", "file_no"], "left")
+    rows = rows.withColumn("_s", settled("record", "names")).withColumn("_m", F.transform_values("_m", lambda k, v: F.coalesce(F.col("_s")[k], v)))
     rows = rows.withColumn("_m", F.when(F.col("names").isNull(), F.col("_m")).otherwise(F.transform_keys("_m", lambda k, v: F.coalesce(F.col("names")[k], k))))
 
     def cast(field: str, kind: int) -> F.Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from memspark.operators.drift import NUMBER, STRING, column_type, fields_of, schema_changes, unified_table
+from memspark.operators.drift import NUMBER, STRING, column_type, fields_of, schema_changes, settled_fields, unified_table
 
 SCHEMA = "file_no bigint, store_name string, written_at timestamp, line_no int, record string, extra int"
 T0 = dt.datetime(2024, 1, 1)
@@ -68,3 +68,33 @@ def test_lattice():
 
 def test_empty(spark):
     assert schema_changes(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_unified_nested(spark):
+    def record(i, prov, rel, name, to, n):
+        return {"id": str(i), "p": {prov: f"s{i}", "n": n(i)}, rel: [{name: f"x{i}", to: f"t{i}", "k": "c"}]}
+
+    files = {
+        1: [record(i, "session", "relations", "type", "targetId", int) for i in range(4)],
+        2: [record(i, "session_id", "relations", "rel", "targetId", str) for i in range(4)],
+        3: [record(i, "session_id", "links", "rel", "to", str) for i in range(4)],
+        4: [record(i, "sid", "links", "kind", "to", int) for i in range(4)],
+    }
+    t = unified_table(lines(spark, files))
+    assert t.columns == ["store_name", "file_no", "line_no", "written_at", "id", "p", "relations"]
+    got = t.collect()
+    assert len(got) == 16
+    for r in got:
+        i = r.id
+        assert json.loads(r.p) == {"session": f"s{i}", "n": i}, r
+        assert [json.loads(x) for x in r.relations] == [{"type": f"x{i}", "targetId": f"t{i}", "k": "c"}], r
+
+
+def test_settled_fields():
+    names, kinds = {"p.b": "p.a"}, {"p.l": 8 | STRING, "p.n": NUMBER}
+    one = settled_fields('{"p": {"b": 1, "l": "x", "n": 1.50}, "q": 7}', names, kinds)
+    assert one == {"p": '{"a":1,"l":["x"],"n":1.50}'}
+    assert settled_fields('{"p": {"b": 1, "a": 2}}', names, kinds) == {}
+    assert settled_fields('{"p": {"a": null, "b": 1}}', names, kinds) == {"p": '{"a":1}'}
+    assert settled_fields('{"p": {"b": 1, "a": null}}', names, kinds) == {"p": '{"a":1}'}
+    assert settled_fields("{broken", names, kinds) == settled_fields(None, names, kinds) == settled_fields("[]", names, kinds) == {}
