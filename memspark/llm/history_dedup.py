@@ -1,8 +1,9 @@
 """Problem 2: new batches against all history, by graph index shards.
 
 Rows with the same scope, words and vector are one class. Classes of the history lie in shards of bounded size per
-scope and segment of time, each a navigable small-world graph (``smallworld``) with what the exact rerank needs. Each
-batch gets shards of its own; every ``COMPACT`` batches they are built into one. A query searches the shards of its
+scope and segment of time, each a navigable small-world graph (``smallworld``) with what the exact rerank needs. What of the
+batches the history does not settle lies in shards of ``COMPACT`` batches each, rows without batch by themselves. Shards
+live for one call: they are not kept, added to or merged between calls. A query searches the shards of its
 scope, in blocks, and every candidate is reranked exactly (words of both, cosine of the vectors). What is accepted is
 then settled in order of ``row_no``: a class is a case once it repeats an accepted row, and accepted once all rows
 before it that it repeats are cases.
@@ -28,13 +29,13 @@ from memspark.operators.skew import join_groups
 from memspark.session import checkpoint
 
 WORDS_SHARE, COSINE = 0.7, 0.9
-#: Classes of one shard, queries of one block, batches of one compaction.
+#: Classes of one shard, queries of one block, batches of one shard.
 SHARD, QUERIES, COMPACT = 16_384, 8_192, 4
 #: Queries of one word set that are compared with the classes of a shard at once.
 ROWS = 512
 MAX_ROUNDS = 10_000
 
-NAMED = "row_no bigint, batch_no int, scope string, class binary"
+NAMED = "row_no bigint, batch_no int, fresh boolean, scope string, class binary"
 SKETCH = "cid bigint, scope string, sig binary, bands binary, words binary, vector binary"
 
 
@@ -60,8 +61,8 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 vec = _usable(v)
                 keep.append(i)
                 digest.append(hashlib.blake2b("\x1f".join(sorted(found)).encode("utf-8", "surrogatepass") + b"|" + (b"" if vec is None else vec.tobytes()), digest_size=16).digest())
-        kept = b.select(["row_no", "batch_no", "scope"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(digest, pa.binary())], names=["row_no", "batch_no", "scope", "class"])
+        kept = b.select(["row_no", "batch_no", "fresh", "scope"]).take(pa.array(keep, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(digest, pa.binary())], names=["row_no", "batch_no", "fresh", "scope", "class"])
 
 
 def _sketches(extra: str):
@@ -226,12 +227,14 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
     """accepted_row_no, row_no of every incoming row that repeats an accepted row of its scope.
 
     Rows without words repeat nothing. Missing vectors (null, empty, all zero, not finite) leave the words to decide,
-    and so do vectors of different length. Equal rows count once each. Empty inputs give no rows.
+    and so do vectors of different length. Every row of ``memories`` is history, every row of ``incoming`` is checked,
+    whatever its ``batch_no``, which only places rows in shards; order is by ``row_no``. Equal rows count once each. Empty inputs give no rows.
     """
     cols = ["row_no", "batch_no", "scope", "text", "vector"]
-    both = memories.withColumn("batch_no", F.lit(0)).select(*cols).unionByName(incoming.select(*cols)).withColumn("scope", scope_key(F.col("scope")))
+    history = memories.withColumn("batch_no", F.lit(None).cast("int")).select(*cols, F.lit(False).alias("fresh"))
+    both = history.unionByName(incoming.select(*cols, F.lit(True).alias("fresh"))).withColumn("batch_no", F.col("batch_no").cast("int")).withColumn("scope", scope_key(F.col("scope")))
     rows = checkpoint(both.mapInArrow(_named, NAMED))
-    fresh = F.col("batch_no") > 0
+    fresh = F.col("fresh")
     classes = rows.groupBy("scope", "class").agg(
         F.min("row_no").alias("cid"),
         F.min(F.when(~fresh, F.col("row_no"))).alias("old"),
@@ -239,8 +242,9 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
         F.min("batch_no").alias("batch_no"),
         F.count(F.lit(1)).alias("n"),
     )
-    # part 0 is the history; later parts hold the batches of one compaction
-    classes = checkpoint(classes.withColumn("part", F.ceil(F.col("batch_no") / COMPACT).cast("int")))
+    # the parts of the history and of rows without batch, then those of the batches
+    group = F.concat(F.lit("b"), F.ceil(F.col("batch_no") / COMPACT).cast("string"))
+    classes = checkpoint(classes.withColumn("part", F.when(F.col("old").isNotNull(), F.lit("history")).otherwise(F.coalesce(group, F.lit("none")))))
     texts = both.select(F.col("row_no").alias("cid"), "text", "vector")
     fresh_texts = incoming.select(F.col("row_no").alias("new"), "text", "vector")
 
@@ -250,7 +254,7 @@ def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
 
     def asking(rows_: DataFrame) -> DataFrame:
         # a query class has an incoming row of its own, so only the incoming rows are read again
-        blocks = _blocks(rows_.select("scope", F.lit(0).alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
+        blocks = _blocks(rows_.select("scope", F.lit("").alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
         return checkpoint(fresh_texts.join(blocks, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int"))
 
     # against the history: the smallest class alike, be it the query's own

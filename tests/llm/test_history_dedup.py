@@ -117,3 +117,13 @@ def test_graph_recall_against_exhaustive_search():
     near = {p for p in true if len(set(rows[half + p[0]]) & set(rows[p[1]])) / len(set(rows[half + p[0]]) | set(rows[p[1]])) >= 0.7}
     assert len(near) > 300 and len(got & near) >= 0.99 * len(near)
     assert len(got & true) >= 0.9 * len(true)
+
+
+def test_any_batch_number_is_checked(spark):
+    mem, inc = data(2)
+    mem, inc = mem[:40], inc[:80]
+    # no batch, batch 0 and below it, as case, as accepted row and as its own copy
+    inc = [(r[0], (None, 0, -3, 1, 9)[i % 5], *r[2:]) for i, r in enumerate(inc)]
+    inc += [(2000, None, "one two three", None, "s", ""), (2001, 0, "three two one", None, "s", ""), (2002, 5, "one two three", None, "s", "")]
+    got = {tuple(r) for r in repeats(spark.createDataFrame(mem, M), spark.createDataFrame(inc, I)).collect()}
+    assert got == brute(mem, inc) and {(2000, 2001), (2000, 2002)} <= got
