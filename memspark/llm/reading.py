@@ -37,6 +37,8 @@ _VOWELS = re.compile(r"[aeiouy]+")
 #: Words that join clauses.
 CONNECTIVES = frozenset("although because but if since so that though unless until when whereas whether which while and or".split())
 SENTENCE_WORDS = 3
+#: Words over which lexical variety is measured.
+WINDOW = 100
 NAMES = ("words_mean words_sd words_q10 words_q50 words_q90 word_chars word_chars_sd long7 long10 long13 syllables many_syllables connectives commas subordinate variety rare overlap sentences chars_mean".split())
 
 
@@ -73,6 +75,12 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
+def variety(words: list[str], window: int = WINDOW) -> float:
+    """Mean share of distinct words over consecutive windows of the whole text, the last one aligned to its end."""
+    last = max(len(words) - window, 0)
+    return float(np.mean([len(set(words[a : a + window])) / len(words[a : a + window]) for a in sorted({*range(0, last, window), last})]))
+
+
 def features(found: list[str]) -> list[float]:
     """The features named in ``NAMES`` of at least one sentence."""
     split = [[w.lower() for w in _WORD.findall(s)] for s in found]
@@ -83,11 +91,10 @@ def features(found: list[str]) -> list[float]:
     sets = [set(x) for x in split]
     over = [len(a & b) / max(1, min(len(a), len(b))) for a, b in zip(sets, sets[1:])]
     joins = sum(w in CONNECTIVES for w in flat)
-    window = flat[:100]
     return [
         n.mean(), n.std(), *np.quantile(n, (0.1, 0.5, 0.9)), chars.mean(), chars.std(), (chars >= 7).mean(), (chars >= 10).mean(), (chars >= 13).mean(),
         syl.mean(), (syl >= 4).mean(), joins / len(split), sum(s.count(",") for s in found) / len(split), sum(any(w in CONNECTIVES for w in x) for x in split) / len(split),
-        len(set(window)) / len(window), sum(c >= 15 for c in chars) / len(split), float(np.mean(over)) if over else 0.0, min(len(split), 60), sum(map(len, found)) / len(found),
+        variety(flat), sum(c >= 15 for c in chars) / len(split), float(np.mean(over)) if over else 0.0, len(split), sum(map(len, found)) / len(found),
     ]
 
 

@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 
-from memspark.llm.reading import ReadingModel, document_features, features, reading_levels, sentences
+from memspark.llm.reading import NAMES, ReadingModel, document_features, features, reading_levels, sentences, variety
 from memspark.llm.trees import BoostedTrees
 
 SHORT, LONG = "the cat sat on a mat and ran far".split(), "considerable interdisciplinary synchronization characterization responsibility notwithstanding".split()
@@ -62,3 +62,12 @@ def test_query(spark):
     assert set(got) == set(range(80)) and np.mean([got[i] == 1 + i % 5 for i in got]) > 0.8
     assert reading_levels(d, lab.where("false")).count() == 0
     assert document_features(d.where("false")).count() == 0
+
+
+def test_features_see_the_whole_text():
+    plain, rich = ["the cat sat on a mat"] * 40, [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{chr(97 + j)}" for j in range(6)) for i in range(40)]
+    at = {k: i for i, k in enumerate(NAMES)}
+    alone, both, turned = features(plain), features(plain + rich), features(rich + plain)
+    assert both[at["variety"]] > alone[at["variety"]] + 0.3 and abs(both[at["variety"]] - turned[at["variety"]]) < 0.05
+    assert both[at["sentences"]] == 80
+    assert variety(["a"] * 100 + ["b"] * 50) == 0.015 and variety(["a", "b"]) == 1
