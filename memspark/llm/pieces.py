@@ -1,7 +1,7 @@
 """Problem 3: splitting oversized texts at natural boundaries, by recursive bisection.
 
-A text over the limit is cut at the strongest boundary near its middle (paragraph, line, sentence, clause, word, any
-character), halves over the limit less the overlap are cut again, then each piece but the first is extended to the
+A text over the limit is cut at the strongest boundary near its middle (paragraph, line, sentence, clause, word), else
+at the boundary nearest to it, and inside a word only where there is none; halves over the limit less the overlap are cut again, then each piece but the first is extended to the
 left by the overlap. Positions count code points.
 """
 
@@ -29,7 +29,8 @@ def is_forced(text: str, limit: int = LIMIT) -> bool:
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """Core pieces (start, end), in order and without gaps, each at most ``limit - overlap`` long.
+    """Core pieces (start, end), in order and without gaps, each at most ``limit - overlap`` long, the first at most
+    ``limit`` where it has no boundary.
 
     A text within the limit, the empty text too, is one piece.
     """
@@ -44,13 +45,21 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[in
             out.append((a, b))
             continue
         mid, reach = (a + b) // 2, min((b - a) // 4, most // 2)
-        at = mid
+        at = None
         for pattern in BOUNDARIES:
             ends = [m.end() for m in pattern.finditer(text, max(a, mid - reach), min(b, mid + reach))]
             ends = [e for e in ends if a < e < b]
             if ends:
                 at = min(ends, key=lambda e: (abs(e - mid), e))
                 break
+        if at is None:
+            ends = [m.end() for pattern in BOUNDARIES for m in pattern.finditer(text, a, b) if a < m.end() < b]
+            # the second piece begins an overlap before its core
+            ends = [e for e in ends if a or e >= overlap]
+            if not ends and not a and b <= limit:
+                out.append((a, b))  # no overlap comes before the first piece: it needs no cut inside a word
+                continue
+            at = min(ends, key=lambda e: (abs(e - mid), e), default=mid)
         todo += [(at, b), (a, at)]
     return out
 

@@ -48,3 +48,16 @@ def test_fields(spark):
     for r in got.collect():
         assert len(r.piece) <= 4000 and len(r.piece) == r.end_pos - r.start_pos
     assert split_fields(df.where("false")).count() == 0
+
+
+def test_boundary_far_from_the_middle():
+    text = "word " * 200 + "x" * 2400 + " word" * 200
+    assert len(text) == 4400
+    core = cuts(text)
+    assert all(text[b - 1].isspace() for _, b in core[:-1]) and max(b - a for a, b in core) <= 3800
+    assert core == [(0, 1000), (1000, 4400)]
+    assert cuts("x" * 4400) == [(0, 2200), (2200, 4400)]
+    for text in ("w " * 20 + "x" * 3870 + " word" * 100, "w " * 20 + "x" * 9000, "x" * 3900 + "y. " * 900):
+        got = split(text)
+        assert got[0][0] == 0 and got[-1][1] == len(text) and all(0 <= s < e <= s + 4000 for s, e in got)
+        assert all(e - s == 200 for (_, e), (s, _) in zip(got, got[1:]))
