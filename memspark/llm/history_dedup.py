@@ -1,42 +1,47 @@
-"""Problem 2: new batches against all history, by graph index shards.
-
-Rows with the same scope, words and vector are one class. Classes of the history lie in shards of bounded size per
-scope and segment of time, each a navigable small-world graph (``smallworld``) with what the exact rerank needs. What of the
-batches the history does not settle lies in shards of ``COMPACT`` batches each, rows without batch by themselves. Shards
-live for one call: they are not kept, added to or merged between calls. A query searches the shards of its
-scope, in blocks, and every candidate is reranked exactly (words of both, cosine of the vectors). What is accepted is
-then settled in order of ``row_no``: a class is a case once it repeats an accepted row, and accepted once all rows
-before it that it repeats are cases.
+"""Problem 2: new batches against all history, by stored graph index shards.
+
+Rows with the same scope, words and vector are one class. ``HistoryIndex`` keeps the accepted classes in a folder, in
+shards: each a navigable small-world graph (``smallworld``) with what the exact rerank needs, of one file. A shard holds
+many small scopes or a part of a large one. A batch is told against the stored shards, which the tasks that search them
+open in place; only the batch's own queries are shuffled, and no text of the history is read again. What the history
+does not settle becomes a shard of its own, in which it is settled in order of ``row_no``: a class is a case once it
+repeats an accepted row, and accepted once all rows before it that it repeats are cases. Every ``COMPACT`` generations of
+one level are merged into one of the next, from their stored sketches.
+
+Folder: ``gen=G/shards/shard=S`` (graph and sketches), ``gen=G/scopes`` (which scopes a shard holds), ``gen=G/dead``
+(classes of a batch's shard that turned out to be cases), ``manifest/V`` (the generations that are live, with levels).
 """
 
 from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.norm import scope_key
 from memspark.llm.smallworld import Graph, signatures
 from memspark.llm.words import words
-from memspark.operators.ordered import dense_position
 from memspark.operators.skew import join_groups
-from memspark.session import checkpoint
+from memspark.session import checkpoint, shared_folder
 
 WORDS_SHARE, COSINE = 0.7, 0.9
-#: Classes of one shard, queries of one block, batches of one shard.
-SHARD, QUERIES, COMPACT = 16_384, 8_192, 4
+#: Classes of one shard about, queries of one shard that one task takes, generations of one level that are merged.
+SHARD, QUERIES, COMPACT = 16_384, 16_384, 4
+#: The level of the history that the index was begun with; it is merged with nothing.
+HISTORY_LEVEL = 99
 #: Queries of one word set that are compared with the classes of a shard at once.
 ROWS = 512
-MAX_ROUNDS = 10_000
 
-NAMED = "row_no bigint, batch_no int, fresh boolean, scope string, class binary"
-SKETCH = "cid bigint, scope string, sig binary, bands binary, words binary, vector binary"
+SKETCHED = "row_no bigint, scope string, class binary, sig binary, bands binary, words binary, vector binary"
+SKETCH = ["class", "cid", "scope", "sig", "bands", "words", "vector"]
 
 
 @lru_cache(maxsize=1 << 18)
@@ -51,46 +56,122 @@ def _usable(v) -> np.ndarray | None:
     return a if np.isfinite(a).all() and a.any() else None
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The class (words and vector) of rows that have a word; the ratio of words is undefined for the others, which
-    repeat nothing."""
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class and sketch of rows that have a word; the ratio of words is undefined for the others, which repeat nothing."""
+    names = [x.split()[0] for x in SKETCHED.split(", ")]
     for b in batches:
-        keep, digest = [], []
+        keep, flat, vecs = [], [], []
         for i, (t, v) in enumerate(zip(b.column("text").to_pylist(), b.column("vector").to_pylist())):
             if found := set(words(t)):
-                vec = _usable(v)
                 keep.append(i)
-                digest.append(hashlib.blake2b("\x1f".join(sorted(found)).encode("utf-8", "surrogatepass") + b"|" + (b"" if vec is None else vec.tobytes()), digest_size=16).digest())
-        kept = b.select(["row_no", "batch_no", "fresh", "scope"]).take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(digest, pa.binary())], names=["row_no", "batch_no", "fresh", "scope", "class"])
+                flat.append(np.array(sorted({_word_hash(w) for w in found}), np.uint64))
+                vecs.append(None if (u := _usable(v)) is None else u.tobytes())
+        if not keep:
+            continue
+        kept = b.select(["row_no", "scope"]).take(pa.array(keep, pa.int64()))
+        scopes = kept.column("scope").to_pylist()
+        sig, bands = signatures(np.concatenate(flat), np.cumsum([0, *map(len, flat[:-1])]))
+        sets = [x.tobytes() for x in flat]
+        digest = [hashlib.blake2b(s.encode("utf-8", "surrogatepass") + b"|" + w + b"|" + (v or b""), digest_size=16).digest() for s, w, v in zip(scopes, sets, vecs)]
+        blobs = [digest, [x.tobytes() for x in sig], [x.tobytes() for x in bands], sets, vecs]
+        yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(x, pa.binary()) for x in blobs]], names=names)
+
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """``SKETCHED`` of rows that have row_no, scope, text and vector."""
+    return rows.select("row_no", scope_key(F.col("scope")).alias("scope"), "text", "vector").where("row_no is not null").mapInArrow(_sketched, SKETCHED)
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """One row per class, ``cid`` being its smallest row_no. Copies are put together before the shuffle."""
+    first = [F.first(c).alias(c) for c in ("sig", "bands", "words", "vector")]
+    return rows.groupBy("scope", "class").agg(F.min("row_no").alias("cid"), *first).select(*SKETCH)
+
+
+# -- shards ------------------------------------------------------------------------------------------------------------
+def _matrix(col: list[bytes], dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(col), dtype).reshape(-1, width)
+
+
+class Shard:
+    """Classes in order of ``cid``. A node of the graph is a word set of a scope: however many classes differ in their
+    vectors alone, the graph holds them once."""
+
+    def __init__(self, table: pa.Table):
+        table = table.sort_by([("cid", "ascending"), ("class", "ascending")])
+        col = {c: table[c].to_pylist() for c in SKETCH}
+        self.cls, self.cid, self.vector = col["class"], table["cid"].to_numpy(), col["vector"]
+        self.scopes = sorted(set(col["scope"]))
+        number = {s: i for i, s in enumerate(self.scopes)}
+        self.scope = np.array([number[s] for s in col["scope"]], np.int32)
+        of: dict[tuple, list[int]] = {}
+        for i, k in enumerate(zip(self.scope.tolist(), col["words"])):
+            of.setdefault(k, []).append(i)
+        self.words = [k[1] for k in of]
+        self.rows = [np.array(x) for x in of.values()]
+        self.node = np.empty(len(self.cls), np.int64)
+        for j, x in enumerate(self.rows):
+            self.node[x] = j
+        first = [x[0] for x in self.rows]
+        sig, bands = _matrix(col["sig"], np.uint64, 4), _matrix(col["bands"], np.uint32, 16)
+        self.sig, self.bands = sig[first], bands[first]
+        self.graph = Graph(self.sig, self.bands, self.scope[first])
+
+    def dumps(self) -> bytes:
+        return pickle.dumps((self.cls, self.cid, self.vector, self.scopes, self.scope, self.words, self.rows, self.node, self.sig, self.bands, self.graph.state()), protocol=5)
+
+    @classmethod
+    def loads(cls, blob: bytes) -> Shard:
+        s = cls.__new__(cls)
+        s.cls, s.cid, s.vector, s.scopes, s.scope, s.words, s.rows, s.node, s.sig, s.bands, state = pickle.loads(blob)
+        s.graph = Graph.of(state)
+        return s
+
+    def sketches(self, live: np.ndarray) -> pa.Table:
+        """The rows it was built from, of those that are ``live``."""
+        live = np.nonzero(live)[0]
+        node = self.node[live]
+        cols = [[self.cls[i] for i in live], self.cid[live], [self.scopes[k] for k in self.scope[live]], [self.sig[j].tobytes() for j in node], [self.bands[j].tobytes() for j in node], [self.words[j] for j in node], [self.vector[i] for i in live]]
+        kinds = [pa.binary(), pa.int64(), pa.string(), *[pa.binary()] * 4]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(SKETCH, cols, kinds)})
+
+
+def _system(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+
+
+def _read(path: str) -> pa.Table:
+    """A folder of the index, opened in place by a task."""
+    import pyarrow.dataset as ds
+
+    system, at = _system(path)
+    if system.get_file_info(at).type == fs.FileType.NotFound:
+        return pa.table({})
+    return ds.dataset(at, filesystem=system, format="parquet").to_table()
+
+
+@lru_cache(maxsize=2)
+def open_shard(gen: str, shard: str) -> Shard:
+    return Shard.loads(_read(f"{gen}/shards/shard={shard}")["blob"][0].as_py())
+
+
+@lru_cache(maxsize=8)
+def alive(gen: str, shard: str) -> np.ndarray:
+    """Which classes of a shard are accepted; known once its generation is live."""
+    dead = _read(f"{gen}/dead/shard={shard}")
+    gone = set(dead["class"].to_pylist()) if dead.num_rows else set()
+    return np.array([c not in gone for c in open_shard(gen, shard).cls], bool)
 
 
-def _sketches(extra: str):
-    """What graph and rerank need of one row of each class; ``extra`` is the column that says where it goes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            flat = [np.array(sorted({_word_hash(w) for w in set(words(t))}), np.uint64) for t in b.column("text").to_pylist()]
-            sig, bands = signatures(np.concatenate(flat), np.cumsum([0, *map(len, flat[:-1])]))
-            vecs = [None if (v := _usable(x)) is None else v.tobytes() for x in b.column("vector").to_pylist()]
-            blobs = [pa.array([x.tobytes() for x in col], pa.binary()) for col in (sig, bands, flat)]
-            yield pa.RecordBatch.from_arrays([b.column("cid"), b.column("scope"), *blobs, pa.array(vecs, pa.binary()), b.column(extra)], names=["cid", "scope", "sig", "bands", "words", "vector", extra])
-
-    return run
-
-
-def _matrix(col: pa.ChunkedArray, dtype, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), dtype).reshape(-1, width)
+def _build(key: tuple, table: pa.Table) -> pa.Table:
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.string()), "blob": pa.array([Shard(table).dumps()], pa.binary())})
 
 
-def _grouped(table: pa.Table) -> tuple[list[bytes], np.ndarray, list[np.ndarray]]:
-    """Distinct word sets of a table sorted by ``cid``, the first row of each, and the rows of each in that order."""
-    of: dict[bytes, list[int]] = {}
-    for i, w in enumerate(table["words"].to_pylist()):
-        of.setdefault(w, []).append(i)
-    return list(of), np.array([x[0] for x in of.values()], np.int64), [np.array(x) for x in of.values()]
+# -- the exact rerank --------------------------------------------------------------------------------------------------
+def enough_words(a: frozenset, b: frozenset, share: float = WORDS_SHARE) -> bool:
+    """The exact test of words: those in both against those in either."""
+    both = len(a & b)
+    return both >= share * (len(a) + len(b) - both) - 1e-9
 
 
 def _vectors(blobs: list[bytes | None]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -106,28 +187,6 @@ def _vectors(blobs: list[bytes | None]) -> dict[int, tuple[np.ndarray, np.ndarra
     return out
 
 
-def _build(key: tuple, table: pa.Table) -> pa.Table:
-    table = table.sort_by("cid")
-    cid = table["cid"].to_numpy()
-    table = table.filter(pa.array(np.r_[True, cid[1:] != cid[:-1]][: len(cid)]))  # rows delivered with one row_no twice
-    # a node is a word set: however many classes differ in their vectors alone, the graph holds them once
-    sets, first, rows = _grouped(table)
-    graph = Graph(_matrix(table["sig"], np.uint64, 4)[first], _matrix(table["bands"], np.uint32, 16)[first])
-    blob = pickle.dumps((table["cid"].to_numpy(), sets, rows, table["vector"].to_pylist()), protocol=5)
-    return pa.table({"scope": pa.array([key[0].as_py()], pa.string()), "shard": pa.array([key[1].as_py()], pa.string()), "graph": pa.array([graph.dumps()], pa.binary()), "rows": pa.array([blob], pa.binary())})
-
-
-def build_shards(classes: DataFrame) -> DataFrame:
-    """One row per (scope, shard): the graph and the rerank data of at most ``SHARD`` classes."""
-    return classes.groupBy("scope", "shard").applyInArrow(_build, "scope string, shard string, graph binary, rows binary")
-
-
-def enough_words(a: frozenset, b: frozenset, share: float = WORDS_SHARE) -> bool:
-    """The exact test of words: those in both against those in either."""
-    both = len(a & b)
-    return both >= share * (len(a) + len(b) - both) - 1e-9
-
-
 def alike_vectors(q: list[bytes | None], a: list[bytes | None], cosine: float = COSINE) -> np.ndarray:
     """Which of ``q`` and ``a`` have vectors alike; a missing vector, or one of another length, forbids nothing."""
     out = np.ones((len(q), len(a)), bool)
@@ -139,133 +198,287 @@ def alike_vectors(q: list[bytes | None], a: list[bytes | None], cosine: float =
     return out
 
 
+@lru_cache(maxsize=1 << 14)
 def _unpack(w: bytes) -> frozenset:
     return frozenset(np.frombuffer(w, np.uint64).tolist())
 
 
-def _searcher(first_only: bool):
-    """Search of one shard by one block; ``first_only`` gives the smallest class alike, else all before the query's."""
-
-    def run(shard: pa.Table, queries: pa.Table) -> pa.Table:
-        q, a = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        if shard.num_rows and queries.num_rows:
-            queries = queries.sort_by("cid")
-            graph = Graph.loads(shard["graph"][0].as_py())
-            cid, sets, members, vectors = pickle.loads(shard["rows"][0].as_py())
-            qid, qvec = queries["cid"].to_numpy(), queries["vector"].to_pylist()
-            qsets, qfirst, qrows = _grouped(queries)
-            near = graph.near(_matrix(queries["sig"], np.uint64, 4)[qfirst], _matrix(queries["bands"], np.uint32, 16)[qfirst])
-            by: dict[int, list[int]] = {}
-            for i, j in zip(*map(np.ndarray.tolist, near)):
-                by.setdefault(i, []).append(j)
-            for i, nodes in by.items():
-                mine = _unpack(qsets[i])
-                nodes = [j for j in nodes if enough_words(mine, _unpack(sets[j]))]
-                if not nodes:
-                    continue
-                rows = np.sort(np.concatenate([members[j] for j in nodes]))
-                there = [vectors[k] for k in rows]
-                for lo in range(0, len(qrows[i]), ROWS):
-                    part = qrows[i][lo : lo + ROWS]
-                    ok = alike_vectors([qvec[k] for k in part], there)
-                    if first_only:
-                        x = np.nonzero(ok.any(axis=1))[0]
-                        y = ok[x].argmax(axis=1)
-                    else:
-                        x, y = np.nonzero(ok & (cid[rows][None, :] < qid[part][:, None]))
-                    q.append(qid[part][x])
-                    a.append(cid[rows][y])
-        return pa.table({"q": pa.array(np.concatenate(q), pa.int64()), "a": pa.array(np.concatenate(a), pa.int64())})
+def _candidates(shard: Shard, sig: np.ndarray, bands: np.ndarray, sets: list[bytes], scope: np.ndarray) -> dict[int, list[int]]:
+    """For each query the nodes of its scope that have enough of its words, of those the graph finds near."""
+    by: dict[int, list[int]] = {}
+    for i, j in zip(*map(np.ndarray.tolist, shard.graph.near(sig, bands, scope))):
+        if shard.scope[shard.rows[j][0]] == scope[i] and enough_words(_unpack(sets[i]), _unpack(shard.words[j])):
+            by.setdefault(i, []).append(j)
+    return by
+
+
+HITS = "q binary, a binary, a_cid bigint"
+
+
+def _search(path: str, first_only: bool):
+    """Search of one stored shard by the queries of one group; ``first_only`` gives each the smallest live class alike,
+    else all that come before it."""
+
+    def run(key: tuple, queries: pa.Table) -> pa.Table:
+        gen, name = f"{path}/{key[0].as_py()}", key[1].as_py()
+        shard = open_shard(gen, name)
+        live = alive(gen, name) if first_only else np.ones(len(shard.cls), bool)
+        number = {s: i for i, s in enumerate(shard.scopes)}
+        col = {c: queries[c].to_pylist() for c in ("class", "scope", "words", "vector", "sig", "bands")}
+        qid, of = queries["cid"].to_numpy(), {}
+        for i, k in enumerate(zip(col["scope"], col["words"])):
+            of.setdefault(k, []).append(i)
+        rows = [np.array(x) for x in of.values()]
+        first = [x[0] for x in rows]
+        scope = np.array([number.get(k[0], -1) for k in of], np.int32)
+        sets = [k[1] for k in of]
+        found = _candidates(shard, _matrix([col["sig"][i] for i in first], np.uint64, 4), _matrix([col["bands"][i] for i in first], np.uint32, 16), sets, scope)
+        q, a = [], []
+        for i, nodes in found.items():
+            there = np.sort(np.concatenate([shard.rows[j] for j in nodes]))
+            there = there[live[there]]
+            if not len(there):
+                continue
+            vecs = [shard.vector[k] for k in there]
+            for lo in range(0, len(rows[i]), ROWS):
+                part = rows[i][lo : lo + ROWS]
+                ok = alike_vectors([col["vector"][k] for k in part], vecs)
+                if first_only:
+                    x = np.nonzero(ok.any(axis=1))[0]
+                    y = ok[x].argmax(axis=1)
+                else:
+                    x, y = np.nonzero(ok & (shard.cid[there][None, :] < qid[part][:, None]))
+                q += part[x].tolist()
+                a += there[y].tolist()
+        return pa.table({"q": pa.array([col["class"][i] for i in q], pa.binary()), "a": pa.array([shard.cls[i] for i in a], pa.binary()), "a_cid": pa.array(shard.cid[a] if a else [], pa.int64())})
 
     return run
 
 
-def search_shards(shards: DataFrame, queries: DataFrame, first_only: bool) -> DataFrame:
-    """(q, a): each query class with the smallest class alike of every shard of its scope, or with all before it.
-
-    ``queries`` have a block number within their scope; a shard is sent to each block of its scope once.
-    """
-    # which shard meets which block; payloads are joined by shard and by block, so a large scope is spread over both
-    blocks = queries.select("scope", "block").distinct()
-    meet = checkpoint(shards.select("scope", "shard").join(blocks, "scope"))
-    key = ["scope", "shard", "block"]
-    places, asked = shards.join(meet, ["scope", "shard"]), queries.join(meet, ["scope", "block"])
-    places, asked = places.toDF(*places.columns), asked.toDF(*asked.columns)
-    return places.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_searcher(first_only), "q bigint, a bigint")
+def _settle_shard(split: set[str], gen: str):
+    """In order of ``cid``: the classes of one shard that repeat an accepted one of it, for scopes that lie in it whole."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name in b.column("shard").to_pylist():
+                shard = open_shard(gen, name)
+                whole = np.array([s not in split for s in shard.scopes], bool)[shard.scope]
+                todo = np.nonzero(whole)[0]
+                accepted, cases, by = np.zeros(len(shard.cls), bool), [], []
+                for lo in range(0, len(todo), ROWS):
+                    part = todo[lo : lo + ROWS]
+                    nodes, at = np.unique(shard.node[part], return_inverse=True)
+                    sets = [shard.words[j] for j in nodes]
+                    found = _candidates(shard, shard.sig[nodes], shard.bands[nodes], sets, shard.scope[[shard.rows[j][0] for j in nodes]])
+                    for i, k in zip(part.tolist(), at.tolist()):
+                        there = np.sort(np.concatenate([shard.rows[j] for j in found.get(k, [])] or [np.zeros(0, np.int64)]))
+                        there = there[accepted[there] & (there < i)]
+                        hit = np.nonzero(alike_vectors([shard.vector[i]], [shard.vector[j] for j in there])[0])[0] if len(there) else ()
+                        if len(hit):
+                            cases.append(i)
+                            by.append(int(there[hit[0]]))
+                        else:
+                            accepted[i] = True
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cases), pa.string()), pa.array([shard.cls[i] for i in cases], pa.binary()), pa.array(shard.cid[by] if by else [], pa.int64())], names=["shard", "q", "a_cid"])
 
-def _blocks(df: DataFrame, size: int, name: str) -> DataFrame:
-    """``df`` with its block of at most ``size`` classes within (scope, part), in order of ``cid``."""
-    placed = dense_position(df, ["scope", "part", "cid"])
-    first = placed.groupBy("scope", "part").agg(F.min("pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    return join_groups(placed, first, ["scope", "part"], "_n").withColumn(name, F.floor((F.col("pos") - F.col("_first")) / size).cast("int")).drop("pos", "_first", "_n")
+    return run
 
 
-def settle(edges: DataFrame, classes: DataFrame) -> DataFrame:
-    """Accepted ``cid`` among ``classes``: in order, those that repeat no accepted class. ``edges``: (q, a), a < q.
+def settle(edges: DataFrame) -> DataFrame:
+    """Classes ``q`` that repeat an accepted one, in order, with the smallest. ``edges``: (q, a, a_cid), a before q.
 
-    Each round accepts every class whose earlier partners are all cases, then makes cases of what repeats it.
+    Each round accepts every class whose earlier partners are all cases, then makes cases of what repeats it. The first
+    class left is decided in each round, so the rounds end.
     """
-    accepted = checkpoint(classes.join(edges.select(F.col("q").alias("cid")), "cid", "left_anti"))
-    left = checkpoint(edges)
-    new = accepted
-    for _ in range(MAX_ROUNDS):
-        cases = left.join(new.select(F.col("cid").alias("a")), "a", "left_semi").select("q").distinct()
+    edges = checkpoint(edges.distinct())
+    left = edges
+    new = checkpoint(edges.select(F.col("a").alias("c")).distinct().join(edges.select(F.col("q").alias("c")), "c", "left_anti"))
+    accepted = new
+    while not left.isEmpty():
+        cases = left.join(new.select(F.col("c").alias("a")), "a", "left_semi").select("q").distinct()
         # edges of cases are settled, on either side
         rest = left.join(cases, "q", "left_anti")
         open_ = checkpoint(rest.join(cases.select(F.col("q").alias("a")), "a", "left_anti"))
-        waiting = open_.select("q").distinct()
-        new = checkpoint(rest.select("q").distinct().join(waiting, "q", "left_anti").select(F.col("q").alias("cid")))
+        new = checkpoint(rest.select("q").distinct().join(open_.select("q"), "q", "left_anti").select(F.col("q").alias("c")))
         accepted = accepted.unionByName(new)
         left = open_
-        if left.isEmpty():
-            break
-    return accepted
+    return edges.join(accepted.select(F.col("c").alias("a")), "a", "left_semi").groupBy("q").agg(F.min("a_cid").alias("a_cid"))
+
+
+# -- the index ---------------------------------------------------------------------------------------------------------
+class HistoryIndex:
+    """Accepted rows in a folder that survives the session. One writer at a time; a generation counts once the
+    manifest names it, so a call that fails leaves the index as it was."""
+
+    def __init__(self, spark: SparkSession, path: str, shard: int = SHARD, compact: int = COMPACT):
+        self.spark, self.path, self.shard, self.compact = spark, path.rstrip("/"), shard, compact
+        self.system, self.root = _system(self.path)
+        self.live: list[tuple[str, int]] = []
+        found = self.system.get_file_info(fs.FileSelector(f"{self.root}/manifest", allow_not_found=True))
+        self.version = max((int(f.base_name) for f in found if f.base_name.isdigit()), default=0)
+        if self.version:
+            with self.system.open_input_stream(f"{self.root}/manifest/{self.version}") as f:
+                self.live = [(g, int(n)) for g, n in (line.split() for line in f.read().decode().splitlines())]
+
+    def _commit(self, live: list[tuple[str, int]]) -> None:
+        """A new manifest, written aside and moved in place."""
+        at = f"{self.root}/manifest/{self.version + 1}"
+        self.system.create_dir(f"{self.root}/manifest", recursive=True)
+        with self.system.open_output_stream(f"{at}.new") as f:
+            f.write("".join(f"{g} {n}\n" for g, n in live).encode())
+        self.system.move(f"{at}.new", at)
+        self.version, self.live = self.version + 1, live
+
+    def _new_gen(self) -> str:
+        return f"{self.version + 1:06d}-{uuid.uuid4().hex[:8]}"
+
+    def _gen(self, gen: str) -> str:
+        return f"{self.path}/gen={gen}"
+
+    def _write(self, classes: DataFrame, gen: str) -> set[str]:
+        """Writes the shards of ``classes`` under ``gen`` and which scopes each holds. Gives the scopes that lie in several (at most
+        one for each ``shard`` classes). Without classes there is no shard."""
+        counts = checkpoint(classes.groupBy("scope").agg(F.count(F.lit(1)).alias("n")))
+        large = F.col("n") > self.shard
+        total, split = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(large, F.col("scope")))).first()
+        # large scopes have shards of their own, by class; small ones share shards
+        parts = F.when(F.col("n") > self.shard // 4, F.ceil(F.col("n") / self.shard)).otherwise(0).cast("int")
+        counts = counts.withColumn("parts", parts).withColumn("home", F.concat(F.lit("s"), F.pmod(F.xxhash64("scope"), F.lit(max(1, -(-2 * total // self.shard)))).cast("string")))
+        own = F.concat(F.lit("h"), F.hex(F.xxhash64("scope")), F.lit("-"))
+        placed = join_groups(classes, counts, ["scope"], "n", total)
+        placed = placed.withColumn("shard", F.when(F.col("parts") > 0, F.concat(own, F.pmod(F.xxhash64("class"), F.greatest("parts", F.lit(1))).cast("string"))).otherwise(F.col("home")))
+        built = placed.select("shard", *SKETCH).groupBy("shard").applyInArrow(_build, "shard string, blob binary")
+        built.write.partitionBy("shard").parquet(f"{self._gen(gen)}/shards")
+        several = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat(own, i.cast("string")))
+        scopes = counts.select("scope", "n", F.explode(F.when(F.col("parts") > 0, several).otherwise(F.array("home"))).alias("shard"))
+        scopes.write.parquet(f"{self._gen(gen)}/scopes")
+        return set(split)
+
+    def begin(self, rows: DataFrame) -> None:
+        """Rows that are accepted as they are: the history."""
+        gen = self._new_gen()
+        self._write(checkpoint(classes_of(sketched(rows))), gen)
+        self._commit([*self.live, (gen, HISTORY_LEVEL)])
+
+    def _scopes(self, gens: list[str]) -> DataFrame | None:
+        """gen, scope, shard of some generations."""
+        if not gens:
+            return None
+        found = self.spark.read.schema("scope string, n bigint, shard string").parquet(*[f"{self._gen(g)}/scopes" for g in gens])
+        return found.select(F.regexp_extract(F.col("_metadata.file_path"), r"(gen=[^/]+)/scopes/", 1).alias("gen"), "scope", "shard")
+
+    def _ask(self, queries: DataFrame, scopes: DataFrame | None, first_only: bool) -> DataFrame:
+        """``HITS`` of the query classes in the shards of their scopes. Queries of one shard beyond ``QUERIES`` are cut
+        into blocks for several tasks, each of which opens the shard."""
+        if scopes is None:
+            return self.spark.createDataFrame([], HITS)
+        asked = queries.groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
+        # the scopes of one shard are at most as many as its classes
+        blocks = F.ceil(F.sum("asked").over(Window.partitionBy("gen", "shard")) / QUERIES).cast("int")
+        places = scopes.join(asked, "scope").withColumn("blocks", blocks).groupBy("scope").agg(F.first("asked").alias("asked"), F.collect_list(F.struct("gen", "shard", "blocks")).alias("places"))
+        sent = join_groups(queries, places, ["scope"], "asked").select(*SKETCH, F.explode("places").alias("p"))
+        sent = sent.select(*SKETCH, "p.gen", "p.shard", F.pmod(F.xxhash64("class"), F.col("p.blocks")).alias("block"))
+        return sent.groupBy("gen", "shard", "block").applyInArrow(_search(self.path, first_only), HITS)
+
+    def accept(self, batch: DataFrame) -> DataFrame:
+        """(accepted_row_no, row_no) of the rows of ``batch`` that repeat an accepted one; the others become accepted.
+
+        Reads the batch and the stored shards of its scopes, and adds one generation.
+        """
+        rows = checkpoint(sketched(batch))
+        queries = checkpoint(classes_of(rows))
+        old = self._ask(queries, self._scopes([g for g, _ in self.live]), True)
+        hits = checkpoint(old.groupBy("q").agg(F.min("a_cid").alias("a_cid")))
+        young = queries.join(hits.select(F.col("q").alias("class")), "class", "left_anti")
+        gen = self._new_gen()
+        split = self._write(young, gen)
+        scopes = self._scopes([gen])
+        names = scopes.select("shard").distinct().repartition(F.col("shard"))
+        inside = names.mapInArrow(_settle_shard(split, self._gen(gen)), "shard string, q binary, a_cid bigint")
+        cases = checkpoint(inside)
+        if split:
+            hot = young.where(F.col("scope").isin(sorted(split)))
+            edges = self._ask(hot, scopes.where(F.col("scope").isin(sorted(split))), False)
+            lost = settle(edges)
+            # a class of a scope in several shards lies in the one its hash says
+            where = hot.select(F.col("class").alias("q"), "scope").join(lost, "q")
+            n = scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("parts"))
+            name = F.concat(F.lit("h"), F.hex(F.xxhash64("scope")), F.lit("-"), F.pmod(F.xxhash64("q"), F.col("parts")).cast("string"))
+            cases = cases.unionByName(where.join(F.broadcast(n.where(F.col("scope").isin(sorted(split)))), "scope").select(name.alias("shard"), "q", "a_cid"))
+            cases = checkpoint(cases)
+        # shards without dead classes have no such folder
+        cases.select("shard", F.col("q").alias("class")).write.partitionBy("shard").parquet(f"{self._gen(gen)}/dead")
+        self._commit([*self.live, (gen, 0)])
+        self._compact()
+        verdict = hits.unionByName(cases.select("q", "a_cid"))
+        mine = queries.select("class", "cid").join(verdict.withColumnRenamed("q", "class"), "class", "left").select("class", F.coalesce("a_cid", "cid").alias("accepted_row_no"))
+        counts = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+        out = join_groups(rows.select("row_no", "class"), mine.join(counts, "class"), ["class"], "n")
+        return out.where("accepted_row_no != row_no").select("accepted_row_no", "row_no").distinct()
+
+    def _compact(self) -> None:
+        """Merges ``compact`` generations of one level into one of the next, without their dead classes. Only stored
+        sketches are read; the old generations stay in the folder until ``clean``."""
+        level = 0
+        while True:
+            old = [g for g, n in self.live if n == level]
+            if len(old) < self.compact:
+                if not any(n > level and n != HISTORY_LEVEL for _, n in self.live):
+                    return
+                level += 1
+                continue
+            shards = self._scopes(old).select("gen", "shard").distinct().repartition(F.col("gen"), F.col("shard"))
+
+            path = self.path
+
+            def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    for g, s in zip(b.column("gen").to_pylist(), b.column("shard").to_pylist()):
+                        yield from open_shard(f"{path}/{g}", s).sketches(alive(f"{path}/{g}", s)).to_batches()
+
+            schema = "class binary, cid bigint, scope string, sig binary, bands binary, words binary, vector binary"
+            gen = self._new_gen()
+            self._write(checkpoint(shards.mapInArrow(opened, schema)), gen)
+            self._commit([*[x for x in self.live if x[0] not in old], (gen, level + 1)])
+
+    def clean(self) -> None:
+        """Deletes generations that the newest manifest does not name."""
+        keep = {f"gen={g}" for g, _ in self.live}
+        for f in self.system.get_file_info(fs.FileSelector(self.root, allow_not_found=True)):
+            if f.base_name.startswith("gen=") and f.base_name not in keep:
+                self.system.delete_dir(f.path)
+
+
+def steps(incoming: DataFrame) -> list[tuple[int, int]]:
+    """Ranges of row_no, in order: one for each batch, batches whose ranges cross in one. Rows without a batch are one
+    batch. One range per batch reaches the driver."""
+    found = incoming.where("row_no is not null").groupBy("batch_no").agg(F.min("row_no").alias("lo"), F.max("row_no").alias("hi")).select("lo", "hi").collect()
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted((r["lo"], r["hi"]) for r in found):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
 
 
-def repeats(memories: DataFrame, incoming: DataFrame) -> DataFrame:
+def repeats(memories: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
     """accepted_row_no, row_no of every incoming row that repeats an accepted row of its scope.
 
-    Rows without words repeat nothing. Missing vectors (null, empty, all zero, not finite) leave the words to decide,
-    and so do vectors of different length. Every row of ``memories`` is history, every row of ``incoming`` is checked,
-    whatever its ``batch_no``, which only places rows in shards; order is by ``row_no``. Equal rows count once each. Empty inputs give no rows.
+    Builds an index of ``memories`` at ``path`` (by default a new folder beside the checkpoints), then adds the batches of
+    ``incoming`` one by one. Rows without words repeat nothing, rows without row_no are left out. Missing vectors (null,
+    empty, all zero, not finite) leave the words to decide, and so do vectors of different length. Every row of
+    ``memories`` is history, every row of ``incoming`` is checked, whatever its ``batch_no``; order is by ``row_no``. Equal
+    rows count once each. Empty inputs give no rows.
     """
-    cols = ["row_no", "batch_no", "scope", "text", "vector"]
-    history = memories.withColumn("batch_no", F.lit(None).cast("int")).select(*cols, F.lit(False).alias("fresh"))
-    both = history.unionByName(incoming.select(*cols, F.lit(True).alias("fresh"))).withColumn("batch_no", F.col("batch_no").cast("int")).withColumn("scope", scope_key(F.col("scope")))
-    rows = checkpoint(both.mapInArrow(_named, NAMED))
-    fresh = F.col("fresh")
-    classes = rows.groupBy("scope", "class").agg(
-        F.min("row_no").alias("cid"),
-        F.min(F.when(~fresh, F.col("row_no"))).alias("old"),
-        F.min(F.when(fresh, F.col("row_no"))).alias("new"),
-        F.min("batch_no").alias("batch_no"),
-        F.count(F.lit(1)).alias("n"),
-    )
-    # the parts of the history and of rows without batch, then those of the batches
-    group = F.concat(F.lit("b"), F.ceil(F.col("batch_no") / COMPACT).cast("string"))
-    classes = checkpoint(classes.withColumn("part", F.when(F.col("old").isNotNull(), F.lit("history")).otherwise(F.coalesce(group, F.lit("none")))))
-    texts = both.select(F.col("row_no").alias("cid"), "text", "vector")
-    fresh_texts = incoming.select(F.col("row_no").alias("new"), "text", "vector")
-
-    def shards_of(rows_: DataFrame) -> DataFrame:
-        placed = _blocks(rows_.select("scope", "part", "cid"), SHARD, "segment").withColumn("shard", F.concat_ws("-", "part", "segment")).select("cid", "scope", "shard")
-        return checkpoint(build_shards(texts.join(placed, "cid").mapInArrow(_sketches("shard"), f"{SKETCH}, shard string")))
-
-    def asking(rows_: DataFrame) -> DataFrame:
-        # a query class has an incoming row of its own, so only the incoming rows are read again
-        blocks = _blocks(rows_.select("scope", F.lit("").alias("part"), "cid", "new"), QUERIES, "block").select("cid", "scope", "block", "new")
-        return checkpoint(fresh_texts.join(blocks, "new").mapInArrow(_sketches("block"), f"{SKETCH}, block int"))
-
-    # against the history: the smallest class alike, be it the query's own
-    mine = classes.where("new is not null")
-    hits = search_shards(shards_of(classes.where("old is not null")), asking(mine), True).groupBy("q").agg(F.min("a").alias("hit"))
-    asked = checkpoint(mine.select(F.col("cid").alias("q"), "scope", "class", "n", "old", "new", "part").join(hits, "q", "left").withColumn("hit", F.least("old", "hit")))
-    # among what the history does not settle: every class alike before it
-    young = asked.where("hit is null").select(F.col("q").alias("cid"), "scope", "part", "new")
-    edges = checkpoint(search_shards(shards_of(young), asking(young), False).distinct())
-    accepted = settle(edges, young.select("cid"))
-    by_new = edges.join(accepted.select(F.col("cid").alias("a")), "a", "left_semi").groupBy("q").agg(F.min("a").alias("hit_new"))
-    verdict = asked.join(by_new, "q", "left").select("scope", "class", "n", F.coalesce("hit", "hit_new", "q").alias("accepted_row_no"))
-    out = join_groups(rows.where(fresh).select("row_no", "scope", "class"), verdict, ["scope", "class"], "n")
-    return out.where("accepted_row_no != row_no").select("accepted_row_no", "row_no").distinct()
+    spark = memories.sparkSession
+    index = HistoryIndex(spark, path or f"{shared_folder(spark)}/history-index-{uuid.uuid4().hex}")
+    index.begin(memories)
+    out = None
+    for lo, hi in steps(incoming):
+        found = index.accept(incoming.where(F.col("row_no").between(lo, hi)))
+        index.clean()
+        out = found if out is None else out.unionByName(found)
+    if path is None:
+        index.system.delete_dir(index.root)
+    return spark.createDataFrame([], "accepted_row_no bigint, row_no bigint") if out is None else out

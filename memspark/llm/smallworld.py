@@ -1,23 +1,25 @@
 """A navigable small-world graph over 1-bit min-hash signatures of word sets, in numpy.
 
-Distances are Hamming distances of 256 bits, so ``1 - d / 128`` estimates the share of words in both texts. Nodes are
-inserted in blocks: each block searches the graph so far with a beam, links to its nearest nodes, and these link back.
-Searches enter at nodes that share a band of min-hashes with the query and at a few random hubs. The beam is as wide
-as a search of the shard's own nodes needs to find what exhaustive search finds.
+Distances are Hamming distances of 256 bits, so ``1 - d / 128`` estimates the share of words in both texts; nodes of
+different scopes are ``APART`` further from each other. Nodes are inserted in random order, in blocks that double until
+they reach ``BLOCK``: each block searches the graph so far with a beam, links to its nearest nodes and to the nearest of
+its own block, and these link back. Searches enter at nodes that share a band of min-hashes with the query and at a few
+hubs. The beam is as wide as a search of the shard's own nodes needs to find what exhaustive search finds. A graph of
+any size is searched this way.
 """
 
 from __future__ import annotations
 
-import pickle
-
 import numpy as np
 
 BITS, BANDS, ROWS = 256, 16, 3
 #: Signature distance up to which a pair is reranked: an estimate of 0.5, over four deviations from 0.7.
 NEAR = 64
-LINKS, LONG_LINKS, DEGREE = 12, 4, 28
-BLOCK, BOOTSTRAP, EXHAUSTIVE = 512, 2048, 256
-BEAMS = (32, 64, 128, 256, 512)
+#: What nodes of different scopes are apart besides the distance of their signatures.
+APART = 128
+LINKS, LONG_LINKS, DEGREE = 10, 3, 22
+BLOCK, INSERT_BEAM, WIDE = 256, 24, 6
+BEAMS = (24, 48, 96, 192, 384)
 #: The beam is tuned on pairs up to this distance (an estimate of 0.6 or more), among so many nodes of the shard.
 TUNED, SAMPLE, RECALL = 51, 256, 0.99
 FAR = 999
@@ -51,35 +53,44 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a != b, np.int16(APART), np.int16(0))
+
+
 class Graph:
-    def __init__(self, sig: np.ndarray, bands: np.ndarray, seed: int = 7):
-        self.sig, self.bands, self.n = sig, bands, len(sig)
-        self.order = np.argsort(bands, axis=0, kind="stable").astype(np.int32)
-        self.sorted = np.take_along_axis(bands, self.order, axis=0)
-        self.hubs = np.random.default_rng(seed).permutation(self.n)[:8].astype(np.int32)
+    """``sig`` and ``bands`` of the nodes, and the number of the scope each belongs to. Nodes are numbered as given;
+    inside, they stand in order of insertion."""
+
+    def __init__(self, sig: np.ndarray, bands: np.ndarray, scope: np.ndarray | None = None, seed: int = 7):
+        self.n = len(sig)
+        scope = np.zeros(self.n, np.int32) if scope is None else scope.astype(np.int32)
+        self.perm = np.random.default_rng(seed).permutation(self.n).astype(np.int32)
+        self.sig, self.scope, self.bands = sig[self.perm], scope[self.perm], self._scoped(bands, scope)[self.perm]
         self.beam = BEAMS[0]
         self.links = np.full((self.n, DEGREE), -1, np.int32)
-        if self.n > EXHAUSTIVE:
-            self._build(seed)
-            self._tune(seed)
+        self._index()
+        self._build(seed)
+        self._tune(seed)
+
+    @staticmethod
+    def _scoped(bands: np.ndarray, scope: np.ndarray) -> np.ndarray:
+        """Band keys that only nodes of one scope share."""
+        return bands ^ (scope.astype(np.uint32) * np.uint32(0x9E3779B1))[:, None]
+
+    def _index(self) -> None:
+        self.order = np.argsort(self.bands, axis=0, kind="stable").astype(np.int32)
+        self.sorted = np.take_along_axis(self.bands, self.order, axis=0)
 
     # -- building --------------------------------------------------------------------------------------------------
     def _build(self, seed: int) -> None:
         rng = np.random.default_rng(seed)
         degree = np.zeros(self.n, np.int32)
-        first = min(self.n, BOOTSTRAP)
-        for a in range(0, first, BLOCK):
-            rows = np.arange(a, min(first, a + BLOCK))
-            d = distances(self.sig[rows], self.sig[:first])
-            d[np.arange(len(rows)), rows] = FAR
-            near = np.argpartition(d, min(LINKS, first - 2), axis=1)[:, :LINKS]
-            self.links[rows, : near.shape[1]] = near
-            self.links[rows, LINKS : LINKS + LONG_LINKS] = rng.integers(0, first, (len(rows), LONG_LINKS))
-            degree[rows] = LINKS + LONG_LINKS
-        for a in range(first, self.n, 2 * BLOCK):
-            rows = np.arange(a, min(self.n, a + 2 * BLOCK))
-            ids, d = self._search(self.sig[rows], self._entries(self.bands[rows], a), 48, a)
-            inside = distances(self.sig[rows], self.sig[rows])
+        a = min(1, self.n)
+        while a < self.n:
+            rows = np.arange(a, min(self.n, a + min(a, BLOCK)))
+            ids, d = self._search(self.sig[rows], self.scope[rows], self._entries(self.bands[rows], a), INSERT_BEAM, a)
+            # what the block's own nodes are to each other, as they cannot find each other in the graph yet
+            inside = distances(self.sig[rows], self.sig[rows]) + _apart(self.scope[rows][:, None], self.scope[rows][None, :])
             inside[np.arange(len(rows)), np.arange(len(rows))] = FAR
             k = min(LINKS, len(rows) - 1)
             if k > 0:
@@ -102,21 +113,23 @@ class Graph:
             ok = slot < DEGREE
             self.links[v[ok], slot[ok]] = u[ok]
             np.add.at(degree, v[ok], 1)
+            a = int(rows[-1]) + 1
 
     def _tune(self, seed: int) -> None:
         """Widens the beam until the shard's own nodes find what exhaustive search finds."""
         rows = np.random.default_rng(seed + 1).permutation(self.n)[:SAMPLE]
-        true = distances(self.sig[rows], self.sig) <= TUNED
+        true = distances(self.sig[rows], self.sig) + _apart(self.scope[rows][:, None], self.scope[None, :]) <= TUNED
         for self.beam in BEAMS:
-            ids, d = self._search(self.sig[rows], self._entries(self.bands[rows], self.n), self.beam, self.n)
+            ids, d = self._search(self.sig[rows], self.scope[rows], self._entries(self.bands[rows], self.n), self.beam, self.n)
             hit = sum(int(true[i, x[y <= TUNED]].sum()) for i, (x, y) in enumerate(zip(ids, d)))
             if hit >= RECALL * true.sum():
                 break
 
     # -- searching -------------------------------------------------------------------------------------------------
     def _entries(self, bands: np.ndarray, below: int) -> np.ndarray:
-        """Hubs and two nodes for each band of the query, as far as they are below ``below``."""
-        out = [np.broadcast_to(np.where(self.hubs < below, self.hubs, 0), (len(bands), len(self.hubs)))]
+        """Hubs (the first nodes) and two nodes for each band of the query, as far as they are below ``below``."""
+        hubs = np.arange(min(8, below), dtype=np.int32)
+        out = [np.broadcast_to(hubs, (len(bands), len(hubs)))]
         for k in range(bands.shape[1]):
             at = np.searchsorted(self.sorted[:, k], bands[:, k])
             for step in (0, 1):
@@ -125,7 +138,7 @@ class Graph:
                 out.append(np.where((self.sorted[i, k] == bands[:, k]) & (node < below), node, -1)[:, None])
         return np.concatenate(out, axis=1)
 
-    def _search(self, q: np.ndarray, entries: np.ndarray, beam: int, below: int, wide: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def _search(self, q: np.ndarray, scope: np.ndarray, entries: np.ndarray, beam: int, below: int) -> tuple[np.ndarray, np.ndarray]:
         """Beams (ids, distances) of all queries; nodes from ``below`` on are not there yet."""
         n, b = self.n, len(q)
         ids, d = np.full((b, beam), n, np.int32), np.full((b, beam), FAR, np.int16)
@@ -133,11 +146,11 @@ class Graph:
         for lo in range(0, b, BLOCK):
             rows = np.arange(lo, min(b, lo + BLOCK))
             seen = np.zeros((len(rows), n + 1), bool)
-            self._add(q, rows, rows - lo, entries[rows], seen, ids, d, done, below)
+            self._add(q, scope, rows, rows - lo, entries[rows], seen, ids, d, done, below)
             live = rows
-            for _ in range(4 * beam):
+            while len(live):
                 open_d = np.where(done[live], FAR, d[live])
-                pick = np.argpartition(open_d, min(wide, beam - 1), axis=1)[:, :wide]
+                pick = np.argpartition(open_d, min(WIDE, beam - 1), axis=1)[:, :WIDE]
                 usable = np.take_along_axis(open_d, pick, axis=1) < FAR
                 keep = usable.any(axis=1)
                 live, pick, usable = live[keep], pick[keep], usable[keep]
@@ -146,20 +159,27 @@ class Graph:
                 done[live[:, None], pick] = True
                 from_ = np.where(usable, ids[live[:, None], pick], n)
                 cands = np.where((from_ < n)[:, :, None], self.links[np.minimum(from_, n - 1)], -1).reshape(len(live), -1)
-                self._add(q, live, live - lo, cands, seen, ids, d, done, below)
+                self._add(q, scope, live, live - lo, cands, seen, ids, d, done, below)
         return ids, d
 
-    def _add(self, q, rows, local, cands, seen, ids, d, done, below) -> None:
-        cands = np.sort(np.where((cands >= 0) & (cands < below), cands, self.n), axis=1)
-        fresh = cands < self.n
-        fresh[:, 1:] &= cands[:, 1:] != cands[:, :-1]
-        fresh &= ~seen[local[:, None], cands]
-        r, c = np.nonzero(fresh)
+    def _add(self, q, scope, rows, local, cands, seen, ids, d, done, below) -> None:
+        ok = (cands >= 0) & (cands < below)
+        r, c = np.nonzero(ok & ~seen[local[:, None], np.where(ok, cands, self.n)])
         if not len(r):
             return
-        node = cands[r, c]
+        # each (query, node) once: the last writer of a cell keeps it
+        node = cands[r, c].astype(np.int64)
+        key = local[r] * np.int64(self.n + 1) + node
+        key, first = np.unique(key, return_index=True)
+        r, node = r[first], node[first]
         seen[local[r], node] = True
-        dist = np.bitwise_count(self.sig[node] ^ q[rows[r]]).sum(axis=1).astype(np.int16)
+        dist = np.bitwise_count(self.sig[node] ^ q[rows[r]]).sum(axis=1).astype(np.int16) + _apart(self.scope[node], scope[rows[r]])
+        # what is further than the whole beam never enters it
+        worst = d[rows].max(axis=1)
+        fit = dist < worst[r]
+        r, node, dist = r[fit], node[fit], dist[fit]
+        if not len(r):
+            return
         width = int(np.bincount(r).max())
         at = np.arange(len(r)) - np.searchsorted(r, r)
         new_ids, new_d = np.full((len(rows), width), self.n, np.int32), np.full((len(rows), width), FAR, np.int16)
@@ -170,30 +190,30 @@ class Graph:
         for whole, part in ((ids, all_ids), (d, all_d), (done, all_done)):
             whole[rows] = np.take_along_axis(part, best, axis=1)
 
-    def near(self, sig: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(query, node) pairs within ``NEAR``; a beam full of them is widened until it is not."""
-        if self.n <= EXHAUSTIVE:
-            parts = [np.argwhere(distances(sig[a : a + BLOCK], self.sig) <= NEAR) + (a, 0) for a in range(0, len(sig), BLOCK)]
-            pairs = np.concatenate(parts) if parts else np.zeros((0, 2), int)
-            return pairs[:, 0], pairs[:, 1]
-        todo, beam, out = np.arange(len(sig)), self.beam, []
+    def near(self, sig: np.ndarray, bands: np.ndarray, scope: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs within ``NEAR``; a beam full of them is widened until it is not.
+
+        ``scope`` numbers the queries' scopes as those of the nodes; -1 is none of them.
+        """
+        scope = np.zeros(len(sig), np.int32) if scope is None else scope.astype(np.int32)
+        bands = self._scoped(bands, scope)
+        todo, beam, out = np.arange(len(sig)) if self.n else np.zeros(0, int), self.beam, []
         while len(todo):
             beam = min(beam, self.n)
-            ids, d = self._search(sig[todo], self._entries(bands[todo], self.n), beam, self.n)
+            ids, d = self._search(sig[todo], scope[todo], self._entries(bands[todo], self.n), beam, self.n)
             full = (d <= NEAR).all(axis=1) & (beam < self.n)
             i, j = np.nonzero((d <= NEAR) & ~full[:, None])
-            out.append((todo[i], ids[i, j]))
+            out.append((todo[i], self.perm[ids[i, j]]))
             todo, beam = todo[full], beam * 4
         return (np.concatenate([a for a, _ in out]), np.concatenate([b for _, b in out])) if out else (np.zeros(0, int), np.zeros(0, int))
 
-    def dumps(self) -> bytes:
-        return pickle.dumps((self.sig, self.bands, self.links, self.hubs, self.beam), protocol=5)
+    def state(self) -> tuple:
+        return self.sig, self.scope, self.bands, self.links, self.perm, self.beam
 
     @classmethod
-    def loads(cls, blob: bytes) -> Graph:
+    def of(cls, state: tuple) -> Graph:
         g = cls.__new__(cls)
-        g.sig, g.bands, g.links, g.hubs, g.beam = pickle.loads(blob)
+        g.sig, g.scope, g.bands, g.links, g.perm, g.beam = state
         g.n = len(g.sig)
-        g.order = np.argsort(g.bands, axis=0, kind="stable").astype(np.int32)
-        g.sorted = np.take_along_axis(g.bands, g.order, axis=0)
+        g._index()
         return g

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
+import shutil
 
 import numpy as np
 
-from memspark.llm.history_dedup import repeats
+from memspark.llm.history_dedup import HistoryIndex, repeats
 from memspark.llm.smallworld import NEAR, Graph, distances, signatures
 from memspark.llm.words import words
 
@@ -55,7 +56,7 @@ def data(seed):
     inc = []
     for i in range(160):
         t, v, s = one()
-        inc.append((1000 + i, 1 + i // 20, t, v, s, "x"))
+        inc.append((1000 + i, 1 + i // 40, t, v, s, "x"))
     return mem, inc
 
 
@@ -79,7 +80,7 @@ def test_one_text_with_many_vectors(spark):
     r = random.Random(6)
     near = lambda k: [1.0, 0.01 * k, 0.0] if k % 7 else [0.0, 0.0, 1.0 + k]
     mem = [(i, "one text of some words" if i % 3 == 0 else f"other {i} row {i * 7} number {i * 11}", near(i), "s", 0) for i in range(5, 300)]
-    inc = [(1000 + i, 1 + i // 40, "One text, of some WORDS!" if i % 3 else f"fresh {i % 20} words {i % 20} here", near(r.randint(0, 60)), "s", "") for i in range(240)]
+    inc = [(1000 + i, 1 + i // 120, "One text, of some WORDS!" if i % 3 else f"fresh {i % 20} words {i % 20} here", near(r.randint(0, 60)), "s", "") for i in range(240)]
     got = {tuple(x) for x in repeats(spark.createDataFrame(mem, M), spark.createDataFrame(inc, I)).collect()}
     assert got == brute(mem, inc) and len(got) > 150
 
@@ -110,7 +111,7 @@ def test_graph_recall_against_exhaustive_search():
     flat = np.concatenate(rows).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     sig, bands = signatures(flat, np.arange(len(rows)) * 18)
     half = len(rows) * 2 // 3
-    g = Graph.loads(Graph(sig[:half], bands[:half]).dumps())
+    g = Graph.of(Graph(sig[:half], bands[:half]).state())
     assert g.n > 1500
     got = set(zip(*map(np.ndarray.tolist, g.near(sig[half:], bands[half:]))))
     true = set(zip(*map(np.ndarray.tolist, np.nonzero(distances(sig[half:], sig[:half]) <= NEAR))))
@@ -127,3 +128,35 @@ def test_any_batch_number_is_checked(spark):
     inc += [(2000, None, "one two three", None, "s", ""), (2001, 0, "three two one", None, "s", ""), (2002, 5, "one two three", None, "s", "")]
     got = {tuple(r) for r in repeats(spark.createDataFrame(mem, M), spark.createDataFrame(inc, I)).collect()}
     assert got == brute(mem, inc) and {(2000, 2001), (2000, 2002)} <= got
+
+
+def test_later_batches_read_no_text_of_the_history(spark, tmp_path):
+    mem, inc = data(3)
+    table, folder = str(tmp_path / "memories.parquet"), str(tmp_path / "index")
+    spark.createDataFrame(mem, M).write.parquet(table)
+    # small shards: scopes lie in several, and every second batch is merged
+    HistoryIndex(spark, folder, shard=8, compact=2).begin(spark.read.parquet(table))
+    shutil.rmtree(table)
+    got = set()
+    for lo in range(0, 160, 40):
+        index = HistoryIndex(spark, folder, shard=8, compact=2)  # as a later session would open it
+        got |= {tuple(r) for r in index.accept(spark.createDataFrame(inc[lo : lo + 40], I)).collect()}
+        index.clean()
+    assert got == brute(mem, inc)
+    index = HistoryIndex(spark, folder)
+    assert sorted(n for _, n in index.live) == [2, 99]
+    assert sum(p.name.startswith("gen=") for p in (tmp_path / "index").iterdir()) == 2
+
+
+def test_small_graphs_are_graphs():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 5, 40, 200):
+        flat = rng.integers(1, 2**63, (n, 12)).astype(np.uint64)
+        sig, bands = signatures(flat.ravel(), np.arange(n) * 12)
+        scope = np.arange(n) % 2
+        g = Graph(sig, bands, scope)
+        assert ((g.links >= 0).any(axis=1) | (n == 1)).all()
+        i, j = g.near(sig, bands, scope)
+        assert {(k, k) for k in range(n)} <= set(zip(i.tolist(), j.tolist()))
+        # the same words in the other scope are not near
+        assert not len(g.near(sig, bands, 1 - scope)[0])
