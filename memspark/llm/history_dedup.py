@@ -8,8 +8,9 @@ does not settle becomes a shard of its own, in which it is settled in order of `
 repeats an accepted row, and accepted once all rows before it that it repeats are cases. Every ``COMPACT`` generations of
 one level are merged into one of the next, from their stored sketches.
 
-Folder: ``gen=G/shards/shard=S`` (graph and sketches), ``gen=G/scopes`` (which scopes a shard holds), ``gen=G/dead``
-(classes of a batch's shard that turned out to be cases), ``manifest/V`` (the generations that are live, with levels).
+Folder: ``shards/gen=G/shard=S`` (graph and sketches, the scopes it holds, and which of its classes turned out to be
+cases, with what they repeat), ``dead/gen=G/shard=S`` (such classes of scopes that lie in several shards),
+``manifest/V`` (the generations that are live, with levels).
 """
 
 from __future__ import annotations
@@ -83,9 +84,14 @@ def sketched(rows: DataFrame) -> DataFrame:
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """One row per class, ``cid`` being its smallest row_no. Copies are put together before the shuffle."""
+    """One row per class: ``cid`` its smallest row_no, ``copies`` its rows. Copies are put together before the shuffle."""
     first = [F.first(c).alias(c) for c in ("sig", "bands", "words", "vector")]
-    return rows.groupBy("scope", "class").agg(F.min("row_no").alias("cid"), *first).select(*SKETCH)
+    return rows.groupBy("scope", "class").agg(F.min("row_no").alias("cid"), F.count(F.lit(1)).alias("copies"), *first).select(*SKETCH, "copies")
+
+
+def sizes_of(classes: DataFrame) -> DataFrame:
+    """Scopes with their number ``n`` of classes."""
+    return checkpoint(classes.groupBy("scope").agg(F.count(F.lit(1)).alias("n")))
 
 
 # -- shards ------------------------------------------------------------------------------------------------------------
@@ -151,20 +157,32 @@ def _read(path: str) -> pa.Table:
 
 
 @lru_cache(maxsize=2)
-def open_shard(gen: str, shard: str) -> Shard:
-    return Shard.loads(_read(f"{gen}/shards/shard={shard}")["blob"][0].as_py())
+def open_shard(root: str, gen: str, shard: str) -> tuple[Shard, np.ndarray]:
+    """A stored shard of a live generation, and which of its classes are accepted."""
+    t = _read(f"{root}/shards/gen={gen}/shard={shard}")
+    s = Shard.loads(t["blob"][0].as_py())
+    gone = set(t["cases"][0].as_py())
+    dead = _read(f"{root}/dead/gen={gen}/shard={shard}")
+    if dead.num_rows:
+        gone.update(dead["class"].to_pylist())
+    return s, np.array([c not in gone for c in s.cls], bool)
+
+
+STORED = "shard string, scopes array<string>, cases array<binary>, hits array<bigint>, blob binary"
 
 
-@lru_cache(maxsize=8)
-def alive(gen: str, shard: str) -> np.ndarray:
-    """Which classes of a shard are accepted; known once its generation is live."""
-    dead = _read(f"{gen}/dead/shard={shard}")
-    gone = set(dead["class"].to_pylist()) if dead.num_rows else set()
-    return np.array([c not in gone for c in open_shard(gen, shard).cls], bool)
+def _build(young: bool, split: set[str]):
+    """A shard of ``STORED``. ``young`` classes are not accepted yet: those of scopes that lie in this shard whole are
+    settled here."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        shard = Shard(table)
+        cases, by = settle_within(shard, split) if young else ([], [])
+        row = [key[0].as_py(), shard.scopes, [shard.cls[i] for i in cases], shard.cid[by].tolist() if by else [], shard.dumps()]
+        kinds = [pa.string(), pa.list_(pa.string()), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
+        return pa.table({n.split()[0]: pa.array([x], k) for n, x, k in zip(STORED.split(", "), row, kinds)})
 
-def _build(key: tuple, table: pa.Table) -> pa.Table:
-    return pa.table({"shard": pa.array([key[0].as_py()], pa.string()), "blob": pa.array([Shard(table).dumps()], pa.binary())})
+    return run
 
 
 # -- the exact rerank --------------------------------------------------------------------------------------------------
@@ -215,14 +233,13 @@ def _candidates(shard: Shard, sig: np.ndarray, bands: np.ndarray, sets: list[byt
 HITS = "q binary, a binary, a_cid bigint"
 
 
-def _search(path: str, first_only: bool):
+def _search(root: str, first_only: bool):
     """Search of one stored shard by the queries of one group; ``first_only`` gives each the smallest live class alike,
     else all that come before it."""
 
     def run(key: tuple, queries: pa.Table) -> pa.Table:
-        gen, name = f"{path}/{key[0].as_py()}", key[1].as_py()
-        shard = open_shard(gen, name)
-        live = alive(gen, name) if first_only else np.ones(len(shard.cls), bool)
+        # edges are sought in a generation that is not live yet: nothing of it is accepted or not, nothing is kept open
+        shard, live = (open_shard if first_only else open_shard.__wrapped__)(root, key[0].as_py(), key[1].as_py())
         number = {s: i for i, s in enumerate(shard.scopes)}
         col = {c: queries[c].to_pylist() for c in ("class", "scope", "words", "vector", "sig", "bands")}
         qid, of = queries["cid"].to_numpy(), {}
@@ -255,33 +272,27 @@ def _search(path: str, first_only: bool):
     return run
 
 
-def _settle_shard(split: set[str], gen: str):
-    """In order of ``cid``: the classes of one shard that repeat an accepted one of it, for scopes that lie in it whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for name in b.column("shard").to_pylist():
-                shard = open_shard(gen, name)
-                whole = np.array([s not in split for s in shard.scopes], bool)[shard.scope]
-                todo = np.nonzero(whole)[0]
-                accepted, cases, by = np.zeros(len(shard.cls), bool), [], []
-                for lo in range(0, len(todo), ROWS):
-                    part = todo[lo : lo + ROWS]
-                    nodes, at = np.unique(shard.node[part], return_inverse=True)
-                    sets = [shard.words[j] for j in nodes]
-                    found = _candidates(shard, shard.sig[nodes], shard.bands[nodes], sets, shard.scope[[shard.rows[j][0] for j in nodes]])
-                    for i, k in zip(part.tolist(), at.tolist()):
-                        there = np.sort(np.concatenate([shard.rows[j] for j in found.get(k, [])] or [np.zeros(0, np.int64)]))
-                        there = there[accepted[there] & (there < i)]
-                        hit = np.nonzero(alike_vectors([shard.vector[i]], [shard.vector[j] for j in there])[0])[0] if len(there) else ()
-                        if len(hit):
-                            cases.append(i)
-                            by.append(int(there[hit[0]]))
-                        else:
-                            accepted[i] = True
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(cases), pa.string()), pa.array([shard.cls[i] for i in cases], pa.binary()), pa.array(shard.cid[by] if by else [], pa.int64())], names=["shard", "q", "a_cid"])
-
-    return run
+def settle_within(shard: Shard, split: set[str]) -> tuple[list[int], list[int]]:
+    """In order of ``cid``: the classes of a shard that repeat an accepted one of it, and the smallest such; of scopes
+    that lie in it whole."""
+    whole = np.array([s not in split for s in shard.scopes], bool)[shard.scope]
+    todo = np.nonzero(whole)[0]
+    accepted, cases, by = np.zeros(len(shard.cls), bool), [], []
+    for lo in range(0, len(todo), ROWS):
+        part = todo[lo : lo + ROWS]
+        nodes, at = np.unique(shard.node[part], return_inverse=True)
+        sets = [shard.words[j] for j in nodes]
+        found = _candidates(shard, shard.sig[nodes], shard.bands[nodes], sets, shard.scope[[shard.rows[j][0] for j in nodes]])
+        for i, k in zip(part.tolist(), at.tolist()):
+            there = np.sort(np.concatenate([shard.rows[j] for j in found.get(k, [])] or [np.zeros(0, np.int64)]))
+            there = there[accepted[there] & (there < i)]
+            hit = np.nonzero(alike_vectors([shard.vector[i]], [shard.vector[j] for j in there])[0])[0] if len(there) else ()
+            if len(hit):
+                cases.append(i)
+                by.append(int(there[hit[0]]))
+            else:
+                accepted[i] = True
+    return cases, by
 
 
 def settle(edges: DataFrame) -> DataFrame:
@@ -332,51 +343,50 @@ class HistoryIndex:
     def _new_gen(self) -> str:
         return f"{self.version + 1:06d}-{uuid.uuid4().hex[:8]}"
 
-    def _gen(self, gen: str) -> str:
-        return f"{self.path}/gen={gen}"
-
-    def _write(self, classes: DataFrame, gen: str) -> set[str]:
-        """Writes the shards of ``classes`` under ``gen`` and which scopes each holds. Gives the scopes that lie in several (at most
-        one for each ``shard`` classes). Without classes there is no shard."""
-        counts = checkpoint(classes.groupBy("scope").agg(F.count(F.lit(1)).alias("n")))
-        large = F.col("n") > self.shard
-        total, split = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(F.when(large, F.col("scope")))).first()
+    def _write(self, classes: DataFrame, sizes: DataFrame, gen: str, young: bool) -> set[str]:
+        """Writes the shards of ``classes``; ``sizes`` has their scopes, with as many or more classes. Gives the scopes
+        that lie in several shards (at most one for each ``shard`` classes)."""
+        large = F.when(F.col("n") > self.shard, F.col("scope"))
+        total, split = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.collect_list(large)).first()
         # large scopes have shards of their own, by class; small ones share shards
         parts = F.when(F.col("n") > self.shard // 4, F.ceil(F.col("n") / self.shard)).otherwise(0).cast("int")
-        counts = counts.withColumn("parts", parts).withColumn("home", F.concat(F.lit("s"), F.pmod(F.xxhash64("scope"), F.lit(max(1, -(-2 * total // self.shard)))).cast("string")))
-        own = F.concat(F.lit("h"), F.hex(F.xxhash64("scope")), F.lit("-"))
-        placed = join_groups(classes, counts, ["scope"], "n", total)
-        placed = placed.withColumn("shard", F.when(F.col("parts") > 0, F.concat(own, F.pmod(F.xxhash64("class"), F.greatest("parts", F.lit(1))).cast("string"))).otherwise(F.col("home")))
-        built = placed.select("shard", *SKETCH).groupBy("shard").applyInArrow(_build, "shard string, blob binary")
-        built.write.partitionBy("shard").parquet(f"{self._gen(gen)}/shards")
-        several = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.concat(own, i.cast("string")))
-        scopes = counts.select("scope", "n", F.explode(F.when(F.col("parts") > 0, several).otherwise(F.array("home"))).alias("shard"))
-        scopes.write.parquet(f"{self._gen(gen)}/scopes")
+        home = F.concat(F.lit("s"), F.pmod(F.xxhash64("scope"), F.lit(max(1, -(-2 * total // self.shard)))).cast("string"))
+        placed = join_groups(classes.select(*SKETCH), sizes.withColumn("parts", parts), ["scope"], "n", total)
+        placed = placed.withColumn("shard", F.when(F.col("parts") > 0, self._own(F.col("class"), F.greatest("parts", F.lit(1)))).otherwise(home))
+        built = placed.select("shard", *SKETCH).groupBy("shard").applyInArrow(_build(young, set(split)), STORED)
+        built.write.partitionBy("shard").parquet(f"{self.path}/shards/gen={gen}")
         return set(split)
 
+    @staticmethod
+    def _own(cls: F.Column, parts: F.Column) -> F.Column:
+        """The shard of a class of a large scope."""
+        return F.concat(F.lit("h"), F.hex(F.xxhash64("scope")), F.lit("-"), F.pmod(F.xxhash64(cls), parts).cast("string"))
+
     def begin(self, rows: DataFrame) -> None:
         """Rows that are accepted as they are: the history."""
         gen = self._new_gen()
-        self._write(checkpoint(classes_of(sketched(rows))), gen)
+        classes = checkpoint(classes_of(sketched(rows)))
+        self._write(classes, sizes_of(classes), gen, young=False)
         self._commit([*self.live, (gen, HISTORY_LEVEL)])
 
-    def _scopes(self, gens: list[str]) -> DataFrame | None:
-        """gen, scope, shard of some generations."""
-        if not gens:
+    def _stored(self, gens: list[str]) -> DataFrame | None:
+        """``STORED`` of some generations, with gen. Only the columns asked for are read."""
+        there = [g for g in gens if self.system.get_file_info(f"{self.root}/shards/gen={g}").type != fs.FileType.NotFound]
+        if not there:
             return None
-        found = self.spark.read.schema("scope string, n bigint, shard string").parquet(*[f"{self._gen(g)}/scopes" for g in gens])
-        return found.select(F.regexp_extract(F.col("_metadata.file_path"), r"(gen=[^/]+)/scopes/", 1).alias("gen"), "scope", "shard")
+        reader = self.spark.read.schema("scopes array<string>, cases array<binary>, hits array<bigint>, blob binary, gen string, shard string")
+        return reader.option("basePath", f"{self.path}/shards").parquet(*[f"{self.path}/shards/gen={g}" for g in there])
 
-    def _ask(self, queries: DataFrame, scopes: DataFrame | None, first_only: bool) -> DataFrame:
+    def _ask(self, queries: DataFrame, sizes: DataFrame, stored: DataFrame | None, first_only: bool) -> DataFrame:
         """``HITS`` of the query classes in the shards of their scopes. Queries of one shard beyond ``QUERIES`` are cut
         into blocks for several tasks, each of which opens the shard."""
-        if scopes is None:
+        if stored is None:
             return self.spark.createDataFrame([], HITS)
-        asked = queries.groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
+        met = stored.select("gen", "shard", F.explode("scopes").alias("scope")).join(sizes.withColumnRenamed("n", "asked"), "scope")
         # the scopes of one shard are at most as many as its classes
         blocks = F.ceil(F.sum("asked").over(Window.partitionBy("gen", "shard")) / QUERIES).cast("int")
-        places = scopes.join(asked, "scope").withColumn("blocks", blocks).groupBy("scope").agg(F.first("asked").alias("asked"), F.collect_list(F.struct("gen", "shard", "blocks")).alias("places"))
-        sent = join_groups(queries, places, ["scope"], "asked").select(*SKETCH, F.explode("places").alias("p"))
+        places = met.withColumn("blocks", blocks).groupBy("scope").agg(F.first("asked").alias("asked"), F.collect_list(F.struct("gen", "shard", "blocks")).alias("places"))
+        sent = join_groups(queries.select(*SKETCH), places, ["scope"], "asked").select(*SKETCH, F.explode("places").alias("p"))
         sent = sent.select(*SKETCH, "p.gen", "p.shard", F.pmod(F.xxhash64("class"), F.col("p.blocks")).alias("block"))
         return sent.groupBy("gen", "shard", "block").applyInArrow(_search(self.path, first_only), HITS)
 
@@ -387,66 +397,61 @@ class HistoryIndex:
         """
         rows = checkpoint(sketched(batch))
         queries = checkpoint(classes_of(rows))
-        old = self._ask(queries, self._scopes([g for g, _ in self.live]), True)
+        sizes = sizes_of(queries)
+        old = self._ask(queries, sizes, self._stored([g for g, _ in self.live]), True)
         hits = checkpoint(old.groupBy("q").agg(F.min("a_cid").alias("a_cid")))
         young = queries.join(hits.select(F.col("q").alias("class")), "class", "left_anti")
         gen = self._new_gen()
-        split = self._write(young, gen)
-        scopes = self._scopes([gen])
-        names = scopes.select("shard").distinct().repartition(F.col("shard"))
-        inside = names.mapInArrow(_settle_shard(split, self._gen(gen)), "shard string, q binary, a_cid bigint")
-        cases = checkpoint(inside)
+        split = self._write(young, sizes, gen, young=True)
+        verdict, stored = hits, self._stored([gen])
+        if stored is not None:
+            verdict = hits.unionByName(stored.select(F.inline(F.arrays_zip("cases", "hits"))).toDF("q", "a_cid"))
         if split:
             hot = young.where(F.col("scope").isin(sorted(split)))
-            edges = self._ask(hot, scopes.where(F.col("scope").isin(sorted(split))), False)
-            lost = settle(edges)
+            lost = settle(self._ask(hot, sizes.where(F.col("scope").isin(sorted(split))), stored, False))
             # a class of a scope in several shards lies in the one its hash says
-            where = hot.select(F.col("class").alias("q"), "scope").join(lost, "q")
-            n = scopes.groupBy("scope").agg(F.count(F.lit(1)).alias("parts"))
-            name = F.concat(F.lit("h"), F.hex(F.xxhash64("scope")), F.lit("-"), F.pmod(F.xxhash64("q"), F.col("parts")).cast("string"))
-            cases = cases.unionByName(where.join(F.broadcast(n.where(F.col("scope").isin(sorted(split)))), "scope").select(name.alias("shard"), "q", "a_cid"))
-            cases = checkpoint(cases)
-        # shards without dead classes have no such folder
-        cases.select("shard", F.col("q").alias("class")).write.partitionBy("shard").parquet(f"{self._gen(gen)}/dead")
+            parts = sizes.select("scope", F.ceil(F.col("n") / self.shard).cast("int").alias("parts")).where(F.col("scope").isin(sorted(split)))
+            dead = hot.select("class", "scope").join(lost.select(F.col("q").alias("class")), "class").join(parts, "scope")
+            dead.select("class", self._own(F.col("class"), F.col("parts")).alias("shard")).write.partitionBy("shard").parquet(f"{self.path}/dead/gen={gen}")
+            verdict = verdict.unionByName(lost)
+        # a class's copies are joined with its verdict, so that one with a third of all rows stays where it is
+        mine = queries.select("class", "cid", "copies").join(verdict.withColumnRenamed("q", "class"), "class", "left").select("class", "copies", F.coalesce("a_cid", "cid").alias("accepted_row_no"))
+        out = join_groups(rows.select("row_no", "class"), mine, ["class"], "copies")
+        out = checkpoint(out.where("accepted_row_no != row_no").select("accepted_row_no", "row_no").distinct())
         self._commit([*self.live, (gen, 0)])
         self._compact()
-        verdict = hits.unionByName(cases.select("q", "a_cid"))
-        mine = queries.select("class", "cid").join(verdict.withColumnRenamed("q", "class"), "class", "left").select("class", F.coalesce("a_cid", "cid").alias("accepted_row_no"))
-        counts = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
-        out = join_groups(rows.select("row_no", "class"), mine.join(counts, "class"), ["class"], "n")
-        return out.where("accepted_row_no != row_no").select("accepted_row_no", "row_no").distinct()
+        return out
 
     def _compact(self) -> None:
         """Merges ``compact`` generations of one level into one of the next, without their dead classes. Only stored
         sketches are read; the old generations stay in the folder until ``clean``."""
-        level = 0
-        while True:
-            old = [g for g, n in self.live if n == level]
-            if len(old) < self.compact:
-                if not any(n > level and n != HISTORY_LEVEL for _, n in self.live):
-                    return
-                level += 1
-                continue
-            shards = self._scopes(old).select("gen", "shard").distinct().repartition(F.col("gen"), F.col("shard"))
+        root = self.path
 
-            path = self.path
+        def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for g, s in zip(b.column("gen").to_pylist(), b.column("shard").to_pylist()):
+                    shard, live = open_shard(root, g, s)
+                    yield from shard.sketches(live).to_batches()
 
-            def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for b in batches:
-                    for g, s in zip(b.column("gen").to_pylist(), b.column("shard").to_pylist()):
-                        yield from open_shard(f"{path}/{g}", s).sketches(alive(f"{path}/{g}", s)).to_batches()
-
-            schema = "class binary, cid bigint, scope string, sig binary, bands binary, words binary, vector binary"
-            gen = self._new_gen()
-            self._write(checkpoint(shards.mapInArrow(opened, schema)), gen)
-            self._commit([*[x for x in self.live if x[0] not in old], (gen, level + 1)])
+        level = 0
+        while any(n >= level and n != HISTORY_LEVEL for _, n in self.live):
+            old = [g for g, n in self.live if n == level]
+            if len(old) >= self.compact:
+                gen, stored = self._new_gen(), self._stored(old)
+                if stored is not None:
+                    shards = stored.select("gen", "shard").repartition("gen", "shard")
+                    classes = checkpoint(shards.mapInArrow(opened, "class binary, cid bigint, scope string, sig binary, bands binary, words binary, vector binary"))
+                    self._write(classes, sizes_of(classes), gen, young=False)
+                self._commit([*[x for x in self.live if x[0] not in old], (gen, level + 1)])
+            level += 1
 
     def clean(self) -> None:
         """Deletes generations that the newest manifest does not name."""
         keep = {f"gen={g}" for g, _ in self.live}
-        for f in self.system.get_file_info(fs.FileSelector(self.root, allow_not_found=True)):
-            if f.base_name.startswith("gen=") and f.base_name not in keep:
-                self.system.delete_dir(f.path)
+        for part in ("shards", "dead"):
+            for f in self.system.get_file_info(fs.FileSelector(f"{self.root}/{part}", allow_not_found=True)):
+                if f.base_name.startswith("gen=") and f.base_name not in keep:
+                    self.system.delete_dir(f.path)
 
 
 def steps(incoming: DataFrame) -> list[tuple[int, int]]:
