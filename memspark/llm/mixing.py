@@ -63,7 +63,8 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     Whole documents are taken: the last one counts if at least half of it lies within the budget, so a source misses
     its budget by at most half a document. Documents with the same ``doc_id`` are ordered by size.
     """
-    placed = prefix_sum(sized(docs, vocabulary).withColumn("key", F.xxhash64("doc_id", F.lit(seed))), "source", ["key", "doc_id", "tokens"], "tokens")
+    # kept before the range sort, whose sampling would count the tokens once more
+    placed = prefix_sum(checkpoint(sized(docs, vocabulary)).withColumn("key", F.xxhash64("doc_id", F.lit(seed))), "source", ["key", "doc_id", "tokens"], "tokens")
     sizes = placed.groupBy("source").agg(F.sum("tokens").alias("size"))
     plan = checkpoint(budgets(targets, sizes, total_tokens))
     plan_small = F.broadcast(plan) if plan.count() <= TARGETS_BROADCAST else plan
