@@ -22,6 +22,11 @@ from memspark.session import checkpoint
 
 #: The lattice: joins are the bitwise or of these.
 NULL, BOOLEAN, NUMBER, STRING, ARRAY, OBJECT = 0, 1, 2, 4, 8, 16
+#: The JSON types among them; the rest says what numbers a column must hold.
+TYPES = 31
+#: A number with a fraction or exponent, an integer that a double cannot hold, one that a bigint cannot, one that no
+#: decimal can.
+FRACTION, BEYOND_DOUBLE, BEYOND_LONG, BEYOND_DECIMAL = 32, 64, 128, 256
 #: Share of records in both files, with values in both, in which a renamed field must carry the old value.
 RENAME_SHARE = 0.9
 
@@ -33,8 +38,11 @@ def kind_of(v: object) -> int:
         return NULL
     if isinstance(v, bool):
         return BOOLEAN
-    if isinstance(v, (int, float)):
-        return NUMBER
+    if isinstance(v, float):
+        return NUMBER | FRACTION
+    if isinstance(v, int):
+        size = abs(v)
+        return NUMBER | BEYOND_DOUBLE * (size > 2**53) | BEYOND_LONG * (size >= 2**63) | BEYOND_DECIMAL * (size >= 10**38)
     if isinstance(v, str):
         return STRING
     return ARRAY if isinstance(v, list) else OBJECT
@@ -118,7 +126,7 @@ def schema_changes(lines: DataFrame) -> DataFrame:
     seq = checkpoint(files.withColumn("seq", F.row_number().over(Window.partitionBy("store_name").orderBy("written_at", "file_no"))))
     files_seq = small(seq.select("store_name", "file_no", "seq"))
     fields = checkpoint(
-        leaves.groupBy("store_name", "file_no", "depth", "parent", "path").agg(F.bit_or("kind").alias("kind")).join(files_seq, ["store_name", "file_no"])
+        leaves.groupBy("store_name", "file_no", "depth", "parent", "path").agg(F.bit_or("kind").bitwiseAND(TYPES).alias("kind")).join(files_seq, ["store_name", "file_no"])
     )
     values = leaves.where(F.col("sig").isNotNull() & F.col("id").isNotNull()).groupBy("store_name", "file_no", "id", "path").agg(F.min("sig").alias("sig"))
     values = checkpoint(values.join(files_seq, ["store_name", "file_no"]))
@@ -180,14 +188,24 @@ def schema_changes(lines: DataFrame) -> DataFrame:
 
 
 #: Cast targets of lattice elements; a field that was ever an array is an array of text, an object stays JSON.
+def mixed(kind: int) -> bool:
+    """True for text and for fields of several types, which are text."""
+    return bool(kind & STRING) or (kind & TYPES).bit_count() > 1
+
+
 def column_type(kind: int) -> str:
+    """bigint for integers, decimal for longer ones, double where there are fractions; text where that would lose digits."""
     if kind & OBJECT:
         return "json"
     if kind & ARRAY:
         return "array<string>"
-    if kind & STRING or bin(kind).count("1") > 1:
+    if mixed(kind) or not kind:
         return "string"
-    return {BOOLEAN: "boolean", NUMBER: "double"}.get(kind, "string")
+    if kind & BOOLEAN:
+        return "boolean"
+    if kind & FRACTION:
+        return "string" if kind & BEYOND_DOUBLE else "double"
+    return "string" if kind & BEYOND_DECIMAL else "decimal(38,0)" if kind & BEYOND_LONG else "bigint"
 
 
 _LAST = re.compile(r"^(.*?)((?:\[\])?\.)([^.]*)$", re.S)
@@ -270,7 +288,7 @@ def settled_fields(record: str | None, names: dict[str, str], kinds: dict[str, i
             return v
         if kind & ARRAY:
             return [x if isinstance(x, dict) else text(x) for x in v] if isinstance(v, list) else [text(v)]
-        return text(v) if kind & STRING or bin(kind).count("1") > 1 else v
+        return text(v) if mixed(kind) else v
 
     try:
         o = json.loads(record or "", parse_int=_Number, parse_float=_Number, parse_constant=_Number)

@@ -49,6 +49,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def widen(df: DataFrame, key: str) -> DataFrame:
+    """``df`` (a scan) hashed by ``key`` over all cores if its files give fewer tasks than there are cores: for stages
+    whose work is many times that of moving their input. Large inputs have more splits than cores and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def local_session(cpus: int | None = None, app: str = "memspark") -> SparkSession:
     """A session for tests and the bench on one machine."""
     n = cpus or int(os.environ.get("BENCH_CPUS", "8"))

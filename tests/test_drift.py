@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
-from memspark.operators.drift import NUMBER, STRING, column_type, fields_of, schema_changes, settled_fields, unified_table
+from memspark.operators.drift import FRACTION, NUMBER, STRING, column_type, fields_of, kind_of, schema_changes, settled_fields, unified_table
 
 SCHEMA = "file_no bigint, store_name string, written_at timestamp, line_no int, record string, extra int"
 T0 = dt.datetime(2024, 1, 1)
@@ -62,10 +62,21 @@ def test_unified(spark):
 
 
 def test_lattice():
-    assert column_type(NUMBER) == "double" and column_type(NUMBER | STRING) == "string" and column_type(0) == "string"
+    assert column_type(NUMBER | FRACTION) == "double" and column_type(NUMBER | STRING) == "string" and column_type(0) == "string"
     assert {f[2] for f in fields_of({"a": [{"b": 1}, {"c": [2]}]})} == {"a", "a[].b", "a[].c"}
 
 
+def test_numbers_keep_their_digits(spark):
+    assert [column_type(kind_of(v)) for v in (1, 2**53 + 1, 2**63, -(10**37), 10**38, 0.5, 1e300)] == ["bigint", "bigint", "decimal(38,0)", "decimal(38,0)", "string", "double", "double"]
+    assert column_type(kind_of(2**53 + 1) | kind_of(0.5)) == "string"
+    files = {1: [{"id": "1", "big": 9007199254740993, "huge": 2**70, "f": 1, "m": 2**60, "b": True}], 2: [{"id": "2", "big": 1, "huge": 3, "f": 0.25, "m": 1.5, "b": False}]}
+    t = unified_table(lines(spark, files))
+    assert dict(t.dtypes)["big"] == "bigint" and dict(t.dtypes)["huge"] == "decimal(38,0)" and dict(t.dtypes)["f"] == "double"
+    assert {(r.id, r.big, int(r.huge), r.f, r.m, r.b) for r in t.collect()} == {("1", 9007199254740993, 2**70, 1.0, str(2**60), True), ("2", 1, 3, 0.25, "1.5", False)}
+    # whole and broken numbers are one JSON type: no change is reported
+    assert schema_changes(lines(spark, files)).count() == 0
+
+
 def test_empty(spark):
     assert schema_changes(spark.createDataFrame([], SCHEMA)).count() == 0
 
