@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspark.session import widen
+
 #: Characters of a chunk and of what it shares with the next; those of a section of a long text.
 CHUNK, CHUNK_OVERLAP = 768, 96
 SPREAD, SPREAD_OVERLAP = 200_000, 2_000
@@ -107,7 +109,7 @@ def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", voca
 
         return run
 
-    base = docs.select(F.col(key).cast("bigint").alias(key), text)
+    base = widen(docs.select(F.col(key).cast("bigint").alias(key), text), key)
     size = F.coalesce(F.length(text), F.lit(0))
     out = base.where(size <= spread).mapInArrow(encoded(key), f"{key} bigint, ids array<int>")
     # rows with the same key are told apart by their text; equal ones are encoded once

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from memspark.llm.encoding import VOCABULARY, token_counts
 from memspark.operators.ordered import prefix_sum
-from memspark.session import checkpoint
+from memspark.session import checkpoint, widen
 
 #: Rows of the target table up to which it is broadcast.
 TARGETS_BROADCAST = 10_000
@@ -36,7 +36,7 @@ def sized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), counts], names=["doc_id", "source", "tokens"])
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source_key(F.col("source")).alias("source"), "text").where(F.col("source").isNotNull())
-    return base.mapInArrow(run, "doc_id bigint, source string, tokens bigint")
+    return widen(base, "doc_id").mapInArrow(run, "doc_id bigint, source string, tokens bigint")
 
 
 def budgets(targets: DataFrame, sizes: DataFrame, total_tokens: int | None = None) -> DataFrame:

@@ -1,10 +1,9 @@
 """Problem 7: personal information in free text, by a character BiLSTM-CRF, replaced by typed placeholders.
 
 Texts become overlapping windows that are tagged in batches of like length. Of each window only the part away from
-its edges counts, and a span that two windows see in part is put together again over the whole text. An exact check
-follows: a tagged span is widened to the words it cuts, and to the item it lies in where that has a known form (a whole
-address or number). The check takes no letters or digits from a tagged span, and drops only what cannot be of its kind:
-an e-mail without an at, a phone of under 5 digits, a number without digits or in encoded data, an address in ``key=value``. Weights come with the package; ``pii_train`` makes them.
+its edges counts, and a span that two windows see in part is put together again over the whole text. The tags give the
+spans; a check only widens one to the words it cuts. It takes no letters or digits from a tagged span, and drops only what
+cannot be of its kind: an e-mail without an at, a phone of under 5 digits, a number without digits or in encoded data, an address in ``key=value``. Weights come with the package; ``pii_train`` makes them.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from pyspark.sql import DataFrame
 
 from memspark.llm.metatext import text_fields
 from memspark.llm.tagger import KINDS, PAD, decode, encode
+from memspark.session import widen
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 WINDOW, MARGIN, CELLS = 240, 40, 512
@@ -78,20 +78,6 @@ def spans(tags: np.ndarray) -> list[tuple[int, int, str]]:
 
 # -- the exact check ---------------------------------------------------------------------------------------------------
 _L = r"[^\W\d_]"
-_NAME_WORD = rf"{_L}{{2,}}(?:['’-]{_L}+)*"
-_ITEMS = {
-    "email": re.compile(r"[A-Za-z0-9](?:[\w.%+-]*[A-Za-z0-9])?(?: ?@ ?| ?[\[({]at[\])}] ?| (?:AT|at) )[A-Za-z0-9-]+(?:(?:\.| dot )[A-Za-z0-9-]+)+", re.A),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}|\(\d{2,5}\)|\d)[\d ()./-]{5,20}\d(?!\w)"),
-    "id_number": re.compile(r"(?<![\w-])(?:\d{3}[- ]\d{2}[- ]\d{4}|\d{2} ?\d{3} ?\d{3} ?\d{3}|[A-Z]{2}-\d{6}-\d|[A-Z]{2} ?(?:\d{2} ?){3}[A-D]|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{9,12})(?![\w-])"),
-    "address": re.compile(
-        rf"(?<!\w)(?:\d{{1,5}}[A-Za-z]?,? (?:avenue|rue|boulevard|place|chemin|allée)(?: (?:de la|de|du|des))? {_NAME_WORD}"
-        rf"|\d{{1,5}}[A-Za-z]? (?:(?:North|South|East|West|N\.|S\.|E\.|W\.) )?{_NAME_WORD} (?:St\.|Rd\.|Ave\b|Blvd\b|{_L}{{3,}})"
-        rf"|(?:Calle|Avenida|Plaza|Via|Rue|Avenue) (?:de (?:la )?)?{_NAME_WORD},? \d{{1,5}}[A-Za-z]?"
-        rf"|{_L}+(?:straße|strasse|str\.|weg|gasse|platz|allee|-Allee) \d{{1,5}}[A-Za-z]?)(?!\w)",
-        re.I,
-    ),
-}
-_REACH = {"email": 40, "phone": 14, "id_number": 8, "address": 24}
 #: Scripts written without spaces: a letter next to a tagged one need not be of the same word.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Words no name ends with: what follows is part of it.
@@ -127,35 +113,14 @@ def _one_word(x: str, y: str) -> bool:
     return x.isalnum() and y.isalnum() and not _UNSPACED.match(x) and not _UNSPACED.match(y)
 
 
-def _item(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """The item of a known form that shares most characters with [a, b), else None."""
-    best, score = None, 0
-    lo, hi = max(0, a - _REACH[kind]), min(len(text), b + _REACH[kind])
-    for start in range(lo, min(b, hi)):
-        if start and text[start].isalnum() and text[start - 1].isalnum():
-            continue  # no item begins inside a word
-        m = _ITEMS[kind].match(text, start)
-        if m:
-            shared = min(m.end(), b) - max(m.start(), a)
-            # of items that share as much, the one that adds least
-            if shared > 0 and (shared, -(m.end() - m.start())) > (score, -(best[1] - best[0]) if best else 0):
-                best, score = (m.start(), m.end()), shared
-    return best if best and 2 * score >= min(b - a, best[1] - best[0]) else None
-
-
 def settle_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
-    """[a, b) widened to whole words and to the item it lies in; None if it cannot be of ``kind``.
-
-    White space and punctuation at its ends, outside the item, are left out.
-    """
+    """[a, b) widened to whole words; None if it cannot be of ``kind``. White space and punctuation at its ends are left
+    out, but for the plus or bracket that a number begins with."""
     if not any(c.isalnum() for c in text[a:b]):
         return None
-    item = _item(text, a, b, kind) if kind in _ITEMS else None
-    if item:
-        a, b = min(a, item[0]), max(b, item[1])
-    while not text[a].isalnum() and not (item and a >= item[0]) and (item or text[a] not in "+("):
+    while not text[a].isalnum() and text[a] not in "+(":
         a += 1
-    while not text[b - 1].isalnum() and not (item and b <= item[1]):
+    while not text[b - 1].isalnum() and not (text[b - 1] == "." and _abbreviated(text[a:b], kind)):
         b -= 1
     while True:
         while a and _one_word(text[a - 1], text[a]):
@@ -167,10 +132,16 @@ def settle_span(text: str, a: int, b: int, kind: str) -> tuple[int, int] | None:
         if not rest and kind == "name" and text[a:b].split()[-1].lower() in _PARTICLES:
             rest = _NEXT_WORD.match(text, b)
         if not rest or _UNSPACED.match(text[b + 1]):
-            return (a, b) if item or _possible(text, a, b, kind) else None
+            return (a, b) if _possible(text, a, b, kind) else None
         b += 2
 
 
+def _abbreviated(item: str, kind: str) -> bool:
+    """True if the stop at the end of a tagged span belongs to it: after a short word of an address or an initial."""
+    last = item.split()[-1]
+    return kind == "address" and len(last) == 3 and last[:-1].isalpha() or kind == "name" and len(last) == 2
+
+
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
     """[a, b) without what is no letter or digit at its ends; None if nothing is left."""
     at = [i for i in range(a, b) if text[i].isalnum()]
@@ -222,7 +193,7 @@ def personal_items(memories: DataFrame, weights_path: str = WEIGHTS) -> DataFram
                 types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in ITEMS.split(", ")])
 
-    return text_fields(memories).mapInArrow(run, ITEMS)
+    return widen(text_fields(memories), "row_no").mapInArrow(run, ITEMS)
 
 
 def redacted(memories: DataFrame, weights_path: str = WEIGHTS) -> DataFrame:
@@ -235,4 +206,4 @@ def redacted(memories: DataFrame, weights_path: str = WEIGHTS) -> DataFrame:
             found = find(texts, w)
             yield pa.RecordBatch.from_arrays([b.column("row_no"), b.column("field_name"), pa.array([redact(t, f) for t, f in zip(texts, found)], pa.string()), pa.array([len(f) for f in found], pa.int32())], names=["row_no", "field_name", "content", "items"])
 
-    return text_fields(memories).mapInArrow(run, "row_no bigint, field_name string, content string, items int")
+    return widen(text_fields(memories), "row_no").mapInArrow(run, "row_no bigint, field_name string, content string, items int")

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspark.llm.trees import BoostedTrees
-from memspark.session import checkpoint
+from memspark.session import checkpoint, widen
 
 #: Labelled documents the fit uses at most, those of least hash; all of them up to this bound.
 LABEL_BOUND = 6_000
@@ -113,7 +113,7 @@ def document_features(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(s, pa.string()), pa.array(n, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "source", "sentences", "x"])
 
     base = docs.where(english(F.col("lang")) & F.col("text").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", "text")
-    return base.mapInArrow(run, "doc_id bigint, source string, sentences int, x array<double>")
+    return widen(base, "doc_id").mapInArrow(run, "doc_id bigint, source string, sentences int, x array<double>")
 
 
 def cut_points(pred: np.ndarray, level: np.ndarray) -> np.ndarray:

@@ -12,9 +12,11 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 TAGS = 1 + 2 * len(KINDS)
 #: Character codes: printable ASCII, then classes of all other characters.
 _ASCII = 95
-PAD, NEWLINE, SPACE, CJK, LETTER, UPPER, DIGIT, PUNCT, OTHER = range(_ASCII, _ASCII + 9)
-CODES = _ASCII + 9
-EMBED, HIDDEN = 24, 32
+PAD, NEWLINE, SPACE, CJK, LETTER, UPPER, DIGIT, PUNCT, OTHER, SURNAME = range(_ASCII, _ASCII + 10)
+CODES = _ASCII + 10
+EMBED, HIDDEN = 24, 40
+#: The most frequent Chinese family names, which have a code of their own.
+FAMILY_NAMES = frozenset("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗郑梁谢宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范石廖贾夏韦付方邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严武戴莫孔向汤")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -31,7 +33,7 @@ def code(c: str) -> int:
     if 32 <= ord(base) < 127:
         return ord(base) - 32
     if c.isalpha():
-        return CJK if 0x2E80 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 else UPPER if c.isupper() else LETTER
+        return SURNAME if c in FAMILY_NAMES else CJK if 0x2E80 <= o < 0xA000 or 0xAC00 <= o < 0xD7B0 else UPPER if c.isupper() else LETTER
     return DIGIT if c.isnumeric() else PUNCT if unicodedata.category(c)[0] == "P" else OTHER
 
 
@@ -193,13 +195,13 @@ def loss_and_gradients(w: dict, codes: np.ndarray, tags: np.ndarray, mask: np.nd
     return float(z.sum() - score) / b, g
 
 
-def train(w: dict, batches, rate: float = 6e-3, total: int = 1000, report=None) -> dict:
-    """Adam with gradient clipping and a linear decay of the rate; ``batches`` gives (codes, tags, mask)."""
+def train(w: dict, steps: int, gradients, rate: float = 6e-3, report=None) -> dict:
+    """Adam with gradient clipping and a linear decay of the rate; ``gradients`` gives loss and gradients at weights."""
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
-    for step, batch in enumerate(batches, 1):
-        loss, g = loss_and_gradients(w, *batch)
+    for step in range(1, steps + 1):
+        loss, g = gradients(w)
         norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-        lr = rate * max(0.03, 1 - step / total)
+        lr = rate * max(0.03, 1 - step / steps)
         for k in w:
             x = (g[k] * min(1.0, 5.0 / (norm + 1e-9))).astype(np.float32)
             m[k] = 0.9 * m[k] + 0.1 * x
