@@ -39,9 +39,11 @@ def similar_pairs(mem: DataFrame, least: float = CLUSTER) -> DataFrame:
     spread = spread.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("rep")
-        dim = f.vector.map(len).max()
-        f = f[f.vector.map(len) == dim]
+        # vectors of different length resemble each other in nothing
+        parts = [compare_equal(g.sort_values("rep")) for _, g in f.groupby(f.vector.map(len))]
+        return pd.concat(parts) if parts else pd.DataFrame({"a": [], "b": [], "score": []})
+
+    def compare_equal(f: pd.DataFrame) -> pd.DataFrame:
         m = np.array(f.vector.tolist(), np.float64)
         m /= np.linalg.norm(m, axis=1)[:, None]
         score = np.round(1 / (2 - m @ m.T), 9)
@@ -55,25 +57,24 @@ def similar_pairs(mem: DataFrame, least: float = CLUSTER) -> DataFrame:
     return copies.unionByName(found)
 
 
-def clusters(mem: DataFrame, pairs: DataFrame, rounds: int = 100) -> DataFrame:
+def clusters(mem: DataFrame, pairs: DataFrame) -> DataFrame:
     """(row_no, seed): greedy clusters in order of row_no. A row is a seed if no earlier seed resembles it; others go
     to the smallest seed that resembles them. Rows that resemble none are left out.
 
-    Rounds follow chains of rows that wait for each other; each is a few joins.
+    Rounds follow chains of rows that wait for each other; each is a few joins and decides the smallest row left, so they
+    end with none waiting.
     """
     edge = checkpoint(pairs.select("a", "b").distinct())
     waiting = edge
     seeds = checkpoint(edge.select(F.col("a").alias("row_no")).distinct().join(edge.select(F.col("b").alias("row_no")), "row_no", "left_anti"))
     new = seeds
-    for _ in range(rounds):
+    while not waiting.isEmpty():
         taken = waiting.join(new.select(F.col("row_no").alias("a")), "a", "left_semi").select("b").distinct()
         rest = waiting.join(taken, "b", "left_anti")
         left = checkpoint(rest.join(taken.select(F.col("b").alias("a")), "a", "left_anti"))
         new = checkpoint(rest.select(F.col("b").alias("row_no")).distinct().join(left.select(F.col("b").alias("row_no")), "row_no", "left_anti"))
         seeds = seeds.unionByName(new)
         waiting = left
-        if waiting.isEmpty():
-            break
     member = edge.join(seeds.select(F.col("row_no").alias("a")), "a").join(seeds.select(F.col("row_no").alias("b")), "b", "left_anti").groupBy(F.col("b").alias("row_no")).agg(F.min("a").alias("seed"))
     return member.unionByName(member.select(F.col("seed").alias("row_no"), "seed").distinct())
 

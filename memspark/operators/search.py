@@ -17,8 +17,12 @@ from pyspark.sql import functions as F
 
 from memspark.functions import score as S
 from memspark.functions.norm import words
+from memspark.operators.skew import small
+from memspark.session import checkpoint
 
 QUERY_BLOCK, ROW_BLOCK = 2048, 2048
+#: Cells of a table of queries by words that one task holds: 64 MB.
+CELLS = 8_000_000
 #: Digits to which scores are compared; equal scores go by id.
 DIGITS = 9
 K1, B = 1.2, 0.75
@@ -88,85 +92,108 @@ def _top(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def vector_hits(corpus: DataFrame, queries: DataFrame, k: int, columns: dict[str, str] | None = None, query_vector: str = "vector") -> DataFrame:
+def vector_hits(corpus: DataFrame, queries: DataFrame, k: int, columns: dict[str, str] | None = None, query_vector: str = "vector", within: str | None = None) -> DataFrame:
     """query_no, channel, row_no, raw (cosine), score 1 / (1 + (1 - cosine)), rank of the k nearest per channel.
 
     ``columns`` maps channels to vector columns; all are searched in one scan. Missing, all-zero, not finite vectors
-    and such of another length than the query's hit nothing. ``queries`` have query_no and a vector.
+    and such of another length than the query's hit nothing. ``queries`` have query_no and a vector. With ``within``, a
+    text column of both, a query hits only rows that have its value.
     """
     columns = columns or {"vector": "vector"}
     out = None
-    for rows in blocks(queries.select("query_no", F.col(query_vector).alias("_v")).where("_v is not null and size(_v) > 0"), "query_no"):
-        dim = max(len(r["_v"]) for r in rows)
-        unit, ok = _unit(pa.array([r["_v"] for r in rows], pa.list_(pa.float32())), dim)
-        numbers = [r["query_no"] for r, o in zip(rows, ok) if o]
-
-        def run(batches: Iterator[pa.RecordBatch], unit=unit, numbers=numbers, dim=dim) -> Iterator[pa.RecordBatch]:
-            best = {c: _Best(len(numbers), k) for c in columns}
+    kept = F.lit("").alias("_s") if within is None else F.col(within).alias("_s")
+    for rows in blocks(queries.select("query_no", F.col(query_vector).alias("_v"), kept).where("_v is not null and size(_v) > 0"), "query_no"):
+        # queries of each length of vector: their unit vectors and numbers
+        asked = {}
+        for dim in sorted({len(r["_v"]) for r in rows}):
+            same = [r for r in rows if len(r["_v"]) == dim]
+            unit, ok = _unit(pa.array([r["_v"] for r in same], pa.list_(pa.float32())), dim)
+            if ok.any():
+                asked[dim] = unit, [r["query_no"] for r, o in zip(same, ok) if o], [r["_s"] for r, o in zip(same, ok) if o]
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            best = {(c, dim): _Best(len(numbers), k) for c in columns for dim, (_, numbers, _) in asked.items()}
             for b in batches:
                 ids = b.column("row_no").to_numpy(zero_copy_only=False)
                 for c, name in columns.items():
                     for lo in range(0, b.num_rows, ROW_BLOCK):
-                        m, fine = _unit(b.column(name).slice(lo, ROW_BLOCK), dim)
-                        if len(m) and numbers:
-                            best[c].add(ids[lo : lo + ROW_BLOCK][fine], unit @ m.T)
-            for c in columns:
-                yield best[c].rows(numbers, c)
-
-        part = corpus.select("row_no", *columns.values()).mapInArrow(run, HITS)
+                        for dim, (unit, _, own) in asked.items():
+                            m, fine = _unit(b.column(name).slice(lo, ROW_BLOCK), dim)
+                            if not len(m):
+                                continue
+                            scores = unit @ m.T
+                            if within is not None:
+                                known = pa.array(sorted({x for x in own if x is not None}), pa.string())
+                                mine = pc.fill_null(pc.index_in(pa.array(own, pa.string()), value_set=known), -1).to_numpy(zero_copy_only=False)
+                                theirs = pc.fill_null(pc.index_in(b.column("_s").slice(lo, ROW_BLOCK), value_set=known), -2).to_numpy(zero_copy_only=False)[fine]
+                                scores = np.where(mine[:, None] == theirs[None, :], scores, -np.inf)
+                            best[c, dim].add(ids[lo : lo + ROW_BLOCK][fine], scores)
+            for (c, dim), found in best.items():
+                yield found.rows(asked[dim][1], c)
+
+        part = corpus.select("row_no", *columns.values(), *([] if within is None else [F.col(within).alias("_s")])).mapInArrow(run, HITS)
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = corpus.sparkSession.createDataFrame([], HITS)
     return _top(out, k).withColumn("score", S.similarity(F.col("raw")))
 
 
+def _term_blocks(rows: list) -> Iterator[list]:
+    """Parts of a block of queries whose table of queries by words has at most ``CELLS`` cells (or one query)."""
+    part, seen = [], set()
+    for r in rows:
+        new = seen.union(r["_w"])
+        if part and (len(part) + 1) * len(new) > CELLS:
+            yield part
+            part, new = [], set(r["_w"])
+        part.append(r)
+        seen = new
+    if part:
+        yield part
+
+
 def bm25_hits(corpus: DataFrame, queries: DataFrame, k: int, text: str = "text") -> DataFrame:
     """query_no, channel, row_no, raw, score, rank of the k best by BM25 over distinct query words.
 
-    Statistics cover the whole corpus; only those of the query block's words are gathered. A row without a word of
-    the query is no hit; null and empty texts have length 0.
+    The corpus is tokenised once. Statistics cover all of it; of the document frequencies only those of a block's words
+    are gathered. A row without a word of the query is no hit; null and empty texts have length 0.
     """
-    docs = corpus.select("row_no", words(F.col(text)).alias("_w"))
+    docs = checkpoint(corpus.select("row_no", words(F.col(text)).alias("_w")))
     n, avg = docs.agg(F.count(F.lit(1)), F.avg(F.size("_w"))).first()
+    asked = queries.select("query_no", F.array_distinct(words(F.col("text"))).alias("_w")).where(F.size("_w") > 0)
+    vocabulary = small(asked.select(F.explode("_w").alias("w")).distinct())
+    frequency = checkpoint(docs.select(F.explode(F.array_distinct("_w")).alias("w")).join(vocabulary, "w", "left_semi").groupBy("w").agg(F.count(F.lit(1)).alias("df")))
     out = None
-    for rows in blocks(queries.select("query_no", F.array_distinct(words(F.col("text"))).alias("_w")).where(F.size("_w") > 0), "query_no"):
-        vocabulary = {w: i for i, w in enumerate(sorted({w for r in rows for w in r["_w"]}))}
-        numbers = [r["query_no"] for r in rows]
-
-        def frequencies(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary) -> Iterator[pa.RecordBatch]:
-            df = np.zeros(len(vocabulary), np.int64)
-            for b in batches:
-                for ws in b.column("_w").to_pylist():
-                    for w in set(ws):
-                        if (i := vocabulary.get(w)) is not None:
-                            df[i] += 1
-            at = np.nonzero(df)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(df[at])], names=["term", "df"])
-
-        df = np.zeros(len(vocabulary))
-        for r in docs.select("_w").mapInArrow(frequencies, "term int, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect():
-            df[r["term"]] = r["df"]
+    for rows in (part for block in blocks(asked, "query_no") for part in _term_blocks(block)):
+        terms = sorted({w for r in rows for w in r["_w"]})
+        at = {w: i for i, w in enumerate(terms)}
+        df = np.zeros(len(terms))
+        wanted = corpus.sparkSession.createDataFrame([(w,) for w in terms], "w string")
+        for r in frequency.join(F.broadcast(wanted), "w").collect():
+            df[at[r["w"]]] = r["df"]
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        has = np.zeros((len(rows), len(vocabulary)), np.float64)
-        for i, r in enumerate(rows):
-            has[i, [vocabulary[w] for w in r["_w"]]] = 1
-        has *= idf
-
-        def run(batches: Iterator[pa.RecordBatch], vocabulary=vocabulary, numbers=numbers, has=has, avg=avg) -> Iterator[pa.RecordBatch]:
-            best = _Best(len(numbers), k)
+        numbers = [r["query_no"] for r in rows]
+        # what a task needs is as large as the queries; the table of queries by words is made there
+        q_at = np.repeat(np.arange(len(rows)), [len(r["_w"]) for r in rows])
+        t_at = np.array([at[w] for r in rows for w in r["_w"]])
+
+        def run(batches: Iterator[pa.RecordBatch], terms=terms, numbers=numbers, idf=idf, q_at=q_at, t_at=t_at, avg=avg) -> Iterator[pa.RecordBatch]:
+            best, known = _Best(len(numbers), k), pa.array(terms, pa.string())
+            has = np.zeros((len(numbers), len(terms)))
+            has[q_at, t_at] = idf[t_at]
+            step = max(1, min(ROW_BLOCK // 4, CELLS // len(terms)))
             for b in batches:
                 ids = b.column("row_no").to_numpy(zero_copy_only=False)
-                for lo in range(0, b.num_rows, ROW_BLOCK // 4):
-                    part = b.column("_w").slice(lo, ROW_BLOCK // 4).to_pylist()
-                    tf = np.zeros((len(part), len(vocabulary)))
-                    for i, ws in enumerate(part):
-                        for w in ws:
-                            if (j := vocabulary.get(w)) is not None:
-                                tf[i, j] += 1
-                    length = np.array([len(ws) for ws in part])[:, None]
+                for lo in range(0, b.num_rows, step):
+                    part = b.column("_w").slice(lo, step)
+                    length = pc.list_value_length(part).to_numpy(zero_copy_only=False)[:, None]
+                    term = pc.index_in(part.flatten(), value_set=known)
+                    hit = pc.is_valid(term).to_numpy(zero_copy_only=False)
+                    row, term = pc.list_parent_indices(part).to_numpy(zero_copy_only=False)[hit], term.drop_null().to_numpy(zero_copy_only=False)
+                    used, term = np.unique(term, return_inverse=True)
+                    tf = np.bincount(row * len(used) + term, minlength=len(part) * len(used)).reshape(len(part), len(used)).astype(float) if len(used) else np.zeros((len(part), 0))
                     weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(avg or 0, 1e-12)))
-                    used = tf.any(axis=0)
-                    scores = has[:, used] @ weight[:, used].T
+                    scores = has[:, used] @ weight.T
                     best.add(ids[lo : lo + len(part)], np.where(scores > 0, scores, -np.inf))
             yield best.rows(numbers, "bm25")
 

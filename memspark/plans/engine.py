@@ -20,6 +20,7 @@ from memspark.metadata import store_rows, with_smart_meta
 from memspark.operators import store as O
 from memspark.operators.consolidate import consolidation
 from memspark.plans.recall import RecallConfig, bm25_only, hybrid, vector_only
+from memspark.session import checkpoint
 
 SCHEMA = "row_no bigint, id string, text string, vector array<float>, vector_l0 array<float>, vector_l1 array<float>, vector_l2 array<float>, category string, scope string, importance double, timestamp_ms bigint, metadata string, ingested_at timestamp"
 KEEP_VERSIONS = 2
@@ -119,17 +120,78 @@ class MemoryEngine:
         self.patch_metadata(ids, state="archived", memory_layer="archive")
 
     def import_rows(self, rows: DataFrame) -> int:
-        """Adds rows with their own ids and times; those with an id that is there, or hardly any text, are skipped."""
-        new = O.importable(self.table(), rows)
+        """Adds rows with their own ids and times, numbered after those that are there; missing vectors are embedded.
+        Rows with an id that is there, or hardly any text, are skipped."""
+        from memspark.functions.embed import embed_column
+
+        old = self.table()
+        last = old.agg(F.max("row_no")).first()[0] or 0
+        new = O.importable(old, rows)
+        given = F.col("vector") if "vector" in new.columns else F.lit(None).cast("array<float>")
+        new = new.withColumn("vector", F.coalesce(given, embed_column(F.coalesce("text", F.lit("")), self.embedder)))
+        # kept before the numbers are used, as a later run of the same plan could give others
+        new = checkpoint(new.withColumn("row_no", F.lit(last) + 1 + F.monotonically_increasing_id()))
         n = new.count()
         if n:
-            self._replace(self.table().unionByName(new, allowMissingColumns=True))
+            self._replace(old.unionByName(new, allowMissingColumns=True))
         return n
 
     def export(self, path: str, scopes: list[str] | None = None) -> None:
         """All rows of the scopes as JSON lines, without vectors."""
         scoped(self.table(), scopes).drop("vector", "vector_l0", "vector_l1", "vector_l2").write.mode("overwrite").json(path)
 
+    def ingest(self, rows: DataFrame | list[dict], now_ms: int, strategy: str = "ask") -> DataFrame:
+        """Takes rows (text, and where given scope, category, importance, vector) through the whole pipeline and writes
+        one new version: noise, duplicates and conflicts are left out (a conflict supersedes with that strategy), what is
+        stored gets its metadata and links, linked rows get the link back, superseded rows their end. Gives row_no,
+        action, conflict_row and link_rows of each row, in the order given."""
+        from memspark.functions.embed import embed_column
+        from memspark.plans.ingest import ingest_plan, understood
+
+        if isinstance(rows, list):
+            keys = ["text", "scope", "category", "importance", "vector"]
+            rows = self.spark.createDataFrame([tuple(r.get(k) for k in keys) for r in rows], "text string, scope string, category string, importance double, vector array<float>")
+        old = self.table()
+        last = old.agg(F.max("row_no")).first()[0] or 0
+        vector = F.coalesce("vector", embed_column(F.coalesce("text", F.lit("")), self.embedder))
+        # numbers are kept before they are used
+        batch = checkpoint(rows.withColumn("row_no", F.lit(last) + 1 + F.monotonically_increasing_id()).withColumn("vector", vector))
+        plan = checkpoint(ingest_plan(with_smart_meta(store_rows(old)), batch, now_ms, strategy))
+        ids = old.select("row_no", F.col("id").alias("_id"))
+        goes = plan.where("action in ('created', 'superseded')")
+        links = goes.select("row_no", F.explode("link_rows").alias("there")).join(ids.withColumnRenamed("row_no", "there"), "there")
+        new = O.with_ids(batch.join(goes, "row_no").join(links.groupBy("row_no").agg(F.collect_list(F.struct(F.lit("related_to").alias("type"), F.col("_id").alias("targetId"))).alias("_links")), "row_no", "left").drop("link_rows"))
+        new = new.join(ids.toDF("conflict_row", "_old"), "conflict_row", "left").join(understood(batch, now_ms).select("row_no", "memory_category", "fact_key", "l0", "l1", "l2"), "row_no")
+        meta = F.struct(F.lit("manual").alias("source"), F.lit("confirmed").alias("state"), F.lit(now_ms).alias("valid_from"), F.col("l0").alias("l0_abstract"), F.col("l1").alias("l1_overview"), F.col("l2").alias("l2_content"), "memory_category", "fact_key", F.col("_old").alias("supersedes"), F.col("_links").alias("relations"))
+        stored = new.select("row_no", "id", F.coalesce("text", F.lit("")).alias("text"), "vector", F.col("vector").alias("vector_l0"), embed_column(F.col("l1"), self.embedder).alias("vector_l1"), F.col("vector").alias("vector_l2"), F.coalesce("category", F.lit("other")).alias("category"), scope_key(F.col("scope")).alias("scope"), F.coalesce("importance", F.lit(0.7)).alias("importance"), F.lit(now_ms).cast("bigint").alias("timestamp_ms"), F.to_json(meta).alias("metadata"), F.timestamp_millis(F.lit(now_ms)).alias("ingested_at"))
+        back = links.join(new.select("row_no", F.col("id").alias("_from")), "row_no").groupBy(F.col("_id").alias("id")).agg(F.collect_list(F.struct(F.lit("related_to").alias("type"), F.col("_from").alias("targetId"))).alias("_back"))
+        ended = new.where("action = 'superseded'").groupBy(F.col("_old").alias("id")).agg(F.max("id").alias("_by"))
+        had = F.coalesce(F.from_json(F.from_json("metadata", "map<string,string>")["relations"], "array<struct<type:string,targetId:string>>"), F.array().cast("array<struct<type:string,targetId:string>>"))
+        patch = old.select("id", had.alias("_had")).dropDuplicates(["id"]).join(back, "id", "left").join(ended, "id", "left").where("_back is not null or _by is not null")
+        both = F.when(F.col("_back").isNotNull(), F.map_from_arrays(F.array(F.lit("relations")), F.array(F.to_json(F.concat("_had", "_back")))))
+        closed = F.when(F.col("_by").isNotNull(), F.map_from_arrays(F.array(F.lit("invalidated_at"), F.lit("superseded_by")), F.array(F.lit(str(now_ms)), F.concat(F.lit('"'), F.col("_by"), F.lit('"')))))
+        none = F.create_map().cast("map<string,string>")
+        patch = checkpoint(patch.select("id", F.map_concat(F.coalesce(both, none), F.coalesce(closed, none)).alias("patch")))
+        if not goes.isEmpty():
+            self._replace(O.patch_metadata(old, patch).unionByName(stored))
+        return plan.orderBy("row_no")
+
+    def retrieve(self, queries: list[str], now_ms: int, scopes: list[str] | None = None, limit: int = 5, topic: str | None = None, reranker=None) -> DataFrame:
+        """Ranked rows of each query by the way that fits it: tags by words alone, short lookups with more weight on
+        words, a time in the query after the ranking. With ``reranker`` twice the rows are blended anew before the cut."""
+        from memspark.operators.rerank import rerank
+        from memspark.plans.dispatch import retrieve
+        from memspark.plans.recall import top
+
+        vectors = self.embedder(queries)
+        asked = self.spark.createDataFrame([(i, q, [float(x) for x in v]) for i, (q, v) in enumerate(zip(queries, vectors))], "query_no bigint, text string, vector array<float>")
+        mem = with_smart_meta(scoped(store_rows(self.table()), scopes))
+        out = retrieve(mem, asked, RecallConfig(now_ms, limit=limit if reranker is None else 2 * limit), topic=topic)
+        if reranker is not None:
+            pool = out.drop("place", "vector").withColumn("score", F.col("decayed")).join(asked.select("query_no", F.col("text").alias("query"), F.col("vector").alias("query_vector")), "query_no").join(mem.select("row_no", "vector"), "row_no")
+            out = top(checkpoint(rerank(pool, reranker)), limit, "reranked").drop("score", "query", "query_vector", "vector")
+        return out.join(mem.select("row_no", "id", "scope"), "row_no").orderBy("query_no", "place")
+
     # -- reading ---------------------------------------------------------------------------------------------------
     def recall(self, queries: list[str] | DataFrame, now_ms: int, scopes: list[str] | None = None, mode: str = "hybrid", limit: int = 10, prefilter: bool = False) -> DataFrame:
         """Ranked rows of each query. Time expressions in a query restrict its rows, after the ranking as a rule,

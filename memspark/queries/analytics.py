@@ -261,9 +261,9 @@ def m21(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle(spark, d).select("row_no", c("tier").alias("from_tier"), S.tier_after(c("tier"), c("access_count"), c("composite"), c("importance"), c("age")).alias("to_tier")).where("from_tier != to_tier")
 
 
-@query("t10_stale", f"{LIFE} select row_no, round(raw, 6) as raw from l3 where raw < 0.3 order by raw, row_no limit 50")
+@query("t10_stale", f"{LIFE} select row_no, round(raw, 6) as raw from l3 where raw < 0.3")
 def t10(spark: SparkSession, d: str) -> DataFrame:
-    return lifecycle(spark, d).where("raw < 0.3").orderBy("raw", "row_no").limit(50).select("row_no", F.round("raw", 6).alias("raw"))
+    return lifecycle(spark, d).where("raw < 0.3").select("row_no", F.round("raw", 6).alias("raw"))
 
 
 @query("m22_homeostasis", f"""{MEM}, n as (select count(*) filter (where tier = 'core') as core from mem)

@@ -170,12 +170,6 @@ def j18(spark: SparkSession, d: str) -> DataFrame:
     return smart(spark, d).where("source = 'session-summary'").groupBy("scope").agg(F.max_by("row_no", F.struct("timestamp_ms", "row_no")).alias("row_no"))
 
 
-@query("plan_p07_ingest_new", f"with {IDS}, f as (select new_id, min(row_no) as row_no from u where not {X.NOISE_SQL.format(c='text')} group by 1) select f.row_no, {SC} as scope, category from f join incoming_memories i on i.row_no = f.row_no where new_id not in (select id from memories where id is not null)")
-def p07(spark: SparkSession, d: str) -> DataFrame:
-    batch = O.with_ids(incoming(spark, d)).where(~X.is_noise(F.col("text")))
-    return O.new_rows(read_table(spark, d, "memories"), batch, "row_no").select("row_no", scope_key(F.col("scope")).alias("scope"), "category")
-
-
 @query("plan_p17_supersede", f"""{MEM}, v as (select row_no, scope, fact_key, valid_from, lead(valid_from) over (partition by scope, fact_key order by valid_from, row_no) as closed_at from mem where fact_key is not null) select row_no, closed_at from v where closed_at is not null""")
 def p17(spark: SparkSession, d: str) -> DataFrame:
     m = smart(spark, d).where("fact_key is not null").select("row_no", "scope", "fact_key", "valid_from")
@@ -238,9 +232,10 @@ def x22(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "documents").where("text is not null").groupBy("source").agg(F.sum(X.token_estimate(F.col("text"))).cast("bigint").alias("tokens"))
 
 
-@query("x14_tokens", r"select row_no, len(regexp_extract_all(lower(text), '\p{Han}|[\p{L}\p{N}]')) as n from incoming_memories where text is not null")
+@query("x14_tokens", r"select row_no, len(regexp_extract_all(regexp_replace(lower(text), '(\p{Han})', ' \1 ', 'g'), '[\p{L}\p{N}]+')) as n from incoming_memories where text is not null")
 def x14(spark: SparkSession, d: str) -> DataFrame:
-    return incoming(spark, d).where("text is not null").select("row_no", F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{IsHan}|[\p{L}\p{N}])"), 1)).cast("bigint").alias("n"))
+    apart = F.regexp_replace(F.lower("text"), r"(\p{IsHan})", " $1 ")
+    return incoming(spark, d).where("text is not null").select("row_no", F.size(F.regexp_extract_all(apart, F.lit(r"([\p{L}\p{N}]+)"), 1)).cast("bigint").alias("n"))
 
 
 @query("u04_term_overlap", r"""with w as (select i.row_no, list_distinct(regexp_extract_all(lower(i.text), '[\p{L}\p{N}]+')) as a, list_distinct(regexp_extract_all(lower(m.text), '[\p{L}\p{N}]+')) as b from incoming_memories i join (select id, min(row_no) as row_no from memories group by 1) f on f.id = i.id join memories m on m.row_no = f.row_no where i.text is not null and m.text is not null)
@@ -257,12 +252,6 @@ def d01(spark: SparkSession, d: str) -> DataFrame:
     return with_temporal(q, "text", datetime.fromtimestamp(NOW / 1000, UTC)).where("after_ms is not null or before_ms is not null")
 
 
-@query("f15_tags", r"with t as (select row_no, regexp_extract_all(scope, '(?:project|agent|user):[\w-]+') as tags, scope from memories where scope is not null) select row_no, len(tags) as tags from t where len(tags) > 0")
-def f15(spark: SparkSession, d: str) -> DataFrame:
-    t = read_table(spark, d, "memories").where("scope is not null").select("row_no", F.regexp_extract_all("scope", F.lit(r"((?:project|agent|user):[\w-]+)"), 1).alias("tags"))
-    return t.where(F.size("tags") > 0).select("row_no", F.size("tags").cast("bigint").alias("tags"))
-
-
 @query("f18_not_injected", f"{MEM} select row_no from mem where id not in (select source_memory_id from kg_triples where source_memory_id is not null)")
 def f18(spark: SparkSession, d: str) -> DataFrame:
     return smart(spark, d).join(read_table(spark, d, "kg_triples").where("source_memory_id is not null").select(F.col("source_memory_id").alias("id")), "id", "left_anti").select("row_no")

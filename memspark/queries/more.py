@@ -113,13 +113,16 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     return backfill(read_table(spark, d, "memories").select("row_no", "text", "vector"), "vector", F.col("text"))
 
 
-@query("a22_token_f1", r"""with w as (select i.row_no, list_distinct(regexp_extract_all(lower(i.text), '[\p{L}\p{N}]+')) as a, list_distinct(regexp_extract_all(lower(m.text), '[\p{L}\p{N}]+')) as b, i.category from incoming_memories i join (select id, min(row_no) as row_no from memories group by 1) f on f.id = i.id join memories m on m.row_no = f.row_no where i.text is not null and m.text is not null)
-select category, count(*) as n, round(avg(2.0 * len(list_intersect(a, b)) / (len(a) + len(b))), 6) as f1, round(avg(case when 2.0 * len(list_intersect(a, b)) / (len(a) + len(b)) >= 0.5 then 1.0 else 0.0 end), 6) as acc from w group by 1""")
+@query("a22_token_f1", r"""with p as (select i.row_no, regexp_extract_all(lower(coalesce(i.text, '')), '[A-Za-z0-9_]+') as a, regexp_extract_all(lower(coalesce(m.text, '')), '[A-Za-z0-9_]+') as b, i.category from incoming_memories i join (select id, min(row_no) as row_no from memories group by 1) f on f.id = i.id join memories m on m.row_no = f.row_no),
+w as (select category, case when len(a) = 0 and len(b) = 0 then 1.0 when len(a) = 0 or len(b) = 0 then 0.0 else 2.0 * len(list_intersect(list_distinct(a), list_distinct(b))) / (len(a) + len(b)) end as f from p)
+select category, count(*) as n, round(avg(f), 6) as f1, round(avg(case when f >= 0.5 then 1.0 else 0.0 end), 6) as acc from w group by 1""")
 def a22(spark: SparkSession, d: str) -> DataFrame:
-    m = read_table(spark, d, "memories")
-    first = m.groupBy("id").agg(F.min_by("text", "row_no").alias("other"))
-    w = read_table(spark, d, "incoming_memories").join(first, "id").where("text is not null and other is not null").select("category", F.array_distinct(words(F.col("text"))).alias("a"), F.array_distinct(words(F.col("other"))).alias("b"))
-    f1 = 2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.size("b"))
+    """Words in both texts, each once, against all words of either; the memory of the same id stands for the answer."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([A-Za-z0-9_]+)"), 1)
+    first = read_table(spark, d, "memories").groupBy("id").agg(F.min(F.struct("row_no", "text"))["text"].alias("other"))
+    w = read_table(spark, d, "incoming_memories").join(first, "id").select("category", tokens(F.col("text")).alias("a"), tokens(F.col("other")).alias("b"))
+    a, b = F.size("a"), F.size("b")
+    f1 = F.when((a == 0) & (b == 0), 1.0).when((a == 0) | (b == 0), 0.0).otherwise(2.0 * F.size(F.array_intersect("a", "b")) / (a + b))
     return w.withColumn("f", f1).groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("f"), 6).alias("f1"), F.round(F.avg((F.col("f") >= 0.5).cast("double")), 6).alias("acc"))
 
 
@@ -129,23 +132,6 @@ def j03(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "kg_triples").join(live, "source_memory_id", "left_semi").select("id")
 
 
-H2 = f"h1 as (select query_no, row_no, 1 / (1 + (1 - raw)) as s from {knn_sql('memories', 'vector', 'vector', 5)}), h2 as (select query_no, row_no, 1 / (1 + (1 - raw)) as s from {knn_sql('memories', 'vector_l0', 'l0', 5)})"
-
-
-@query("j11_two_rounds", f"with {Q}, {H2}, u as (select query_no, row_no, s, 1 as r from h1 union all select query_no, row_no, s, 2 from h2) select query_no, row_no, round(max(s), 6) as score, case when count(distinct r) = 2 then 'both' when max(r) = 1 then 'round1' else 'round2' end as source from u group by 1, 2")
-def j11(spark: SparkSession, d: str) -> DataFrame:
-    m, q = read_table(spark, d, "memories"), asked(spark, d)
-    u = vector_hits(m, q, 5).withColumn("r", F.lit(1)).unionByName(vector_hits(m, q, 5, {"l0": "vector_l0"}).withColumn("r", F.lit(2)))
-    g = u.groupBy("query_no", "row_no").agg(F.round(F.max("score"), 6).alias("score"), F.min("r").alias("a"), F.max("r").alias("b"))
-    return g.select("query_no", "row_no", "score", F.when(F.col("a") != F.col("b"), "both").when(F.col("a") == 1, "round1").otherwise("round2").alias("source"))
-
-
-@query("j19_slot_guard", f"{MEM} select scope, memory_category, bool_and(fact_key is not null) as all_keyed, count(distinct fact_key) as slots from mem group by 1, 2 having count(*) > 1")
-def j19(spark: SparkSession, d: str) -> DataFrame:
-    g = smart(spark, d).groupBy("scope", "memory_category").agg(F.bool_and(F.col("fact_key").isNotNull()).alias("all_keyed"), F.count_distinct("fact_key").alias("slots"), F.count(F.lit(1)).alias("n"))
-    return g.where("n > 1").drop("n")
-
-
 @query("w03_injection_budget", f"{MEM}, r as (select scope, row_no, length(t) as n, row_number() over w as place, sum(length(t)) over w as total from mem window w as (partition by scope order by importance desc, row_no)) select scope, row_no, least(n, 600 - (total - n))::bigint as taken from r where place <= 3 and total - n < 600")
 def w03(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("scope").orderBy(F.desc("importance"), "row_no")
@@ -187,7 +173,7 @@ def u05(spark: SparkSession, d: str) -> DataFrame:
     return smart(spark, d).select("row_no", laid["tier"].alias("tier"), laid["source"].alias("source"))
 
 
-@query("m09_rerank_blend", f"with {Q}, h as (select query_no, row_no, raw from {knn_sql('memories', 'vector', 'vector', 10)}) select query_no, row_no, round(greatest(0.0, least(1.0, 0.7 / (1 + (1 - raw)) + 0.3 * raw)), 6) as score from h")
+@query("m09_rerank_cosine", f"with {Q}, h as (select query_no, row_no, raw from {knn_sql('memories', 'vector', 'vector', 10)}) select query_no, row_no, round(greatest(0.0, least(1.0, 0.7 / (1 + (1 - raw)) + 0.3 * raw)), 6) as score from h")
 def m09(spark: SparkSession, d: str) -> DataFrame:
     h = vector_hits(read_table(spark, d, "memories"), asked(spark, d), 10)
     return h.select("query_no", "row_no", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.7 * F.col("score") + 0.3 * F.col("raw"))), 6).alias("score"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspark.queries import analytics, extra, graph, maintenance, more, problems, problems_sql, retrieval, single  # noqa: F401
+from memspark.queries import analytics, extra, graph, maintenance, more, pipelines, problems, problems_sql, retrieval, single  # noqa: F401
 from memspark.queries.base import QUERIES, SQL
 
 

@@ -10,41 +10,12 @@ from memspark.metadata import active_at
 from memspark.operators.search import bm25_hits, fuse, vector_hits
 from memspark.plans.recall import LAYERS
 from memspark.queries import analytics, extra, maintenance, more, retrieval
-from memspark.queries.base import MEM, NOW, QUERIES, SQL, query, smart
+from memspark.queries.base import MEM, NOW, query, smart
 from memspark.queries.retrieval import Q, asked, bm25_sql, fused_sql, hits_sql, knn_sql
 from memspark.session import read_table
 
 assert analytics and extra and maintenance and more and retrieval
 
-#: name: (query it is part of, columns). Each gives the rule's own columns.
-PARTS = {
-    "m12_importance_weight": ("m11_rank_stages", "row_no, weighted"),
-    "m13_length_norm": ("m11_rank_stages", "row_no, length_norm"),
-    "m14_time_decay": ("m11_rank_stages", "row_no, time_decay"),
-    "m15_half_life": ("m11_rank_stages", "row_no, half_life"),
-    "m16_decay_recency": ("m19_decay", "row_no, recency"),
-    "m17_decay_frequency": ("m19_decay", "row_no, frequency"),
-    "m18_decay_intrinsic": ("m19_decay", "row_no, intrinsic"),
-    "t01_channel_topk": ("w01_channel_ranks", "query_no, channel, row_no, rank"),
-    "t04_final_cut": ("plan_p02_hybrid", "query_no, row_no, place"),
-    "t06_pagination": ("f26_list_page", "row_no"),
-    "t12_top_reasons": ("a04_reject_reasons", "reason, n"),
-    "u01_union_max": ("j11_two_rounds", "query_no, row_no, score"),
-    "x07_topic_tag": ("a17_topic", "row_no, topic"),
-    "x20_reason_key": ("a04_reject_reasons", "reason"),
-}
-
-
-def _part(name: str, whole: str, columns: str) -> None:
-    @query(name, f"select {columns} from ({SQL[whole]}) whole_")
-    def run(spark: SparkSession, d: str) -> DataFrame:
-        return QUERIES[whole](spark, d).select(*columns.split(", "))
-
-
-for _name, (_whole, _columns) in PARTS.items():
-    _part(_name, _whole, _columns)
-
-
 @query("m01_cosine", f"with {Q} select query_no, row_no, round(raw, 6) as cosine from {knn_sql('memories', 'vector_l1', 'l1', 5)}")
 def m01(spark: SparkSession, d: str) -> DataFrame:
     return vector_hits(read_table(spark, d, "memories"), asked(spark, d), 5, {"l1": "vector_l1"}).select("query_no", "row_no", F.round("raw", 6).alias("cosine"))
@@ -86,11 +57,6 @@ def m31(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "memories").select("row_no", clamp01(F.coalesce("importance", F.lit(0.7)) * 2 - 0.5).alias("clamped"))
 
 
-@query("f12_noise_length", "select row_no, length(text) between 9 and 300 as checked from incoming_memories where text is not null")
-def f12(spark: SparkSession, d: str) -> DataFrame:
-    return read_table(spark, d, "incoming_memories").where("text is not null").select("row_no", F.length("text").between(9, 300).alias("checked"))
-
-
 #: Cues of facts about the user that belong to the user's own profile.
 PROFILE = r"(?i)(?:我的时区是|我的代词是|我是|我的身份是|my timezone is|my pronouns are|i am\b)|(?:时区|代词|协作方式|工作方式|语言偏好)"
 
@@ -100,6 +66,7 @@ def f19(spark: SparkSession, d: str) -> DataFrame:
     return smart(spark, d).select("row_no", ((F.col("memory_category") == "profile") | F.coalesce("text", F.lit("")).rlike(PROFILE)).alias("own_profile"))
 
 
+#: How questions ask for what is related.
 HOPS = {"friend_of": r"(\w+)'s\s+friends?|friends?\s+of\s+(\w+)", "uses": r"what\s+does\s+(\w+)\s+use|who\s+(?:uses?|works?\s+with)\s+(\w+)", "created_by": r"who\s+(?:created|built|wrote|made)\s+(\w+)", "depends_on": r"what\s+depends\s+on\s+(\w+)|(\w+)\s+depend(?:s|encies)", "manages": r"who\s+manages?\s+(\w+)", "member_of": r"(\w+)'s\s+team"}
 
 
