@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -215,3 +217,31 @@ def contradicts(a: Column, b: Column) -> Column:
 
     x, y = bare(a), bare(b)
     return one(x, y) | one(y, x)
+
+
+#: Headings of blocks that a host puts before a message, the start of a session's first message, how one
+#: is spoken to, lines of system events, and the blocks of injected context.
+ENVELOPES = ("Conversation info (untrusted metadata):", "Sender (untrusted metadata):", "Thread starter (untrusted, for context):", "Replied message (untrusted, for context):", "Forwarded message context (untrusted metadata):", "Chat history since last reply (untrusted, for context):")
+RESET = "A new session was started via /new or /reset. Execute your Session Startup sequence now"
+ADDRESSING = r"^(?:<@!?[0-9]+>|@[A-Za-z0-9_.-]+)\s*"
+SYSTEM_EVENT = r"(?im)^System:\s*\[[^\n]*?\]\s*Exec\s+(?:completed|failed|started)\b.*$"
+INJECTED = r"(?is)<relevant-memories>\s*.*?</relevant-memories>\s*|\[UNTRUSTED DATA[^\n]*\].*?\[END UNTRUSTED DATA\]\s*"
+_BLOCK = r"(?:^|\n)\s*(?:" + "|".join(re.sub(r"([().])", r"\\\1", e) for e in ENVELOPES) + r")\s*\n```json[\s\S]*?\n```\s*"
+
+
+def without_envelope(c: Column) -> Column:
+    """A user's message without what the host put around it: injected context, the start of a session, blocks of
+    metadata, system events, and how the agent is spoken to. Null stays null."""
+
+    def bare(x: Column) -> Column:
+        for _ in range(2):  # a block behind a block begins where the first one ended
+            x = F.regexp_replace(F.regexp_replace(x, SYSTEM_EVENT, "\n"), _BLOCK, "\n")
+            x = _strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+        return x
+
+    t = _strip(F.regexp_replace(_strip(c), INJECTED, ""))
+    lines = F.split(t, "\n")
+    # a new session's first message goes on after the first blank line, or from the third line on
+    rest = F.when(F.instr(t, "\n\n") > 0, F.regexp_replace(t, r"^[\s\S]*?\n\n", "")).when(F.size(lines) <= 2, "").otherwise(F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), "\n"))
+    t = F.when(t.startswith(RESET), _strip(rest)).otherwise(t)
+    return _strip(F.regexp_replace(bare(_strip(F.regexp_replace(bare(t), ADDRESSING, ""))), r"\n{3,}", "\n\n"))

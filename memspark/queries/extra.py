@@ -9,6 +9,7 @@ from memspark.functions import text as X
 from memspark.metadata import active_at
 from memspark.operators.search import bm25_hits, vector_hits
 from memspark.operators.select import char_budget
+from memspark.plans.auto_recall import inject, noted
 from memspark.plans.recall import LAYERS, RecallConfig, hybrid
 from memspark.queries import analytics, maintenance
 from memspark.queries.base import MEM, NOW, SQL, query, smart
@@ -115,12 +116,20 @@ def m10(spark: SparkSession, d: str) -> DataFrame:
     return h.select("query_no", "row_no", F.round(b * F.when(b >= 0.75, 0.95).when(b >= 0.6, 0.9).otherwise(0.5), 6).alias("returned_floor"), F.round(b * F.when(b >= 0.75, 1.0).when(b >= 0.6, 0.95).otherwise(0.8), 6).alias("unreturned_floor"))
 
 
-@query("m07_graph_blend", f"{MEM}, {Q}, h as (select query_no, row_no, 1 / (1 + (1 - raw)) as s from {knn_sql('mem', 'vector', 'vector', 10)}), g as (select source_memory_id as id, max(coalesce(confidence, 0.0)) as g from kg_triples where source_memory_id is not null group by 1) select query_no, h.row_no, round(greatest(0.0, least(1.0, s + 0.2 * coalesce(g, 0.0))), 6) as score from h join mem m using (row_no) left join g on g.id = m.id")
+@query("m07_graph_blend", f"""{MEM}, {Q}, h as (select query_no, row_no, 1 / (1 + (1 - raw)) as s from {knn_sql('mem', 'vector', 'vector', 10)}), g as (select query_no, m.row_no, max(coalesce(k.confidence, 0.0)) as g from qs join kg_triples k on length(trim(k.subject)) >= 3 and contains(lower(qs.qtext), lower(trim(k.subject))) join mem m on m.id = k.source_memory_id group by 1, 2)
+select query_no, row_no, round(case when h.s is null then g.g else least(1.0, h.s + 0.2 * coalesce(g.g, 0)) end, 6) as score from h full join g using (query_no, row_no)""")
 def m07(spark: SparkSession, d: str) -> DataFrame:
-    m = smart(spark, d)
-    g = read_table(spark, d, "kg_triples").where("source_memory_id is not null").groupBy(F.col("source_memory_id").alias("id")).agg(F.max(F.coalesce("confidence", F.lit(0.0))).alias("g"))
-    h = vector_hits(m, asked(spark, d), 10).join(m.select("row_no", "id"), "row_no").join(g, "id", "left")
-    return h.select("query_no", "row_no", F.round(F.least(F.lit(1.0), F.col("score") + 0.2 * F.coalesce("g", F.lit(0.0))), 6).alias("score"))
+    """Rows that vectors found gain a fifth of their graph score; those only the graph found have that. The graph score
+    here is the confidence of a row's triples whose subject the query names."""
+    m, q = smart(spark, d), asked(spark, d)
+    k = read_table(spark, d, "kg_triples").select(F.lower(F.trim("subject")).alias("subject"), F.col("source_memory_id").alias("id"), F.coalesce("confidence", F.lit(0.0)).alias("c")).where("length(subject) >= 3")
+    # a subject meets the queries that have its first three characters, then is looked for as a whole
+    threes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - 2, F.lit(1))), lambda i: F.substring(F.col("t"), i, F.lit(3))))
+    texts = q.select("query_no", F.lower("text").alias("t")).where("t is not null").select("query_no", "t", F.explode(threes).alias("three"))
+    named = k.select("subject").distinct().withColumn("three", F.substring("subject", 1, 3)).join(texts, "three").where(F.contains(F.col("t"), F.col("subject"))).select("query_no", "subject").distinct()
+    g = named.join(k, "subject").join(m.select("row_no", "id"), "id").groupBy("query_no", "row_no").agg(F.max("c").alias("g"))
+    h = vector_hits(m, q, 10).select("query_no", "row_no", "score").join(g, ["query_no", "row_no"], "full")
+    return h.select("query_no", "row_no", F.round(F.when(F.col("score").isNull(), F.col("g")).otherwise(F.least(F.lit(1.0), F.col("score") + 0.2 * F.coalesce("g", F.lit(0.0)))), 6).alias("score"))
 
 
 @query("n03_capped_lists", f"{MEM}, r as (select row_no, case when json_type(j->'$.relations') = 'ARRAY' then json_array_length(j->'$.relations') else 0 end as n from mem) select row_no, n::bigint as relations, least(n, 16)::bigint as kept from r where n > 0")
@@ -173,13 +182,24 @@ def t11(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d).where("role != 'system'").withColumn("n", F.row_number().over(w)).where("n <= 5").select(F.col("conv_id").alias("doc_id"), "role", F.length("content").cast("bigint").alias("chars"))
 
 
-@query("plan_p13_auto_recall", f"""{hits_sql()}, {FUSED}, {stages_sql()}, g as (select b.query_no, b.row_no, b.place, m.t from best b join mem m using (row_no) where m.state = 'confirmed' and m.memory_layer not in ('archive', 'reflection')),
-c as (select query_no, row_no, place, row_number() over w as n, sum(length(t)) over w as total from g window w as (partition by query_no order by place)), o as (select *, max(case when total > 600 and n > 1 then 1 else 0 end) over (partition by query_no order by place) as over_ from c) select query_no, row_no, place from o where over_ = 0 and n <= 3""")
-def p13(spark: SparkSession, d: str) -> DataFrame:
+_LINE = r"substr(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(m.l0, '[\r\n]+', ' ', 'g'), '</?[a-zA-Z][^>]*>', '', 'g'), '<', '＜'), '>', '＞'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 180)"
+INJECTION = f"""{hits_sql()}, {FUSED}, {stages_sql()}, g as (select b.query_no, b.row_no, b.place, {_LINE} as line from best b join mem m using (row_no) where m.state = 'confirmed' and m.memory_layer not in ('archive', 'reflection')),
+c as (select *, row_number() over w as n, sum(length(line)) over w - length(line) as before from g where line <> '' window w as (partition by query_no order by place)), inj as (select query_no, row_no, place, least(length(line), 600 - before)::bigint as taken from c where n <= 3 and before < 600)"""
+
+
+def injected(spark: SparkSession, d: str) -> DataFrame:
     m = smart(spark, d)
-    best = hybrid(m, asked(spark, d), RecallConfig(NOW)).select("query_no", "row_no", F.col("place").cast("bigint").alias("place"), F.coalesce("text", F.lit("")).alias("text"))
-    ok = m.where((F.col("state") == "confirmed") & ~F.col("memory_layer").isin("archive", "reflection")).select("row_no")
-    return char_budget(best.join(ok, "row_no"), 3, 600).select("query_no", "row_no", "place")
+    return inject(hybrid(m, asked(spark, d), RecallConfig(NOW)).select("query_no", "row_no", F.col("place").cast("bigint").alias("place")), m)
+
+
+@query("plan_p13_auto_recall", f"{INJECTION} select query_no, row_no, place, taken from inj")
+def p13(spark: SparkSession, d: str) -> DataFrame:
+    return injected(spark, d).select("query_no", "row_no", "place", "taken")
+
+
+@query("m32_injection_notes", f"{INJECTION} select distinct row_no, 1::bigint as injected_count, bad_recall_count, 0::bigint as suppressed_until_turn from inj join mem using (row_no)")
+def m32b(spark: SparkSession, d: str) -> DataFrame:
+    return noted(injected(spark, d), smart(spark, d), NOW, 0).drop("last_injected_at")
 
 
 @query("plan_p14_auto_capture", f"with t as ({BOTH}), c as (select doc_id, content, {X.CAPTURE_SQL.format(c='content')} as keep from t where role = 'user'), r as (select *, row_number() over (partition by doc_id order by length(content) desc, content) as n from c where keep) select doc_id, content, case {' '.join(f'''when regexp_matches(lower(content), {X._lit(p)}) then '{n}' ''' for n, p in X.CATEGORY_WORDS.items())} else 'other' end as category from r where n <= 2")

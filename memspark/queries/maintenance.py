@@ -277,11 +277,11 @@ def r05(spark: SparkSession, d: str) -> DataFrame:
     return jobs.signals(read_table(spark, d, "events")).groupBy("user_id").agg(F.count(F.lit(1)).alias("signals"))
 
 
-@query("r02_turn_history", "with t as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as turn, props::json->>'$.k' as item from events), l as (select *, lag(turn) over (partition by user_id, item order by turn) as before from t) select event_id, before is not null and turn - before <= 8 as hidden from l")
+@query("r02_turn_history", "with t as (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as turn, props::json->>'$.k' as item from events), l as (select *, lag(turn) over (partition by user_id, item order by turn) as before from t) select event_id, before is not null and turn - before < 8 as hidden from l")
 def r02(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "events").select("user_id", "event_id", "ts", F.get_json_object("props", "$.k").alias("item"))
     t = with_neighbour(place_in_group(e, ["user_id"], ["ts", "event_id"], "turn"), ["user_id", "item"], ["turn"], {"turn": "before"}, -1)
-    return t.select("event_id", (F.col("before").isNotNull() & (F.col("turn") - F.col("before") <= 8)).alias("hidden"))
+    return t.select("event_id", (F.col("before").isNotNull() & (F.col("turn") - F.col("before") < 8)).alias("hidden"))
 
 
 @query("r_sessions", "with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minutes then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as sid from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, sid")

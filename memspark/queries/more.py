@@ -66,10 +66,15 @@ def f22(spark: SparkSession, d: str) -> DataFrame:
     return s.select("row_no", (fits & ~F.col("s").rlike(EXCLUDED) & F.col("s").rlike(TRIGGERS)).alias("capture"))
 
 
-@query("f23_cleanup", r"select doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '```[^`]*```', '', 'g'), '(?m)^(?:User|Assistant|Human|Agent|me|bot|Q|A):\s*', '', 'g'), '\s+', ' ', 'g')) as n from documents where text is not null")
+_ENVELOPE = "<relevant-memories>\n- one\n</relevant-memories>\nSender (untrusted metadata):\n```json\n{\"a\": 1}\n```\n@bot "
+_SQL_STRIP = lambda c: rf"regexp_replace({c}, '^\s+|\s+$', '', 'g')"
+
+
+@query("f23_cleanup", rf"select doc_id, length(regexp_replace({_SQL_STRIP('text')}, '\n{{3,}}', chr(10) || chr(10), 'g'))::bigint as n, md5(regexp_replace({_SQL_STRIP('text')}, '\n{{3,}}', chr(10) || chr(10), 'g')) as digest from documents where text is not null")
 def f23(spark: SparkSession, d: str) -> DataFrame:
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "```[^`]*```", ""), r"(?m)^(?:User|Assistant|Human|Agent|me|bot|Q|A):\s*", ""), r"\s+", " ")
-    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).cast("bigint").alias("n"))
+    """Each document as a message in an envelope: what is left is the document."""
+    t = X.without_envelope(F.concat(F.lit(_ENVELOPE), "text"))
+    return read_table(spark, d, "documents").where("text is not null").select("doc_id", F.length(t).cast("bigint").alias("n"), F.md5(t).alias("digest"))
 
 
 @query("a07_admission_stats", f"{MEM} select source, count(*) as total, count(*) filter (where state = 'confirmed') as admitted, count(*) filter (where state = 'archived') as archived, count(*) filter (where timestamp_ms > {NOW} - 30 * 86400000::bigint) as last_30d, max(timestamp_ms) as latest from mem group by 1")
@@ -90,12 +95,6 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return g.orderBy(F.desc(F.round("score", 6)), F.desc("latest"), "k").limit(10).select("k", F.round("score", 6).alias("score"), "latest")
 
 
-@query("a12_mapped_by_kind", f"{MEM}, r as (select memory_category as kind, row_no, row_number() over (partition by memory_category order by timestamp_ms desc, row_no desc) as place from mem where source = 'reflection') select kind, row_no, place from r where place <= 10")
-def a12(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("memory_category").orderBy(F.desc("timestamp_ms"), F.desc("row_no"))
-    return smart(spark, d).where("source = 'reflection'").withColumn("place", F.row_number().over(w)).where("place <= 10").select(F.col("memory_category").alias("kind"), "row_no", F.col("place").cast("bigint").alias("place"))
-
-
 @query("a13_mean_vector", "with u as (select label, generate_subscripts(embedding, 1) as i, unnest(embedding)::double as x from embeddings), a as (select label, i, avg(x) as x from u group by 1, 2) select label, count(*) as dim, round(sum(x), 6) as total from a group by 1")
 def a13(spark: SparkSession, d: str) -> DataFrame:
     e = read_table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
@@ -187,12 +186,6 @@ def m24(spark: SparkSession, d: str) -> DataFrame:
     return place_in_group(e, ["user_id"], ["t", "e"], "back").groupBy("user_id").agg(F.round(F.sum(part) + 0.5 * F.pow(F.lit(0.85), F.count(F.lit(1))), 6).alias("weight"))
 
 
-@query("m25_reflection_logistic", f"{MEM} select row_no, round({LOGIT} * importance, 6) as score from mem")
-def m25(spark: SparkSession, d: str) -> DataFrame:
-    age = F.greatest(F.lit(0.0), (F.lit(NOW) - F.col("timestamp_ms")) / F.lit(86_400_000.0))
-    return smart(spark, d).select("row_no", F.round(1 / (1 + F.exp(0.22 * (age - 120))) * F.col("importance"), 6).alias("score"))
-
-
 PRIOR = "case memory_category " + " ".join(f"when '{k}' then {v}" for k, v in A.PRESETS["balanced"]["priors"].items()) + " else 0.5 end"
 
 

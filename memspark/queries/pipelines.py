@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspark.functions.text import NOISE_SQL
+from memspark.operators import reflections as R
 from memspark.operators.rerank import rerank
 from memspark.operators.search import bm25_hits, vector_hits
 from memspark.plans.dispatch import retrieve, two_rounds
@@ -73,3 +74,30 @@ def p08(spark: SparkSession, d: str) -> DataFrame:
 @query("plan_p09_changes")
 def p09(spark: SparkSession, d: str) -> DataFrame:
     return changes(decide(smart(spark, d), candidates(spark, d), NOW), NOW)
+
+
+# -- reflections: rows of that source, their kind told by their category -------------------------------------------------
+_KIND = {"events": "decision", "profile": "user-model", "preferences": "user-model", "patterns": "agent-model"}
+
+
+def reflections(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.coalesce(F.create_map(*[F.lit(x) for kv in _KIND.items() for x in kv])[F.col("memory_category")], F.lit("lesson"))
+    meta = F.to_json(F.struct(F.lit("memory-reflection-mapped").alias("type"), kind.alias("mappedKind"), (F.col("row_no") % 3 == 0).alias("usedFallback")))
+    return smart(spark, d).where("source = 'reflection'").withColumn("metadata", meta)
+
+
+_TABLE = "(values " + ", ".join(f"('{k}', {m}::double, {s}::double, {w}::double, {q}::double)" for k, (m, s, w, q) in R.KINDS.items()) + ") as t(kind, mid, steep, weight, quality)"
+_LINES = rf"""{MEM}, r as (select row_no, timestamp_ms, case memory_category {' '.join(f"when '{a}' then '{b}'" for a, b in _KIND.items())} else 'lesson' end as kind, regexp_replace(regexp_replace(replace(t, '**', ''), '(?i)^(invariants?|reflections?|derived)[:：]\s*', ''), '^ +| +$', '', 'g') as line from mem where source = 'reflection'),
+l as (select row_no, kind, timestamp_ms, line, weight * quality * case when row_no % 3 = 0 then 0.75 else 1.0 end / (1 + exp(steep * (greatest(0.0, ({NOW} - timestamp_ms) / 86400000.0) - mid))) as score from r join {_TABLE} using (kind) where line <> '')"""
+
+
+@query("m25_reflection_scores", f"{_LINES} select row_no, kind, round(score, 6) as score from l")
+def m25(spark: SparkSession, d: str) -> DataFrame:
+    return R.weighted_lines(reflections(spark, d), NOW).select("row_no", "kind", F.round("score", 6).alias("score"))
+
+
+@query("a12_mapped_reflections", rf"""{_LINES}, g as (select kind, lower(regexp_replace(line, '\s+', ' ', 'g')) as k, round(sum(score), 9) as score, max(timestamp_ms) as latest, max(struct_pack(a := timestamp_ms, b := line)).b as line from l where score > 0 group by 1, 2)
+select kind, line, round(score, 6) as score, latest from g qualify row_number() over (partition by kind order by score desc, latest desc, line) <= 10""")
+def a12(spark: SparkSession, d: str) -> DataFrame:
+    """Without the usual bound of 60 days, as the present of the queries is later than that after all rows."""
+    return R.ranked_lines(R.weighted_lines(reflections(spark, d), NOW), max_days=None).select("kind", "line", F.round("score", 6).alias("score"), "latest")

@@ -9,11 +9,13 @@ import pytest
 
 from memspark.functions.embed import hash_embedder
 from memspark.functions.slots import brand_items
+from memspark.functions.text import RESET, without_envelope
 from memspark.metadata import with_smart_meta
-from memspark.operators import search
+from memspark.operators import reflections, search
 from memspark.operators.consolidate import clusters, similar_pairs
 from memspark.operators.rerank import rerank, word_overlap
 from memspark.operators.search import bm25_hits, vector_hits
+from memspark.plans.auto_recall import inject, noted
 from memspark.plans.dispatch import retrieve, two_rounds
 from memspark.plans.engine import MemoryEngine
 from memspark.plans.ingest import by_rule, changes, decide, ingest_plan
@@ -146,3 +148,43 @@ def test_import_numbers_and_embeds(spark, tmp_path):
     got = e.table().collect()
     assert sorted(r.row_no is not None for r in got) == [True, True] and len({r.row_no for r in got}) == 2 and all(r.vector for r in got)
     assert e.recall(["first imported row"], NOW).first().text == "The first imported row"
+
+
+def test_injection_and_its_notes(spark):
+    fine = {"state": "confirmed", "memory_layer": "durable"}
+    long = "word " * 80
+    mem = memories(spark, [(1, long, {"meta": fine}), (2, "Second <b>line</b> here", {"meta": fine | {"last_injected_at": 5, "bad_recall_count": 2}}), (3, long, {"meta": fine}), (4, long, {"meta": fine | {"state": "pending"}}), (5, long, {"meta": fine | {"suppressed_until_turn": 9}}), (6, long, {"meta": fine | {"memory_layer": "archive"}}), (7, long, {"meta": fine}), (8, "", {"meta": fine})])
+    pool = spark.createDataFrame([(1, i, i) for i in range(1, 9)] + [(2, 7, 1)], "query_no bigint, row_no bigint, place int")
+    given = inject(pool, mem, turn=9, items=10, chars=400)
+    assert {(r.query_no, r.row_no): r.taken for r in given.collect()} == {(1, 1): 180, (1, 2): 16, (1, 3): 180, (1, 7): 24, (2, 7): 180}
+    assert all(len(r.line) == r.taken for r in given.collect())
+    assert {r.row_no for r in inject(pool, mem, turn=10, items=10, chars=4000).collect()} == {1, 2, 3, 5, 7}
+    shown = spark.createDataFrame([(1, 2), (3, 1), (3, 0)], "row_no bigint, turn int")
+    assert {r.row_no for r in inject(pool, mem, turn=9, shown=shown, items=10).where("query_no = 1").collect()} == {2, 3, 7}
+    note = {r.row_no: r for r in noted(given, mem, NOW, 9).collect()}
+    assert (note[2].bad_recall_count, note[2].suppressed_until_turn, note[2].injected_count) == (3, 17, 1) and (note[7].bad_recall_count, note[7].suppressed_until_turn) == (0, 0)
+
+
+def test_reflection_lines(spark):
+    def row(n, text, days, **meta):
+        return n, text, NOW - days * DAY, json.dumps({"type": "memory-reflection-mapped"} | meta)
+
+    rows = [
+        row(1, "**Check** the  logs first", 1, mappedKind="lesson"), row(2, "check the logs FIRST", 3, mappedKind="lesson", usedFallback=True), row(3, "Old lesson", 61, mappedKind="lesson"), row(4, "(none captured)", 1, mappedKind="lesson"),
+        row(5, "Derived: keep it short", 2, mappedKind="decision", agentId="other"), row(6, "Use the small box", 2, mappedKind="decision", agentId="main", quality=9, baseWeight=2), row(7, "no kind", 1), (8, None, None, None), (9, "x", NOW, "{broken"),
+    ]
+    mem = spark.createDataFrame(rows, "row_no bigint, text string, timestamp_ms bigint, metadata string")
+    lines = reflections.weighted_lines(mem, NOW, agent="me")
+    got = {(r.kind, r.line): (r.place, r.score) for r in reflections.ranked_lines(lines).collect()}
+    f = lambda d, k: 1 / (1 + np.exp(reflections.KINDS[k][1] * (d - reflections.KINDS[k][0])))
+    assert got == {("lesson", "Check the  logs first"): (1, pytest.approx(0.81 * (f(1, "lesson") + 0.75 * f(3, "lesson")))), ("decision", "Use the small box"): (1, pytest.approx(2 * f(2, "decision")))}
+    assert reflections.weighted_lines(mem, NOW).where("line = 'keep it short'").count() == 1
+    assert reflections.ranked_lines(lines.where("false")).count() == 0
+
+
+def test_envelopes_are_taken_off(spark):
+    block = "Conversation info (untrusted metadata):\n```json\n{}\n```\n"
+    texts = [None, "", "plain  text\n\n\n\nhere ", block + "hello there", block + block + "@bot do it", RESET + " and so on\n\nreal question", RESET + "\none", RESET + "\none\ntwo\nthree", "[UNTRUSTED DATA x]\nabc\n[END UNTRUSTED DATA]\nyes", "System: [12:00] Exec completed (ok)\nwhat now", "<@!42> hi all"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(without_envelope(df.t)).collect()]
+    assert got == [None, "", "plain  text\n\nhere", "hello there", "do it", "real question", "", "two\nthree", "yes", "what now", "hi all"]
