@@ -15,6 +15,7 @@ import base64
 import importlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,8 +91,10 @@ def decode(ids: list[int], vocabulary: str = VOCABULARY) -> str:
 def boundaries(text: str, start: int, last: bool) -> list[int]:
     """Starts of pre-tokens of a chunk, in positions of the whole text, where a piece may end: not after white space,
     as how a run of it is split depends on what follows. The end of all but the last chunk is unsure."""
-    at = [m.start() for m in _pattern().finditer(text)]
-    return [x + start for x in (at if last else at[:-2]) if x and not text[x - 1].isspace()]
+    # pre-tokens lie side by side, so each begins where those before it end
+    parts = _pattern().findall(text)
+    at = list(accumulate(map(len, parts if last else parts[:-2])))
+    return [x + start for x in (at[:-1] if last else at) if not text[x - 1].isspace()]
 
 
 def token_counts(texts: list[str | None], vocabulary: str = VOCABULARY) -> list[int]:

@@ -28,5 +28,19 @@ select first_row_no, row_no from a join c using (scope, seq) where row_no <> fir
 """
 
 
+P3_REJOINED = f"""
+with f as (select row_no, 'text' as field_name, text as c from memories union all
+  select row_no, 'l2_content', j->>'$.l2_content' from {L2} where json_type(j->'$.l2_content') = 'VARCHAR')
+select row_no, field_name, true as fits, true as overlaps, md5(c) as digest from f where length(c) > 4000
+"""
+
+P6_RECORDS = f"""
+with pairs as ({P6}), n as (select first_row_no, count(*) + 1 as copies from pairs group by 1)
+select m.row_no, m.id, m.text, m.scope, coalesce(n.copies, 1)::bigint as copies from memories m left join n on n.first_row_no = m.row_no where m.row_no not in (select row_no from pairs)
+"""
+
+P9_BOUNDS = "select mix_name, true as whole, true as within from mix_targets where target_weight > 0 group by 1"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3, "p6_found": P6}
+    return {"p3_found": P3, "p3_rejoined": P3_REJOINED, "p6_found": P6, "p6_records": P6_RECORDS, "p9_bounds": P9_BOUNDS}
