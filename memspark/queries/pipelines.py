@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memspark.functions.text import NOISE_SQL
 from memspark.operators import reflections as R
+from memspark.operators.lexical import lexical_hits
 from memspark.operators.rerank import rerank
 from memspark.operators.search import bm25_hits, vector_hits
 from memspark.plans.dispatch import retrieve, two_rounds
@@ -101,3 +102,10 @@ select kind, line, round(score, 6) as score, latest from g qualify row_number()
 def a12(spark: SparkSession, d: str) -> DataFrame:
     """Without the usual bound of 60 days, as the present of the queries is later than that after all rows."""
     return R.ranked_lines(R.weighted_lines(reflections(spark, d), NOW), max_days=None).select("kind", "line", F.round("score", 6).alias("score"), "latest")
+
+
+@query("t05_lexical_fallback", f"""{MEM}, {Q}, h as (select query_no, row_no, timestamp_ms, round(least(0.95, 0.72 + 0.02 * length(qq)) * greatest(case when contains(lower(t), qq) then 1.0 else 0 end, case when contains(lower(l0), qq) then 0.98 else 0 end, case when contains(lower(l1), qq) then 0.92 else 0 end, case when contains(lower(l2), qq) then 0.96 else 0 end), 9) as score
+  from mem, (select query_no, lower(trim(coalesce(qtext, ''))) as qq from qs) q where qq <> '' and (contains(lower(t), qq) or contains(lower(l0), qq) or contains(lower(l1), qq) or contains(lower(l2), qq)))
+select query_no, row_no, round(score, 6)::double as score, row_number() over (partition by query_no order by score desc, timestamp_ms desc nulls last, row_no) as rank from h qualify rank <= 10""")
+def t05(spark: SparkSession, d: str) -> DataFrame:
+    return lexical_hits(smart(spark, d), asked(spark, d), 10).select("query_no", "row_no", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))

@@ -8,11 +8,13 @@ import numpy as np
 import pytest
 
 from memspark.functions.embed import hash_embedder
+from memspark.functions.replies import json_of
 from memspark.functions.slots import brand_items
 from memspark.functions.text import RESET, without_envelope
 from memspark.metadata import with_smart_meta
 from memspark.operators import reflections, search
 from memspark.operators.consolidate import clusters, similar_pairs
+from memspark.operators.lexical import lexical_hits
 from memspark.operators.rerank import rerank, word_overlap
 from memspark.operators.search import bm25_hits, vector_hits
 from memspark.plans.auto_recall import inject, noted
@@ -188,3 +190,19 @@ def test_envelopes_are_taken_off(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(without_envelope(df.t)).collect()]
     assert got == [None, "", "plain  text\n\nhere", "hello there", "do it", "real question", "", "two\nthree", "yes", "what now", "hi all"]
+
+
+def test_lexical_hits(spark):
+    mem = spark.createDataFrame([(1, "Find ERR-42 here", "x", "y", "z", 5), (2, "none", "err-42", "y", "z", 9), (3, "err-42 again", "", None, "", 7), (4, None, None, None, "see err-42", None), (5, "err-4", "", "", "", 1)], "row_no bigint, text string, l0 string, l1 string, l2 string, timestamp_ms bigint")
+    q = spark.createDataFrame([(1, " ERR-42 "), (2, ""), (3, None), (4, "err-42"), (5, "absent")], "query_no bigint, text string")
+    got = [(r.query_no, r.row_no, r.rank) for r in lexical_hits(mem, q, 3).orderBy("query_no", "rank").collect()]
+    assert got == [(n, row, i + 1) for n in (1, 4) for i, row in enumerate((3, 1, 2))]
+    assert lexical_hits(mem, q, 9).where("query_no = 1 and row_no = 4").first().score == pytest.approx(0.84 * 0.96)
+    assert lexical_hits(mem.where("false"), q, 3).count() == 0 and lexical_hits(mem, q.where("false"), 3).count() == 0
+
+
+def test_json_of_replies():
+    assert json_of('Sure!\n```json\n{"a": [1, 2,],}\n```\nbye') == {"a": [1, 2]}
+    assert json_of('so {"text": "he said "no" twice", "n": {"x": 1}} and {"b": 2}') == {"text": 'he said "no" twice', "n": {"x": 1}}
+    assert json_of('{"a": "two\nlines\tand \\"quotes\\""}') == {"a": 'two\nlines\tand "quotes"'}
+    assert json_of(None) is json_of("") is json_of("no object") is json_of("{never closed") is json_of("```[1]```") is None
