@@ -143,10 +143,10 @@ class MemoryEngine:
     def ingest(self, rows: DataFrame | list[dict], now_ms: int, strategy: str = "ask") -> DataFrame:
         """Takes rows (text, and where given scope, category, importance, vector) through the whole pipeline and writes
         one new version: noise, duplicates and conflicts are left out (a conflict supersedes with that strategy), what is
-        stored gets its metadata and links, linked rows get the link back, superseded rows their end. Gives row_no,
-        action, conflict_row and link_rows of each row, in the order given."""
+        stored gets its metadata and links, linked rows get the link back, superseded rows their end, and old rows like
+        important new ones gain importance. Gives row_no, action, conflict_row and link_rows of each row, in the order given."""
         from memspark.functions.embed import embed_column
-        from memspark.plans.ingest import ingest_plan, understood
+        from memspark.plans.ingest import ingest_plan, lifts, understood
 
         if isinstance(rows, list):
             keys = ["text", "scope", "category", "importance", "vector"]
@@ -167,13 +167,20 @@ class MemoryEngine:
         back = links.join(new.select("row_no", F.col("id").alias("_from")), "row_no").groupBy(F.col("_id").alias("id")).agg(F.collect_list(F.struct(F.lit("related_to").alias("type"), F.col("_from").alias("targetId"))).alias("_back"))
         ended = new.where("action = 'superseded'").groupBy(F.col("_old").alias("id")).agg(F.max("id").alias("_by"))
         had = F.coalesce(F.from_json(F.from_json("metadata", "map<string,string>")["relations"], "array<struct<type:string,targetId:string>>"), F.array().cast("array<struct<type:string,targetId:string>>"))
-        patch = old.select("id", had.alias("_had")).dropDuplicates(["id"]).join(back, "id", "left").join(ended, "id", "left").where("_back is not null or _by is not null")
+        lifted = lifts(with_smart_meta(store_rows(old)), new.select(F.col("row_no").alias("query_no"), "vector", "importance", scope_key(F.col("scope")).alias("scope")), now_ms, "scope")
+        lifted = checkpoint(lifted.groupBy("row_no").agg(F.max("new_importance").alias("_imp"), F.max("new_tier").alias("_tier")).join(ids, "row_no").select(F.col("_id").alias("id"), "_imp", "_tier"))
+        patch = old.select("id", had.alias("_had")).dropDuplicates(["id"])
+        for part in (back, ended, lifted):
+            patch = patch.join(part, "id", "left")
+        patch = patch.where("_back is not null or _by is not null or _tier is not null")
         both = F.when(F.col("_back").isNotNull(), F.map_from_arrays(F.array(F.lit("relations")), F.array(F.to_json(F.concat("_had", "_back")))))
         closed = F.when(F.col("_by").isNotNull(), F.map_from_arrays(F.array(F.lit("invalidated_at"), F.lit("superseded_by")), F.array(F.lit(str(now_ms)), F.concat(F.lit('"'), F.col("_by"), F.lit('"')))))
+        raised = F.when(F.col("_tier").isNotNull(), F.map_from_arrays(F.array(F.lit("tier")), F.array(F.concat(F.lit('"'), F.col("_tier"), F.lit('"')))))
         none = F.create_map().cast("map<string,string>")
-        patch = checkpoint(patch.select("id", F.map_concat(F.coalesce(both, none), F.coalesce(closed, none)).alias("patch")))
+        patch = checkpoint(patch.select("id", F.map_concat(*[F.coalesce(x, none) for x in (both, closed, raised)]).alias("patch")))
         if not goes.isEmpty():
-            self._replace(O.patch_metadata(old, patch).unionByName(stored))
+            kept = O.patch(O.patch_metadata(old, patch), lifted.select("id", F.col("_imp").alias("importance")), ["importance"])
+            self._replace(kept.unionByName(stored))
         return plan.orderBy("row_no")
 
     def retrieve(self, queries: list[str], now_ms: int, scopes: list[str] | None = None, limit: int = 5, topic: str | None = None, reranker=None) -> DataFrame:

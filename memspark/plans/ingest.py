@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspark.functions.slots import slot
@@ -65,6 +65,22 @@ def ingest_plan(mem: DataFrame, batch: DataFrame, now: int, strategy: str = "ask
     return out.select("row_no", "action", F.when(F.col("action").isin("superseded", "conflict_detected"), F.col("_conflict")).alias("conflict_row"), F.when(goes_in, F.coalesce("_near", F.array().cast("array<bigint>"))).otherwise(F.array().cast("array<bigint>")).alias("link_rows"))
 
 
+#: Importance from which a new row lifts others, below which they are lifted, by how much and up to where;
+#: least score, least age in ms, most rows lifted, and the importance from which a peripheral row is a working one.
+LIFTS, LIFTED, BY, UP_TO = 0.8, 0.6, 0.15, 0.75
+LIFT_SCORE, LIFT_AGE, LIFT_ROWS, LIFT_POOL, WORKING = 0.72, 86_400_000, 5, 20, 0.5
+
+
+def lifts(mem: DataFrame, new: DataFrame, now: int, within: str | None = None) -> DataFrame:
+    """query_no, row_no, new_importance, new_tier of stored rows that important ``new`` ones (query_no, vector, importance)
+    make more important: the five most alike of those a day old or older and not important yet."""
+    hits = vector_hits(mem, new.where(F.col("importance") >= LIFTS), LIFT_POOL, within=within).where(F.col("score") >= LIFT_SCORE)
+    hits = hits.join(mem.select("row_no", "importance", "tier", "timestamp_ms"), "row_no").where((F.col("importance") < LIFTED) & (F.lit(now) - F.col("timestamp_ms") >= LIFT_AGE))
+    best = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_no").orderBy("rank"))).where(F.col("n") <= LIFT_ROWS)
+    value = F.least(F.lit(UP_TO), F.col("importance") + BY)
+    return best.select("query_no", "row_no", value.alias("new_importance"), F.when((F.col("tier") == "peripheral") & (value >= WORKING), "working").otherwise(F.col("tier")).alias("new_tier"))
+
+
 # -- decisions on candidates -------------------------------------------------------------------------------------------
 #: One candidate with its similar rows (score, same_key, same_category, opposed, same_text; best first): the decision and
 #: the place of the row it is set against.

@@ -9,6 +9,7 @@ from memspark.functions import score as S
 from memspark.metadata import active_at, store_rows
 from memspark.operators.search import bm25_hits, lexical_score, vector_hits
 from memspark.operators.select import char_budget, demote_interference, mmr, relation_boost
+from memspark.plans.ingest import lifts
 from memspark.plans.recall import LAYERS, RecallConfig, bm25_only, diverse, hybrid, top, vector_only
 from memspark.queries.base import ACTIVE, MEM, NOW, query, smart
 from memspark.session import read_table
@@ -240,11 +241,7 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 select query_no, h.row_no, round(least(0.75, m.importance + 0.15), 6) as new_importance, case when m.tier = 'peripheral' and least(0.75, m.importance + 0.15) >= 0.5 then 'working' else m.tier end as new_tier
 from h join mem m using (row_no) join qs using (query_no) where qimportance >= 0.8 and score >= 0.72 and m.importance < 0.6 and {NOW} - m.timestamp_ms >= 86400000 qualify row_number() over (partition by query_no order by score desc, row_no) <= 5""")
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    m = smart(spark, d)
-    h = vector_hits(m, asked(spark, d).where("importance >= 0.8"), 20).where("score >= 0.72").join(m.select("row_no", "importance", "tier", "timestamp_ms"), "row_no").where((F.col("importance") < 0.6) & (F.lit(NOW) - F.col("timestamp_ms") >= 86400000))
-    new = F.least(F.lit(0.75), F.col("importance") + 0.15)
-    h = h.withColumn("n", F.row_number().over(Window.partitionBy("query_no").orderBy("rank"))).where("n <= 5")
-    return h.select("query_no", "row_no", F.round(new, 6).alias("new_importance"), F.when((F.col("tier") == "peripheral") & (new >= 0.5), "working").otherwise(F.col("tier")).alias("new_tier"))
+    return lifts(smart(spark, d), asked(spark, d), NOW).withColumn("new_importance", F.round("new_importance", 6))
 
 
 @query("j16_cascade_forget", f"""{MEM}, {Q}, h as (select query_no, row_no, 1 / (1 + (1 - raw)) as score from {knn_sql('mem', 'vector', 'vector', 10)}), c as (select query_no, row_no, m.importance, greatest(0.05, m.importance - 0.3 * (score - 0.7) / 0.3) as new_importance from h join mem m using (row_no) where score >= 0.7)

@@ -139,7 +139,11 @@ def test_engine_ingests_and_retrieves(spark, tmp_path):
     rows = {r.text: json.loads(r.metadata) for r in e.table().collect()}
     old, new = rows["Editor: dark mode please"], rows["Editor: light mode please"]
     assert old["invalidated_at"] == NOW + 1 and new["fact_key"] == old["fact_key"] and new["supersedes"] and old["superseded_by"]
-    assert [r.text for r in e.retrieve(["deploys env:prod"], NOW + 5, ["a"]).collect()] == ["Deploys of env:prod run on friday evening"]
+    e.ingest([{"text": "Deploys of env:prod run on friday at evening time", "scope": "a", "importance": 0.9}], NOW + 2 * DAY)
+    e.update(next(r.id for r in e.table().collect() if r.text == "Editor: light mode please"), importance=0.5)
+    e.ingest([{"text": "Editor: light mode please now", "scope": "a", "importance": 0.95}], NOW + 3 * DAY)
+    assert {r.text: r.importance for r in e.table().collect()}["Editor: light mode please"] == pytest.approx(0.65)
+    assert [r.text for r in e.retrieve(["deploys env:prod"], NOW + 5, ["a"]).where("timestamp_ms < 1750000000005").collect()] == ["Deploys of env:prod run on friday evening"]
     assert e.retrieve(["which mode for the editor"], NOW + 5, ["a"], reranker=word_overlap).first().text == "Editor: light mode please"
 
 
