@@ -40,7 +40,7 @@ def sized(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def budgets(targets: DataFrame, sizes: DataFrame, total_tokens: int | None = None) -> DataFrame:
-    """mix_name, source, target_share, max_repeats, size, budget per target with a weight over 0.
+    """mix_name, source, target_share, max_repeats, size, budget, binds per target with a weight over 0.
 
     Without ``total_tokens`` the total of a mix is the largest at which every source that has tokens reaches its share
     within its repeats. Shares are relative to the sources that have tokens; others have size and budget 0. With it,
@@ -54,11 +54,12 @@ def budgets(targets: DataFrame, sizes: DataFrame, total_tokens: int | None = Non
     sums = t.groupBy("mix_name").agg(F.sum("w").alias("all_w"), F.sum(F.when(cap > 0, F.col("w"))).alias("there_w"), F.min(F.when(cap > 0, cap / F.col("w"))).alias("per_w"))
     t = t.join(sums, "mix_name")
     wanted = F.col("w") * F.col("per_w") if total_tokens is None else F.least(F.col("w") / F.col("there_w") * total_tokens, cap)
-    return t.select("mix_name", "source", (F.col("w") / F.col("all_w")).alias("target_share"), "max_repeats", "size", F.when(cap > 0, F.floor(wanted)).otherwise(0).cast("bigint").alias("budget"))
+    return t.select("mix_name", "source", (F.col("w") / F.col("all_w")).alias("target_share"), "max_repeats", "size", F.when(cap > 0, F.floor(wanted)).otherwise(0).cast("bigint").alias("budget"), ((cap > 0) & (wanted >= cap * (1 - 1e-12))).alias("binds"))
 
 
 def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY, seed: int = 17) -> tuple[DataFrame, DataFrame]:
-    """(chosen, shares). chosen: mix_name, source, doc_id, tokens, repeats (1 or more). shares: what each source gives.
+    """(chosen, shares). chosen: mix_name, source, doc_id, tokens, repeats (1 or more). shares: what each source gives, and
+    whether it binds: all it may give is taken, so that more of the mix cannot be had at these shares.
 
     Whole documents are taken: the last one counts if at least half of it lies within the budget, so a source misses
     its budget by at most half a document. Documents with the same ``doc_id`` are ordered by size.
@@ -77,4 +78,4 @@ def mix(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, vo
     shares = plan.join(got, ["mix_name", "source"], "left").na.fill(0, ["tokens", "documents", "most_repeats"])
     all_ = shares.groupBy("mix_name").agg(F.sum("tokens").alias("_all"))
     shares = shares.join(all_, "mix_name").withColumn("actual_share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(0.0)).drop("_all")
-    return chosen, shares.select("mix_name", "source", "target_share", "actual_share", "max_repeats", "most_repeats", "size", "budget", "tokens", "documents")
+    return chosen, shares.select("mix_name", "source", "target_share", "actual_share", "max_repeats", "most_repeats", "size", "budget", "tokens", "documents", "binds")

@@ -35,7 +35,9 @@ def test_shares_and_caps(spark):
         assert r.size == size[s] and r.most_repeats <= cap
         assert abs(r.tokens - int(w * total)) <= 31
         assert sum(x.tokens * x.repeats for x in rows if x.mix_name == "m" and x.source == s) == r.tokens
-    assert got["n", "big"].tokens == size["big"]
+    assert got["n", "big"].tokens == size["big"] and got["n", "big"].binds
+    # the source that sets the total of its mix
+    assert {s: got["m", s].binds for s in ("big", "small", "tiny-one", "none")} == {s: n > 0 and abs(n - total) < 1e-6 for s, n in (("big", size["big"] / 3), ("small", size["small"] * 4), ("tiny-one", size["tiny-one"] * 2), ("none", 0))}
     assert abs(sum(r.actual_share for k, r in got.items() if k[0] == "m") - 1) < 1e-9
     assert len({(x.mix_name, x.doc_id) for x in rows}) == len(rows)
 
